@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, content_store, jpeg, mixing, token_counts
+from . import ann, bpe_codec, content_store, jpeg, mixing, near_dedup, pii, quality, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,22 @@ def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_store.store_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jpeg.store_texts(_table(spark, sf_dir, "documents"), keep_media=False)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "thumbnail_hash")
@@ -32,15 +44,28 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=2)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mix": op1_cube_mix,
+    "op2_adaptive_scan": op2_adaptive_scan,
     "op3_content_store": op3_content_store,
+    "op4_hierarchical_quality": op4_hierarchical_quality,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_jpeg": op6_jpeg,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_contextual_pii": op8_contextual_pii,
+    "op9_bbit_minhash": op9_bbit_minhash,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
