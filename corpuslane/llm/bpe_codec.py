@@ -170,8 +170,9 @@ class WordBpe:
         return " ".join([self.tokens[i] for i in ids])
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids also ids array<int> and decoded string.
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids also ids array<int>,
+    with keep_decoded also decoded string.
 
     ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the decoded text in
     UTF-8. A null text counts as empty: no ids, an empty decoded text. Repeated rows give repeated results.
@@ -182,7 +183,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     kept = "".join(f", __keep{i} {data.schema[f'__keep{i}'].dataType.simpleString()}" for i in range(len(keep)))
     schema = f"doc_id {data.schema['doc_id'].dataType.simpleString()}{kept}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
-        schema += ", ids array<int>, decoded string"
+        schema += ", ids array<int>"
+    if keep_decoded:
+        schema += ", decoded string"
 
     def make():
         codec = WordBpe(path)
@@ -201,13 +204,17 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     text_sha.append(hashlib.sha256(back.encode()).hexdigest())
                     if keep_ids:
                         ids.append(array("i", data).tolist())
+                    if keep_decoded:
                         decoded.append(back)
                 part = batch.slice(start, len(run))
                 columns = [part.column(0), *[part.column(2 + i) for i in range(len(keep))], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 names = ["doc_id", *[f"__keep{i}" for i in range(len(keep))], "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                    names += ["ids", "decoded"]
+                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                if keep_decoded:
+                    columns.append(pa.array(decoded, pa.string()))
+                    names.append("decoded")
                 out.append(pa.RecordBatch.from_arrays(columns, names=names))
             return out
 

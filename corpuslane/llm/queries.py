@@ -41,7 +41,7 @@ def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+    return bpe_codec.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False, keep_decoded=False)
 
 
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
