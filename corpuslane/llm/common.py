@@ -56,6 +56,16 @@ def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[
         yield start, run
 
 
+_WORKER: dict = {}
+
+
+def worker_cache(slot: str, token: str, make: Callable[[], object]):
+    """What `make()` gave first for slot and token in this Python worker, whose later tasks find it filled; a slot keeps one."""
+    if slot not in _WORKER or _WORKER[slot][0] != token:
+        _WORKER[slot] = (token, make())
+    return _WORKER[slot][1]
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list | None]], schema: str) -> DataFrame:
     """mapInArrow whose state `make()` is built once a task."""
 

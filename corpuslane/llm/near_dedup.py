@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, arrow_map, materialize
+from .common import MEMO_ENTRIES, arrow_map, materialize, worker_cache
 
 HASHES, BANDS, BITS = 128, 32, 4
 ROWS = HASHES // BANDS
@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, key (digest of the set; null for an empty one), sig, bands of every row."""
 
     def make():
-        shingler = Shingler(words)
+        shingler = worker_cache("shingler", str(words), lambda: Shingler(words))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, keys, sigs, bands = [], [], [], []
@@ -153,7 +153,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(bits.view(_U))
 
     def make():
-        shingler, table = Shingler(words), shared.value
+        shingler, table = worker_cache("shingler", str(words), lambda: Shingler(words)), shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             p = batch.column(2).to_numpy()

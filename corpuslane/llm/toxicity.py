@@ -14,15 +14,16 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, arrow_map, materialize
+from .common import MEMO_ENTRIES, arrow_map, materialize, worker_cache
 
 ORDER, DISCOUNT, MOST_ROWS, LEAST_COUNT = 6, 0.75, 8000, 2
 FOLDS = 5
@@ -46,6 +47,7 @@ class Ratios:
 
     grams: dict[str, float]
     contexts: dict[str, float]
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def word(self, word: str) -> float:
         total, grams, contexts = 0.0, self.grams, self.contexts
@@ -172,7 +174,7 @@ def _features(data: DataFrame, ratios, extra: str = "") -> DataFrame:
     id_type = data.schema["doc_id"].dataType.simpleString()
 
     def make():
-        scorer = Scorer(ratios.value)
+        scorer = worker_cache("toxicity", ratios.value.token, lambda: Scorer(ratios.value))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [scorer.features(t.as_py()) for t in batch.column(1)]
@@ -256,7 +258,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
     def make():
         m = shared.value
-        scorer = Scorer(m.ratios)
+        scorer = worker_cache("toxicity", m.ratios.token, lambda: Scorer(m.ratios))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = np.array([scorer.features(t.as_py()) for t in batch.column(at)], float).reshape(-1, 4)
