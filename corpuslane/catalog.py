@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from .plans.registry import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "get_by_id"
+FLAGSHIP = "facet_counts"
+MODULES = ("text_queries", "search_queries", "harvest_queries")
 
+for _m in MODULES:
+    importlib.import_module(f".plans.{_m}", __package__)
 
-def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id = 7").select("doc_id", "lang", "source", "n_chars")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"get_by_id": get_by_id}
-ORACLE_SQL: dict[str, str] = {"get_by_id": "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 7"}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
