@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: A start tag of the key closes an open element of the values.
@@ -221,13 +222,13 @@ def clean(c: Column) -> Column:
     return F.btrim(F.regexp_replace(x, "[ \t\n\r\f ]+", " "), F.lit(" \"'()"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(s):
     """Named and numeric entities as characters."""
     return s.map(lambda x: entities.unescape(x) if x is not None else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def text_format(s):
     """Entities decoded, compatibility forms decomposed, white space collapsed."""
     return s.map(lambda x: " ".join(unicodedata.normalize("NFKD", entities.unescape(x)).split()) if x is not None else None)
