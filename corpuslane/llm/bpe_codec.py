@@ -10,15 +10,16 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import MEMO_ENTRIES, arrow_map, slices
+from .common import MEMO_ENTRIES, arrow_map, slices, worker_cache
 from .token_counts import SPACE, byte_alphabet, load_merges
 
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -188,11 +189,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         schema += ", decoded string"
 
     def make():
-        codec = WordBpe(path)
+        codec = worker_cache("codec", path, lambda: WordBpe(path))
 
-        def step(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-            out = []
-            for start, run in slices(batch.column(1).to_pylist(), 4_000_000):
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for start, run in slices(batch.column(1)):
                 n, ids_sha, text_sha, ids, decoded = [], [], [], [], []
                 for text in run:
                     parts = codec.encode_parts(text)
@@ -203,20 +203,20 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     ids_sha.append(hashlib.sha256(data).hexdigest())
                     text_sha.append(hashlib.sha256(back.encode()).hexdigest())
                     if keep_ids:
-                        ids.append(array("i", data).tolist())
+                        ids.append(data)
                     if keep_decoded:
                         decoded.append(back)
                 part = batch.slice(start, len(run))
                 columns = [part.column(0), *[part.column(2 + i) for i in range(len(keep))], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 names = ["doc_id", *[f"__keep{i}" for i in range(len(keep))], "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    offsets = pa.array(np.cumsum([0, *n]), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                     names.append("ids")
                 if keep_decoded:
                     columns.append(pa.array(decoded, pa.string()))
                     names.append("decoded")
-                out.append(pa.RecordBatch.from_arrays(columns, names=names))
-            return out
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
         return step
 

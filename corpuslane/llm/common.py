@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one task holds as Python words at once.
 SLICE_CHARS = 1_000_000
-#: Entries of a task's memo before it starts anew.
-MEMO_ENTRIES = 800_000
+#: Entries of a worker's memo before it starts anew.
+MEMO_ENTRIES = 250_000
 #: ASCII white space of the word contracts: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,16 +42,20 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(first index, texts) in runs of about `limit` characters; null becomes the empty text."""
+def slices(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(first index, texts) in runs of about `limit` characters; null becomes the empty text.
+
+    Only a run's texts exist as Python strings at a time.
+    """
     start, size, run = 0, 0, []
-    for i, t in enumerate(texts):
-        t = t or ""
-        if run and size + len(t) > limit:
-            yield start, run
-            start, size, run = i, 0, []
-        run.append(t)
-        size += len(t)
+    for at in range(0, len(column), 256):
+        for i, t in enumerate(column.slice(at, 256).to_pylist(), at):
+            t = t or ""
+            if run and size + len(t) > limit:
+                yield start, run
+                start, size, run = i, 0, []
+            run.append(t)
+            size += len(t)
     if run:
         yield start, run
 
@@ -60,22 +64,27 @@ _WORKER: dict = {}
 
 
 def worker_cache(slot: str, token: str, make: Callable[[], object]):
-    """What `make()` gave first for slot and token in this Python worker, whose later tasks find it filled; a slot keeps one."""
-    if slot not in _WORKER or _WORKER[slot][0] != token:
-        _WORKER[slot] = (token, make())
-    return _WORKER[slot][1]
+    """What `make()` gave first for slot and token in this Python worker, whose later tasks find it filled.
+
+    A worker keeps one such thing, that of its latest stage, so stages don't add up in memory.
+    """
+    if (slot, token) not in _WORKER:
+        _WORKER.clear()
+        _WORKER[slot, token] = make()
+    return _WORKER[slot, token]
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | list | None]], schema: str) -> DataFrame:
-    """mapInArrow whose state `make()` is built once a task."""
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
+    """mapInArrow whose state `make()` is built once a task; its step gives one batch or yields several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for b in batches:
             out = step(b)
-            if out is None:
-                continue
-            yield from out if isinstance(out, list) else [out]
+            if isinstance(out, pa.RecordBatch):
+                yield out
+            else:
+                yield from out
 
     return df.mapInArrow(run, schema)
 

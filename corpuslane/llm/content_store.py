@@ -2,7 +2,7 @@
 
 Layout of a store: `kind=chunk` has every unique chunk once (its id is the BLAKE2b-128 of its bytes),
 `recipes` has one row per document in ascending id order (chunk ids, lengths, Merkle root), `manifest` has one
-Merkle root per recipe file. Chunk bytes are ids as little-endian unsigned integers of `width` bytes, deflated.
+Merkle root per recipe file. Chunk bytes are ids as little-endian unsigned integers of `width` bytes, zstd-compressed.
 
 A rolling hash over a window of 32 ids cuts each document's id stream, so copies and shared passages give equal
 chunks whatever stands before them.
@@ -14,43 +14,70 @@ import hashlib
 import os
 import zlib
 from array import array
+from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, arrow_map, remove, scratch_dir, slices, with_prefix_sum
-from .token_counts import pieces
+from .common import arrow_map, remove, scratch_dir, slices, with_prefix_sum, worker_cache
+from .token_counts import PRE_TOKEN, byte_alphabet, pieces
 
-MASK, LEAST, MOST = (1 << 9) - 1, 64, 4096
+#: From here on a character's class may differ between Unicode versions.
+RARE = "\u0530"
+#: Pieces and words that a worker remembers.
+STREAM_ENTRIES = 250_000
+MASK, LEAST, MOST = (1 << 10) - 1, 64, 8192
 _GEAR = np.random.default_rng(20240901).integers(0, 1 << 32, 1 << 16, dtype=np.uint64).astype(np.uint32)
 
 
-def cut_points(ids: np.ndarray, mask: int = MASK, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Ends of the chunks: where the rolling hash of the last 32 ids has zero low bits, `least` to `most` ids apart."""
-    n = len(ids)
-    h = _GEAR[ids & 0xFFFF] ^ (ids >> 16).astype(np.uint32)
-    for shift in (1, 2, 4, 8, 16):  # doubles the window each time: sum of gear[id] << distance
-        if n > shift:
+def rolling_hashes(ids: np.ndarray) -> np.ndarray:
+    """Of each position, the sum of gear[id] << distance over the last 32 ids."""
+    h = _GEAR[ids & 0xFFFF]
+    if ids.dtype.itemsize > 2:
+        h = h ^ (ids >> 16).astype(np.uint32)
+    for shift in (1, 2, 4, 8, 16):  # doubles the window each time
+        if len(ids) > shift:
             g = h.copy()
             g[shift:] += h[:-shift] << np.uint32(shift)
             h = g
-    ends, last = [], 0
-    for c in (np.nonzero((h >> np.uint32(20)) & np.uint32(mask) == 0)[0] + 1).tolist():
-        if c - last < least:
-            continue
-        while c - last > most:
+    return h
+
+
+def cut_points(streams: list[np.ndarray], mask: int = MASK, least: int = LEAST, most: int = MOST) -> list[list[int]]:
+    """Ends of the chunks of each stream: where the rolling hash has zero low bits, `least` to `most` ids apart.
+
+    All streams are hashed as one: a window that reaches back into the stream before belongs to one of the first 31
+    ids, where no chunk ends (least is 64).
+    """
+    h = rolling_hashes(np.concatenate(streams)) if streams else np.zeros(0, np.uint32)
+    hits = np.nonzero((h >> np.uint32(16)) & np.uint32(mask) == 0)[0] + 1
+    bounds = np.cumsum([0] + [len(x) for x in streams])
+    firsts = np.searchsorted(hits, bounds, side="right").tolist()
+    hits, bounds = hits.tolist(), bounds.tolist()
+    out = []
+    for k in range(len(streams)):
+        base, n = bounds[k], bounds[k + 1] - bounds[k]
+        ends, last = [], 0
+        for c in hits[firsts[k] : firsts[k + 1]]:
+            c -= base
+            if c - last < least or c >= n:
+                continue
+            while c - last > most:
+                last += most
+                ends.append(last)
+            if c - last >= least:
+                ends.append(c)
+                last = c
+        while n - last > most:
             last += most
             ends.append(last)
-        if c - last >= least and c < n:
-            ends.append(c)
-            last = c
-    while n - last > most:
-        last += most
-        ends.append(last)
-    ends.append(n)
-    return ends
+        ends.append(n)
+        out.append(ends)
+    return out
 
 
 def chunk_id(data: bytes) -> bytes:
@@ -69,33 +96,70 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 class StreamEncoder:
-    """Ids of texts by the tokenizers library, remembered by piece (a space before a non-space always opens a pre-token)."""
+    """Ids of texts by the tokenizers library, remembered by piece (a space before a non-space always opens a pre-token).
+
+    Ids are kept as little-endian unsigned integers of `width` bytes. A new piece is cut into pre-tokens, and those that
+    are new as well go to the library's BPE model; pieces with rare characters or marks of special tokens go to the
+    library whole.
+    """
 
-    def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str, memo_entries: int = STREAM_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.width, self.code = (2, "H") if self.library.get_vocab_size() <= 1 << 16 else (4, "I")
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
+        self.marks = {m: array(self.code, self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ",.;:!?"}
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.memo_entries = memo_entries
 
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            text = word if word.isascii() else word.encode().decode("latin-1")
+            self.words[word] = ids = array(self.code, [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii():
+            if piece.isalpha():
+                return self._word(" " + piece)
+            core = piece[:-1]
+            if core.isalpha() and piece[-1] in self.marks:
+                return self._word(" " + core) + self.marks[piece[-1]]
+            whole = "<|" in piece
+        else:
+            whole = max(piece) >= RARE or "<|" in piece
+            if not whole and piece.isalpha():
+                return self._word(" " + piece)
+        if whole:
+            return array(self.code, self.library.encode(" " + piece, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self._word, PRE_TOKEN.findall(" " + piece)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        memo = self.memo
-        if len(memo) > self.memo_entries:
-            memo.clear()
+        """Ids of each text."""
+        if len(self.memo) > self.memo_entries or len(self.words) > self.memo_entries:
+            self.memo.clear()
+            self.words.clear()
+        memo, get, code, out = self.memo, self.memo.get, self.code, []
         cut = [pieces(t) for t in texts]
-        new = set()
-        for c in cut:
-            new.update(c[1:])
-        new = [w for w in new if w not in memo]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast([" " + w for w in part], add_special_tokens=False)):
-                memo[w] = array("I", e.ids).tobytes()
         firsts = self.library.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
-        get = memo.__getitem__
-        return [array("I", f.ids).tobytes() + b"".join(map(get, c[1:])) for f, c in zip(firsts, cut)]
+        for first, words in zip(firsts, cut):
+            ids = list(map(get, words))
+            ids[0] = array(code, first.ids).tobytes()
+            try:
+                i = 0
+                while True:
+                    i = ids.index(None, i)
+                    w = words[i]
+                    ids[i] = memo[w] = self._piece(w)
+            except ValueError:
+                pass
+            out.append(b"".join(ids))
+        return out
 
 
 def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -106,37 +170,35 @@ def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, id_col:
     data = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
     def make():
-        encoder = StreamEncoder(path)
+        encoder = worker_cache("stream", path, lambda: StreamEncoder(path))
         seen: set[bytes] = set()
-        wide = encoder.library.get_vocab_size() > 1 << 16
-        dtype, width = (np.dtype("<u4"), 4) if wide else (np.dtype("<u2"), 2)
+        width, dtype = encoder.width, np.dtype(f"<u{encoder.width}")
+        pack = zstandard.ZstdCompressor(level=1)
 
-        def step(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-            out = []
-            tail = end_id.to_bytes(4, "little")
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            tail = end_id.to_bytes(width, "little")
             keys = batch.column(0).to_pylist()
-            for start, run in slices(batch.column(1).to_pylist(), 2_000_000):
+            for start, run in slices(batch.column(1)):
                 rows: list[tuple] = []
-                for k, raw in enumerate(encoder.encode(run)):
-                    ids = np.frombuffer(raw + tail, "<u4")
+                streams = [raw + tail for raw in encoder.encode(run)]
+                arrays = [np.frombuffer(x, dtype) for x in streams]
+                for k, (stream, ids, cuts) in enumerate(zip(streams, arrays, cut_points(arrays))):
                     last, names, lengths = 0, [], []
-                    narrow = ids.astype(dtype)
-                    for end in cut_points(ids):
-                        piece = narrow[last:end].tobytes()
+                    for end in cuts:
+                        piece = stream[last * width : end * width]
                         name = chunk_id(piece)
                         names.append(name)
                         lengths.append(end - last)
                         last = end
                         if name not in seen:
                             seen.add(name)
-                            rows.append(("chunk", name, width, zlib.compress(piece, 1), None, None, None, None))
+                            rows.append(("chunk", name, width, pack.compress(piece), None, None, None, None))
                     rows.append(("recipe", None, len(ids), None, keys[start + k], b"".join(names), lengths, merkle_root(names)))
                 if len(seen) > 1 << 20:
                     seen.clear()
                 columns = list(zip(*rows))
                 types = (pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary())
-                out.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "name", "n", "data", "doc_id", "chunks", "lengths", "root"]))
-            return out
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "name", "n", "data", "doc_id", "chunks", "lengths", "root"])
 
         return step
 
@@ -154,50 +216,43 @@ def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, id_col:
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{store}/manifest")
 
 
+@cache
 def _shift_tables() -> list[list[int]]:
-    """crc32 of 4 * 2^k appended zero bytes as a linear map: its columns for the 32 bits."""
-    def square(m: list[int]) -> list[int]:
-        return [times(m, c) for c in m]
-
-    def times(m: list[int], v: int) -> int:
-        s, i = 0, 0
-        while v:
-            if v & 1:
-                s ^= m[i]
-            v >>= 1
-            i += 1
-        return s
-
-    one = [0xEDB88320] + [1 << (i - 1) for i in range(1, 32)]  # one zero bit
-    m = one
-    for _ in range(5):
-        m = square(m)  # four zero bytes
-    out = [m]
-    for _ in range(34):
-        out.append(square(out[-1]))
+    """Linear maps of crc32 that append 4 * 2^k zero bytes, as the images of the 32 bits."""
+    m = [0xEDB88320] + [1 << (i - 1) for i in range(1, 32)]  # one zero bit
+    out = []
+    for k in range(40):
+        m = [_times(m, c) for c in m]
+        if k >= 4:
+            out.append(m)
     return out
 
 
-_SHIFTS: list[list[int]] = []
+def _times(m: list[int], v: int) -> int:
+    s, i = 0, 0
+    while v:
+        if v & 1:
+            s ^= m[i]
+        v >>= 1
+        i += 1
+    return s
 
 
-def crc_after(crc: int, ids: int) -> int:
-    """What crc becomes, less the part of the new bytes, when `ids` 4-byte ids follow."""
-    if not _SHIFTS:
-        _SHIFTS.extend(_shift_tables())
-    k = 0
+@lru_cache(4 * MOST)
+def _shift(ids: int) -> list[int]:
+    """The map that appends `ids` ids of zero."""
+    m, k = [1 << i for i in range(32)], 0
     while ids:
         if ids & 1:
-            m, s, i = _SHIFTS[k], 0, 0
-            while crc:
-                if crc & 1:
-                    s ^= m[i]
-                crc >>= 1
-                i += 1
-            crc = s
+            m = [_times(_shift_tables()[k], c) for c in m]
         ids >>= 1
         k += 1
-    return crc
+    return m
+
+
+def crc_after(crc: int, ids: int) -> int:
+    """What crc becomes, less the part of the new bytes, when `ids` 4-byte ids follow."""
+    return _times(_shift(ids), crc)
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
@@ -208,10 +263,12 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     """
 
     def make_chunks():
+        unpack = zstandard.ZstdDecompressor()
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             names, ns, crcs = [], [], []
             for name, width, data in zip(*[c.to_pylist() for c in batch.columns]):
-                piece = zlib.decompress(data)
+                piece = unpack.decompress(data)
                 if chunk_id(piece) != name:
                     continue
                 ids = np.frombuffer(piece, f"<u{width}").astype("<u4")

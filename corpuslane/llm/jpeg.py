@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -307,9 +308,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         schema += ", media binary"
 
     def make():
-        def step(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-            out = []
-            for start, run in slices(batch.column(1).to_pylist(), 2_000_000):
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for start, run in slices(batch.column(1)):
                 rows, media = [], []
                 sizes = []
                 for text in run:
@@ -326,8 +326,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if keep_media:
                     columns.append(pa.array(media, pa.binary()))
                     names.append("media")
-                out.append(pa.RecordBatch.from_arrays(columns, names=names))
-            return out
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
         return step
 

@@ -18,13 +18,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, arrow_map, slices
+from .common import MEMO_ENTRIES, arrow_map, slices, worker_cache
 
 #: White space as the tokenizers library sees it (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 AFTER_SPACE = regex.compile(rf" (?=[^{SPACE}])")
 DOUBLE_SPACE = regex.compile(rf" (?:[{SPACE}]|$)")
+_ASCII_PAIRS = tuple(" " + c for c in " \t\n\x0b\x0c\r")
 
 
 def byte_alphabet() -> list[str]:
@@ -54,7 +55,12 @@ def load_merges(path: str) -> tuple[dict[str, int], dict[int, tuple[int, int]],
 
 def pieces(text: str) -> list[str]:
     """The text cut at each space before a non-space; every piece but the first has lost that space."""
-    return AFTER_SPACE.split(text) if DOUBLE_SPACE.search(text) else text.split(" ")
+    for pair in _ASCII_PAIRS:
+        if pair in text:
+            return AFTER_SPACE.split(text)
+    if text[-1:] == " " or not text.isascii() and DOUBLE_SPACE.search(text):
+        return AFTER_SPACE.split(text)
+    return text.split(" ")
 
 
 def count_after_merges(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> int:
@@ -158,11 +164,11 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     id_type = data.schema["doc_id"].dataType.simpleString()
 
     def make():
-        counter = TokenCounter(path)
+        counter = worker_cache("counter", path, lambda: TokenCounter(path))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts: list[int] = []
-            for _, run in slices(batch.column(1).to_pylist()):
+            for _, run in slices(batch.column(1)):
                 counts += map(counter.count, run)
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
