@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one task holds as Python words at once.
 SLICE_CHARS = 1_000_000
+#: Rows of an Arrow batch at most.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Entries of a worker's memo before it starts anew.
 MEMO_ENTRIES = 250_000
 #: ASCII white space of the word contracts: space and tab to carriage return.
@@ -77,6 +79,10 @@ def worker_cache(slot: str, token: str, make: Callable[[], object]):
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow whose state `make()` is built once a task; its step gives one batch or yields several."""
 
+    spark = df.sparkSession
+    if int(spark.conf.get(BATCH, "10000")) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))  # texts can be long: few rows at a time in the JVM and the worker
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for b in batches:
@@ -89,13 +95,14 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def with_prefix_sum(df: DataFrame, order: list[str], value: str, out: str, buckets: int = 256) -> DataFrame:
+def with_prefix_sum(df: DataFrame, order: list[str], value: str, out: str, rows_a_bucket: int = 250_000, most_buckets: int = 4096) -> DataFrame:
     """Add `out`: the sum of `value` over all rows before this one in ascending `order` (first column numeric, nulls first).
 
     Rows are cut into ranges of the first column by quantiles; only one sum per range reaches the driver.
     Rows with equal first columns share a range. df must be cheap to read twice (a written table).
     """
     key = order[0]
+    buckets = max(16, min(most_buckets, df.count() // rows_a_bucket))
     cuts = df.stat.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.5 / buckets) or []
     cuts = sorted(set(cuts))
     bucket: Column = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0))

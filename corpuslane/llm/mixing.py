@@ -170,7 +170,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     plan = mix(docs, row_key=key, **options)
     plan = plan.groupBy("row_key").agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies"))
-    joined = docs.withColumn("__key", key).join(plan.withColumnRenamed("row_key", "__key"), "__key").filter(F.col("__copies") > 0)
+    # the plan grows with docs: one join strategy at every size
+    joined = docs.withColumn("__key", key).join(plan.withColumnRenamed("row_key", "__key").hint("merge"), "__key").filter(F.col("__copies") > 0)
     # equal rows are interchangeable: one of them stands for all their copies
     single = joined.filter(F.col("__rows") == 1)
     equal = joined.filter(F.col("__rows") > 1).dropDuplicates(["__key"])

@@ -250,7 +250,8 @@ def deduplicated(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 1
     found = near_duplicates(docs, words, part, whole).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
     found = materialize(found)
     typed = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
-    joined = typed.join(found, "__id")
+    # found grows with docs: one join strategy at every size
+    joined = typed.join(found.hint("merge"), "__id")
     single = joined.filter(F.col("__rows") == 1)
     several = joined.filter(F.col("__rows") > 1).dropDuplicates(["__id"])
     both = single.unionByName(several).unionByName(typed.filter(F.col("__id").isNull()).withColumn("__rows", F.lit(1).cast("bigint")))

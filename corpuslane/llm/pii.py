@@ -207,7 +207,8 @@ def without_personal_data(docs: DataFrame) -> DataFrame:
     """docs with every span masked in text (and n_chars, where there is such a column, made to fit); all rows and columns stay."""
     spans = find(docs).filter(F.size("spans") > 0).select("key", F.col("spans").alias("__spans")).dropDuplicates(["key"])
     keyed = docs.withColumn("__key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = keyed.join(spans.withColumnRenamed("key", "__key"), "__key", "left")
+    # spans grow with docs: one join strategy at every size
+    joined = keyed.join(spans.withColumnRenamed("key", "__key").hint("merge"), "__key", "left")
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__spans")))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
