@@ -17,12 +17,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import MEMO_ENTRIES, arrow_map, slices, worker_cache
 
 #: White space as the tokenizers library sees it (Unicode White_Space).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: From here on a character's class may differ between Unicode versions: the library itself splits such pieces.
+RARE = "\u0530"
 AFTER_SPACE = regex.compile(rf" (?=[^{SPACE}])")
 DOUBLE_SPACE = regex.compile(rf" (?:[{SPACE}]|$)")
 _ASCII_PAIRS = tuple(" " + c for c in " \t\n\x0b\x0c\r")
@@ -58,11 +61,19 @@ def pieces(text: str) -> list[str]:
     for pair in _ASCII_PAIRS:
         if pair in text:
             return AFTER_SPACE.split(text)
-    if text[-1:] == " " or not text.isascii() and DOUBLE_SPACE.search(text):
+    if text[-1:] == " " or not text.isascii() and _odd_space(text):
         return AFTER_SPACE.split(text)
     return text.split(" ")
 
 
+def _odd_space(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return DOUBLE_SPACE.search(text) is not None
+    return "\xa0" in text or "\x85" in text
+
+
 def count_after_merges(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> int:
     """Symbols left when the lowest-rank adjacent pair (leftmost of equals) is merged until none is known."""
     n = len(symbols)
@@ -120,6 +131,7 @@ class TokenCounter:
 
     def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
         vocab, self.pairs, specials = load_merges(path)
+        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.initial = [vocab[c] for c in byte_alphabet()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.marks = specials
@@ -129,7 +141,11 @@ class TokenCounter:
 
     def _pre_tokens(self, text: str) -> int:
         total, words = 0, self.words
-        for w in PRE_TOKEN.findall(text):
+        if text.isascii() or max(text) < RARE:
+            parts = PRE_TOKEN.findall(text)
+        else:
+            parts = [text[a:z] for _, (a, z) in self.split(text)]
+        for w in parts:
             n = words.get(w)
             if n is None:
                 initial = self.initial
