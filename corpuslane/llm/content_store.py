@@ -1,7 +1,7 @@
 """Content-addressed store of token ids.
 
 Layout of a store: `kind=chunk` has every unique chunk once (its id is the BLAKE2b-128 of its bytes),
-`recipes` has one row per document in ascending id order (chunk ids, lengths, Merkle root), `manifest` has one
+`recipes` has one row per document in ascending id order (chunk ids, number of ids, Merkle root), `manifest` has one
 Merkle root per recipe file. Chunk bytes are ids as little-endian unsigned integers of `width` bytes, zstd-compressed.
 
 A rolling hash over a window of 32 ids cuts each document's id stream, so copies and shared passages give equal
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,8 +30,9 @@ from .token_counts import PRE_TOKEN, byte_alphabet, pieces
 #: From here on a character's class may differ between Unicode versions.
 RARE = "\u0530"
 #: Pieces and words that a worker remembers.
-STREAM_ENTRIES = 250_000
+STREAM_ENTRIES = 500_000
 MASK, LEAST, MOST = (1 << 10) - 1, 64, 8192
+_SCHEMA = "name binary, n bigint, data binary, doc_id bigint, chunks binary, root binary"
 _GEAR = np.random.default_rng(20240901).integers(0, 1 << 32, 1 << 16, dtype=np.uint64).astype(np.uint32)
 
 
@@ -95,6 +97,32 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+#: A comma or full stop that may share a pre-token with what stands before it.
+_TIED = re.compile(r"[,.](?<![^\W_].)[ \n]")
+#: Punctuation that stands as one pre-token after letters (an apostrophe may open a contraction).
+_PUNCT = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Prefixes of units: a mark or line feed, a word without a space before it.
+MARK, BARE = "\0", "\1"
+
+
+def units(text: str) -> list[str]:
+    """pieces() of a text without MARK and BARE, where that is safe with commas, full stops and line feeds as units of their own."""
+    cut = pieces(text)
+    if len(cut) < 8 or _TIED.search(text):
+        return cut
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return cut
+    if len(cut) != text.count(" ") + 1:
+        return cut  # some space opens no pre-token
+    text = text.replace(", ", " \0, ").replace(". ", " \0. ")
+    if "\n" in text and "\n\n" not in text and text[-1] != "\n" and text[0] != "\n":
+        text = text.replace(".\n", " \0.\n").replace("\n", " \0\n \1")
+    return text.split(" ")
+
+
 class StreamEncoder:
     """Ids of texts by the tokenizers library, remembered by piece (a space before a non-space always opens a pre-token).
 
@@ -111,53 +139,65 @@ class StreamEncoder:
         self.model = self.library.model
         self.width, self.code = (2, "H") if self.library.get_vocab_size() <= 1 << 16 else (4, "I")
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
-        self.marks = {m: array(self.code, self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ",.;:!?"}
-        self.memo: dict[str, bytes] = {}
+        plain = {MARK + m: array(self.code, self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ",.\n"}
+        self.plain = plain | {BARE: b""}
+        self.memo: dict[str, bytes] = dict(self.plain)
         self.words: dict[str, bytes] = {}
         self.memo_entries = memo_entries
 
+    def _ids(self, word: str) -> bytes:
+        text = word if word.isascii() else word.encode().decode("latin-1")
+        return array(self.code, [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
+
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            text = word if word.isascii() else word.encode().decode("latin-1")
-            self.words[word] = ids = array(self.code, [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
+            self.words[word] = ids = self._ids(word)
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        if piece.isascii():
-            if piece.isalpha():
-                return self._word(" " + piece)
-            core = piece[:-1]
-            if core.isalpha() and piece[-1] in self.marks:
-                return self._word(" " + core) + self.marks[piece[-1]]
-            whole = "<|" in piece
-        else:
-            whole = max(piece) >= RARE or "<|" in piece
-            if not whole and piece.isalpha():
-                return self._word(" " + piece)
-        if whole:
+        """Of a piece that isn't remembered; only plain words are, a closing mark is a pre-token of its own."""
+        memo = self.memo
+        if piece[:1] == BARE:
+            memo[piece] = ids = self._first(piece[1:])
+            return ids
+        core = piece.rstrip(_PUNCT)
+        if core.isalpha() and (core.isascii() or max(core) < RARE):
+            ids = memo.get(core)
+            if ids is None:
+                memo[core] = ids = self._ids(" " + core)
+            return ids if len(core) == len(piece) else ids + self._word(piece[len(core) :])
+        if not core and "<|" not in piece:
+            memo[piece] = ids = self._word(" " + piece)
+            return ids
+        if "<|" in piece or not piece.isascii() and max(piece) >= RARE:
             return array(self.code, self.library.encode(" " + piece, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self._word, PRE_TOKEN.findall(" " + piece)))
 
+    def _first(self, piece: str) -> bytes:
+        """Of the piece that opens a text, which has no space before it."""
+        if "<|" in piece or not piece.isascii() and max(piece) >= RARE:
+            return array(self.code, self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self._word, PRE_TOKEN.findall(piece)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         if len(self.memo) > self.memo_entries or len(self.words) > self.memo_entries:
             self.memo.clear()
+            self.memo.update(self.plain)
             self.words.clear()
-        memo, get, code, out = self.memo, self.memo.get, self.code, []
-        cut = [pieces(t) for t in texts]
-        firsts = self.library.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
-        for first, words in zip(firsts, cut):
+        get, piece, out = self.memo.get, self._piece, []
+        for text in texts:
+            if MARK in text or BARE in text:
+                out.append(array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes())
+                continue
+            words = units(text)
             ids = list(map(get, words))
-            ids[0] = array(code, first.ids).tobytes()
-            try:
-                i = 0
-                while True:
-                    i = ids.index(None, i)
-                    w = words[i]
-                    ids[i] = memo[w] = self._piece(w)
-            except ValueError:
-                pass
+            ids[0] = self._first(words[0])
+            i = 0
+            for _ in range(ids.count(None)):
+                i = ids.index(None, i)
+                ids[i] = piece(words[i])
             out.append(b"".join(ids))
         return out
 
@@ -183,32 +223,31 @@ def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, id_col:
                 streams = [raw + tail for raw in encoder.encode(run)]
                 arrays = [np.frombuffer(x, dtype) for x in streams]
                 for k, (stream, ids, cuts) in enumerate(zip(streams, arrays, cut_points(arrays))):
-                    last, names, lengths = 0, [], []
+                    last, names = 0, []
                     for end in cuts:
                         piece = stream[last * width : end * width]
                         name = chunk_id(piece)
                         names.append(name)
-                        lengths.append(end - last)
                         last = end
                         if name not in seen:
                             seen.add(name)
-                            rows.append(("chunk", name, width, pack.compress(piece), None, None, None, None))
-                    rows.append(("recipe", None, len(ids), None, keys[start + k], b"".join(names), lengths, merkle_root(names)))
+                            rows.append(("chunk", name, width, pack.compress(piece), None, None, None))
+                    rows.append(("recipe", None, len(ids), None, keys[start + k], b"".join(names), merkle_root(names)))
                 if len(seen) > 1 << 20:
                     seen.clear()
                 columns = list(zip(*rows))
-                types = (pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "name", "n", "data", "doc_id", "chunks", "lengths", "root"])
+                types = (pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "name", "n", "data", "doc_id", "chunks", "root"])
 
         return step
 
     spark = docs.sparkSession
-    both = arrow_map(data, make, "kind string, name binary, n bigint, data binary, doc_id bigint, chunks binary, lengths array<int>, root binary")
+    both = arrow_map(data, make, f"kind string, {_SCHEMA}")
     # chunks meet by name, recipes stay spread by row: one shuffle for both, and no hot key, as a task sends a chunk once
     both = both.withColumn("key", F.coalesce("name", F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string")).cast("binary")))
     one = both.dropDuplicates(["key"]).drop("key")
     one.write.mode("overwrite").partitionBy("kind").parquet(f"{store}/raw")
-    raw = spark.read.parquet(f"{store}/raw/kind=recipe").select("doc_id", F.col("n").alias("n_ids"), "chunks", "lengths", "root")
+    raw = _raw(spark, store, "recipe").select("doc_id", F.col("n").alias("n_ids"), "chunks", "root")
     raw.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").write.mode("overwrite").parquet(f"{store}/recipes")
     remove(spark, f"{store}/raw/kind=recipe")
     recipes = spark.read.parquet(f"{store}/recipes").select("root", "n_ids", F.col("_metadata.file_name").alias("file"))
@@ -216,6 +255,11 @@ def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, id_col:
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{store}/manifest")
 
 
+def _raw(spark: SparkSession, store: str, kind: str) -> DataFrame:
+    """Rows of a kind; none where no document was stored."""
+    return spark.read.schema(f"{_SCHEMA}, kind string").parquet(f"{store}/raw").filter(F.col("kind") == kind)
+
+
 @cache
 def _shift_tables() -> list[list[int]]:
     """Linear maps of crc32 that append 4 * 2^k zero bytes, as the images of the 32 bits."""
@@ -279,16 +323,19 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
 
         return step
 
-    chunks = arrow_map(spark.read.parquet(f"{store}/raw/kind=chunk").select("name", F.col("n").alias("width"), "data"), make_chunks, "name binary, n bigint, crc bigint")
+    chunks = arrow_map(_raw(spark, store, "chunk").select("name", F.col("n").alias("width"), "data"), make_chunks, "name binary, n bigint, crc bigint")
     recipes = spark.read.parquet(f"{store}/recipes").withColumn("row", F.monotonically_increasing_id())
-    parts = recipes.select("row", "doc_id", "root", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("lengths")), lambda i: F.substring("chunks", (i - 1) * 16 + 1, F.lit(16)))).alias("pos", "name"))
+    parts = recipes.select("row", "doc_id", "root", F.posexplode(F.transform(F.sequence(F.lit(1), (F.octet_length("chunks") / 16).cast("int")), lambda i: F.substring("chunks", (i - 1) * 16 + 1, F.lit(16)))).alias("pos", "name"))
     found = parts.join(chunks, "name", "left").groupBy("row", "doc_id", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "n", "crc"))).alias("p"))
     found = found.select("row", "doc_id", "root", "p.name", "p.n", "p.crc")
 
     def make_documents():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_out, crc_out, ok_out = [], [], []
-            for root, names, ns, crcs in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)]):
+            bounds = batch.column(3).offsets.to_pylist()
+            flat = [batch.column(i).values.to_pylist() for i in (3, 4, 5)]
+            for root, a, z in zip(batch.column(2).to_pylist(), bounds, bounds[1:]):
+                names, ns, crcs = (f[a:z] for f in flat)
                 whole = None not in ns
                 total, crc = 0, 0
                 if whole:
