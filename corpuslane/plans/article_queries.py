@@ -84,9 +84,9 @@ def _(t):
     return cites(t).select("id", S.cita_clear(F.lit("[12] Kral, ;")).alias("c"))
 
 
-@query("art_title", f"WITH {ART} SELECT doc_id, trim('Some thoughts about ' || a) AS title FROM art")
+@query("art_title", f"WITH {ART} SELECT doc_id, trim('Some thoughts about ' || a) AS title FROM art WHERE NOT contains(a, '@')")
 def _(t):
-    return articles(t).select("doc_id", S.article_title(F.col("t")).alias("title"))
+    return articles(t).filter("not contains(a, '@')").select("doc_id", S.article_title(F.col("t")).alias("title"))
 
 
 @query("art_abstract", f"WITH {ART} SELECT doc_id, b AS abstract FROM art WHERE trim(b) <> ''")
