@@ -23,6 +23,8 @@ from .common import MEMO_ENTRIES, arrow_map, slices, worker_cache
 from .token_counts import SPACE, byte_alphabet, load_merges
 
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: ASCII punctuation that is one pre-token after letters (an apostrophe may open a contraction).
+PUNCT = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACES = regex.compile(rf"[{SPACE}]+")
 #: str.split() takes these for white space, the tokenizers library doesn't.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -117,25 +119,30 @@ class WordBpe:
         self.initial = [self.vocab[c] for c in byte_alphabet()]
         self.final = [self.vocab[c + self.end] for c in byte_alphabet()]
         self.memo_entries = memo_entries
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.memo = _Memo(self._unit)
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
             data = word.encode()
             symbols = [self.initial[b] for b in data[:-1]] + [self.final[data[-1]]]
-            ids = self.words[word] = merge_by_tree(symbols, self.pairs)
+            ids = self.words[word] = array("I", merge_by_tree(symbols, self.pairs)).tobytes()
         return ids
 
     def _unit(self, unit: str) -> tuple[bytes, str]:
         """Of a run without white space: its ids as little-endian unsigned 32-bit integers, and its tokens joined."""
-        if RARE.search(unit):
-            words = [unit[a:b] for _, (a, b) in self.split(unit)]
+        core = unit.rstrip(PUNCT) if unit.isascii() else ""
+        if core.isalpha():
+            data = self._word(core)
+            if len(core) < len(unit):
+                data += self._word(unit[len(core) :])
+        elif RARE.search(unit):
+            data = b"".join([self._word(unit[a:b]) for _, (a, b) in self.split(unit)])
         else:
-            words = PRE_TOKEN.findall(unit)
-        ids = [i for w in words for i in self._word(w)]
-        return array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids])
+            data = b"".join(map(self._word, PRE_TOKEN.findall(unit)))
+        tokens = self.tokens
+        return data, " ".join([tokens[i] for i in array("I", data)])
 
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
         if text.isascii():
@@ -150,8 +157,9 @@ class WordBpe:
     def encode_parts(self, text: str | None) -> list[tuple[bytes, str]]:
         if not text:
             return []
-        if len(self.memo) > self.memo_entries or len(self.words) > self.memo_entries:
-            self.memo.clear()
+        if len(self.memo) > self.memo_entries:
+            self.memo.clear()  # cheap to fill again while the words are known
+        if len(self.words) > 2 * self.memo_entries:
             self.words.clear()
         if self.special is None or "<|" not in text and not self.special.search(text):
             return self._plain(text)
