@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, remove, scratch_dir, slices, with_prefix_sum, worker_cache
-from .token_counts import PRE_TOKEN, byte_alphabet, pieces
+from .token_counts import AFTER_SPACE, PRE_TOKEN, byte_alphabet, simple
 
 #: From here on a character's class may differ between Unicode versions.
 RARE = "\u0530"
@@ -105,18 +105,20 @@ _PUNCT = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MARK, BARE = "\0", "\1"
 
 
+def _rare(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return max(text) >= RARE
+    return False
+
+
 def units(text: str) -> list[str]:
     """pieces() of a text without MARK and BARE, where that is safe with commas, full stops and line feeds as units of their own."""
-    cut = pieces(text)
-    if len(cut) < 8 or _TIED.search(text):
-        return cut
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return cut
-    if len(cut) != text.count(" ") + 1:
-        return cut  # some space opens no pre-token
+    if not simple(text):
+        return AFTER_SPACE.split(text)
+    if _TIED.search(text) or not text.isascii() and _rare(text):
+        return text.split(" ")
     text = text.replace(", ", " \0, ").replace(". ", " \0. ")
     if "\n" in text and "\n\n" not in text and text[-1] != "\n" and text[0] != "\n":
         text = text.replace(".\n", " \0.\n").replace("\n", " \0\n \1")

@@ -56,22 +56,25 @@ def load_merges(path: str) -> tuple[dict[str, int], dict[int, tuple[int, int]],
     return vocab, pairs, [t["content"] for t in spec["added_tokens"]]
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut at each space before a non-space; every piece but the first has lost that space."""
+def simple(text: str) -> bool:
+    """Whether every space of the text stands before a non-space."""
     for pair in _ASCII_PAIRS:
         if pair in text:
-            return AFTER_SPACE.split(text)
-    if text[-1:] == " " or not text.isascii() and _odd_space(text):
-        return AFTER_SPACE.split(text)
-    return text.split(" ")
-
-
-def _odd_space(text: str) -> bool:
+            return False
+    if text[-1:] == " ":
+        return False
+    if text.isascii():
+        return True
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return DOUBLE_SPACE.search(text) is not None
-    return "\xa0" in text or "\x85" in text
+        return DOUBLE_SPACE.search(text) is None
+    return "\xa0" not in text and "\x85" not in text
+
+
+def pieces(text: str) -> list[str]:
+    """The text cut at each space before a non-space; every piece but the first has lost that space."""
+    return text.split(" ") if simple(text) else AFTER_SPACE.split(text)
 
 
 def count_after_merges(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> int:
@@ -162,8 +165,9 @@ class TokenCounter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if len(self.memo) > self.memo_entries or len(self.words) > self.memo_entries:
-            self.memo.clear()
+        if len(self.memo) > self.memo_entries:
+            self.memo.clear()  # cheap to fill again while the words are known
+        if len(self.words) > 2 * self.memo_entries:
             self.words.clear()
         if self.special and any(m in text for m in self.marks):
             parts = self.special.split(text)
