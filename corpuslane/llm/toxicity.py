@@ -6,26 +6,33 @@ counts, so what a class hasn't seen costs it no more than the backoff mass. A do
 length-normalised log-likelihood ratio (mean over distinct words), and by those of its most toxic words; a logistic
 model fitted on labelled rows outside the language models' turns these into a probability.
 
-Fitting takes at most MOST_ROWS labelled rows a class (those of least hash); the n-grams gathered are those of the
-sample that occur LEAST_COUNT times. Scoring covers every whole text.
+The language models count every n-gram of every labelled row of their folds, by shuffles; their ratios are written as
+a sorted file that workers map into memory, so no table of n-grams is held by the driver or broadcast. Only the logistic
+model is fitted on a sample: at most MOST_ROWS labelled rows a class of the last fold (those of least hash). Scoring
+covers every whole text.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 import uuid
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, arrow_map, materialize, worker_cache
+from .common import MEMO_ENTRIES, arrow_map, materialize, slices, worker_cache
 
-ORDER, DISCOUNT, MOST_ROWS, LEAST_COUNT = 6, 0.75, 8000, 2
+ORDER, DISCOUNT, MOST_ROWS = 6, 0.75, 8000
+#: Bytes of a key of the written model: ORDER characters in UTF-8. What ends a context's key, which no word holds.
+KEY, CONTEXT = 4 * ORDER, "\x01"
 FOLDS = 5
 _WORDS = re.compile(r"\w+")
 
@@ -47,7 +54,6 @@ class Ratios:
 
     grams: dict[str, float]
     contexts: dict[str, float]
-    token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def word(self, word: str) -> float:
         total, grams, contexts = 0.0, self.grams, self.contexts
@@ -60,7 +66,7 @@ class Ratios:
 
 
 def fit_ratios(counts: dict[str, tuple[int, int]]) -> Ratios:
-    """Kneser-Ney ratios from n-gram -> (toxic count, ordinary count)."""
+    """Kneser-Ney ratios from n-gram -> (toxic count, ordinary count): the plain version of ratio_table."""
     shared: list[dict[str, int]] = [Counter() for _ in range(ORDER + 1)]
     seen: list[set[str]] = [set() for _ in range(ORDER + 1)]
     for g in counts:
@@ -111,33 +117,130 @@ def fit_ratios(counts: dict[str, tuple[int, int]]) -> Ratios:
     return Ratios(grams, contexts)
 
 
-class _Memo(dict):
-    def __init__(self, ratios: Ratios):
-        super().__init__()
-        self.ratios = ratios
+def ratio_table(counts: DataFrame) -> DataFrame:
+    """(key, ratio) from counts (gram, t, o), by joins: n-grams, and contexts with CONTEXT at their end."""
+    counts = counts.withColumn("size", F.length("gram"))
+    tails = lambda text, first: F.explode(F.transform(F.sequence(F.lit(first), F.length(text)), lambda i: F.substring(text, i, F.lit(ORDER))))
+    # every n-gram of two characters or more that ends a counted one
+    longer = materialize(counts.select(tails(F.col("gram"), 1).alias("gram")).filter(F.length("gram") > 1).distinct())
+    # continuation counts; nothing stands before a word's start, so its n-grams count as such
+    shared = longer.select(F.expr("substring(gram, 2)").alias("tail")).groupBy("tail").agg(F.count("*").alias("c"))
+    shared = shared.unionByName(longer.filter(F.col("gram").startswith("\x02") & (F.length("gram") < ORDER)).select(F.col("gram").alias("tail"), F.lit(1).cast("bigint").alias("c")))
+    follow = Window.partitionBy(F.expr("substring(tail, 1, length(tail) - 1)"))
+    shared = shared.withColumn("total", F.sum("c").over(follow)).withColumn("kinds", F.count("*").over(follow))
+    shared = materialize(shared.select("tail", (F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / F.col("total")).alias("own"), (DISCOUNT * F.col("kinds") / F.col("total")).alias("left")))
+    alphabet = shared.filter(F.length("tail") == 1).count() + 1
+    base = F.when(F.col("size") == ORDER, F.expr("substring(gram, 2)")).otherwise(F.col("gram"))
+    steps = counts.select("gram", base.alias("base")).select("gram", tails(F.col("base"), 1).alias("tail")).join(shared, "tail")
+    steps = steps.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct(F.length("tail").alias("size"), "own", "left"))).alias("steps"))
+    low = steps.select("gram", F.aggregate("steps", F.lit(1.0 / alphabet), lambda p, x: x["own"] + x["left"] * p).alias("low"))
+    of = Window.partitionBy("context")
+    known = counts.join(low, "gram").withColumn("context", F.expr("substring(gram, 1, size - 1)"))
+    known = known.select("gram", "t", "o", "low", "context", F.sum("t").over(of).alias("nt"), F.sum("o").over(of).alias("no"), F.count_if(F.col("t") > 0).over(of).alias("kt"), F.count_if(F.col("o") > 0).over(of).alias("ko"))
+    known = materialize(known)
+
+    def seen(n: str, total: str, kinds: str) -> Column:
+        p = (F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) * F.col("low")) / F.col(total)
+        return F.log(F.when(F.col(total) > 0, p).otherwise(F.col("low")))
+
+    unseen = lambda total, kinds: F.when(F.col(total) > 0, F.log(DISCOUNT * F.col(kinds) / F.col(total))).otherwise(0.0)
+    grams = known.select(F.col("gram").alias("key"), (seen("t", "nt", "kt") - seen("o", "no", "ko")).alias("ratio"))
+    contexts = known.select(F.concat("context", F.lit(CONTEXT)).alias("key"), (unseen("nt", "kt") - unseen("no", "ko")).alias("ratio")).dropDuplicates(["key"])
+    return grams.unionByName(contexts)
 
-    def __missing__(self, unit: str) -> float:
-        words = _WORDS.findall(unit)
-        self[unit] = r = max(map(self.ratios.word, words)) if words else 0.0
-        return r
+
+@dataclass
+class Written:
+    """A file that every executor has a copy of (SparkFiles): `rows` keys of KEY bytes in ascending order, then their ratios."""
+
+    name: str
+    rows: int
+
+    def lookup(self) -> Lookup:
+        return Lookup(SparkFiles.get(self.name), self.rows)
+
+
+def write_ratios(table: DataFrame) -> Written:
+    """Hand (key, ratio) to the executors as a sorted file; the driver passes on one partition at a time."""
+    spark = table.sparkSession
+    table = materialize(table)
+    model = Written(f"toxicity-{uuid.uuid4().hex}", table.count())
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = np.array([k.encode() for k in batch.column(0).to_pylist()], f"S{KEY}")
+            ratios = np.array(batch.column(1).to_pylist(), "<f8")
+            return pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([ratios.tobytes()], pa.binary())], names=["n", "keys", "ratios"])
+
+        return step
+
+    path, at = os.path.join(spark.sparkContext._temp_dir, model.name), 0
+    with open(path, "wb") as f:
+        for block in arrow_map(table.orderBy("key"), make, "n bigint, keys binary, ratios binary").toLocalIterator():
+            f.seek(at * KEY)
+            f.write(block.keys)
+            f.seek(model.rows * KEY + at * 8)
+            f.write(block.ratios)
+            at += block.n
+    spark.sparkContext.addFile(path)
+    return model
+
+
+class Lookup:
+    """The ratios of a written model, mapped into memory."""
+
+    def __init__(self, path: str, rows: int):
+        self.keys = np.memmap(path, f"S{KEY}", "r", 0, (rows,)) if rows else np.zeros(0, f"S{KEY}")
+        self.ratios = np.memmap(path, "<f8", "r", rows * KEY, (rows,)) if rows else np.zeros(0)
+
+    def find(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ratio of each key (0 where there is none), and whether there is one."""
+        sought = np.array([k.encode() for k in keys], f"S{KEY}")
+        if not len(self.keys) or not keys:
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+        found = self.keys[at] == sought
+        return np.where(found, self.ratios[at], 0.0), found
+
+    def words(self, words: list[str]) -> list[float]:
+        """Ratio of each word: of its n-grams that are known, else of their contexts."""
+        grams = [ngrams(w) for w in words]
+        flat = [g for x in grams for g in x]
+        if not flat:
+            return []
+        ratios, found = self.find(flat)
+        missing = np.nonzero(~found)[0].tolist()
+        ratios[missing] = self.find([flat[i][:-1] + CONTEXT for i in missing])[0]
+        return np.add.reduceat(ratios, np.cumsum([0] + [len(x) for x in grams[:-1]])).tolist()
 
 
 class Scorer:
     """Features of a text: mean ratio of its distinct words, largest, mean of the three largest, log of their number."""
 
-    def __init__(self, ratios: Ratios, memo_entries: int = MEMO_ENTRIES):
-        self.memo, self.memo_entries = _Memo(ratios), memo_entries
+    def __init__(self, ratios: Lookup, memo_entries: int = MEMO_ENTRIES):
+        self.ratios, self.memo, self.memo_entries = ratios, {}, memo_entries
 
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        units = set((text or "").lower().split())
-        if not units:
-            return 0.0, 0.0, 0.0, 0.0
+    def features(self, texts: list[str]) -> list[tuple[float, float, float, float]]:
         if len(self.memo) > self.memo_entries:
             self.memo.clear()
-        r = list(map(self.memo.__getitem__, units))
+        memo, units = self.memo, [set(t.lower().split()) for t in texts]
+        new = list(set().union(*units).difference(memo)) if units else []
+        words = [_WORDS.findall(u) for u in new]
+        distinct = list({w for x in words for w in x})
+        of = dict(zip(distinct, self.ratios.words(distinct)))
+        for u, x in zip(new, words):
+            memo[u] = max(of[w] for w in x) if x else 0.0
+        return [self._row(list(map(memo.__getitem__, u))) for u in units]
+
+    def _row(self, r: list[float]) -> tuple[float, float, float, float]:
+        if not r:
+            return 0.0, 0.0, 0.0, 0.0
         top = sorted(r, reverse=True)[:3]
         return math.fsum(r) / len(r), top[0], math.fsum(top) / len(top), math.log1p(len(r))
 
+    def column(self, texts: pa.Array) -> list[tuple[float, float, float, float]]:
+        return [row for _, run in slices(texts) for row in self.features(run)]
+
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, scale, coefficients with the constant last) by Newton's method with a ridge."""
@@ -159,7 +262,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 @dataclass
 class Model:
-    ratios: Ratios
+    ratios: Written
     mean: np.ndarray
     scale: np.ndarray
     beta: np.ndarray
@@ -169,15 +272,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _features(data: DataFrame, ratios, extra: str = "") -> DataFrame:
+def _features(data: DataFrame, ratios: Written) -> DataFrame:
     """doc_id, f0 .. f3 of (doc_id, text)."""
     id_type = data.schema["doc_id"].dataType.simpleString()
 
     def make():
-        scorer = worker_cache("toxicity", ratios.value.token, lambda: Scorer(ratios.value))
+        scorer = worker_cache("toxicity", ratios.name, lambda: Scorer(ratios.lookup()))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [scorer.features(t.as_py()) for t in batch.column(1)]
+            rows = scorer.column(batch.column(1))
             columns = list(zip(*rows)) if rows else [[]] * 4
             return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.float64()) for c in columns]], names=["doc_id", "f0", "f1", "f2", "f3"])
 
@@ -186,40 +289,44 @@ def _features(data: DataFrame, ratios, extra: str = "") -> DataFrame:
     return arrow_map(data, make, f"doc_id {id_type}, f0 double, f1 double, f2 double, f3 double")
 
 
+def count_ngrams(rows: DataFrame) -> DataFrame:
+    """(gram, t, o): in how many toxic and ordinary rows of (text, y) each n-gram occurs, once for each distinct word and place."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            labels = batch.column(1).to_pylist()
+            for start, run in slices(batch.column(0)):
+                counts: Counter = Counter()
+                for text, y in zip(run, labels[start:]):
+                    counts.update([(w, y) for w in set(_WORDS.findall(text.lower()))])
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "y", "n"])
+
+        return step
+
+    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    words = arrow_map(rows.select("text", "y"), make, "word string, y int, n bigint").groupBy("word").agg(of(1).alias("t"), of(0).alias("o"))
+    w = F.concat(F.lit("\x02"), "word", F.lit("\x03"))
+    grams = F.transform(F.sequence(F.lit(2), F.length(w)), lambda i: F.substring(w, F.greatest(i - ORDER + 1, F.lit(1)), F.least(i, F.lit(ORDER))))
+    return words.select(F.explode(grams).alias("gram"), "t", "o").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_rows: int = MOST_ROWS) -> Model:
-    """Fit on labelled rows outside fold 0: folds 1 to 3 for the language models, fold 4 for the logistic model.
+    """Fit on labelled rows outside fold 0: all of folds 1 to 3 for the language models, at most most_rows a class of fold 4 for the logistic model.
 
     labels (doc_id, label_col): rows with a null in either are left out; of several labels of an id the largest holds.
     Without labels of both classes every score is the share of toxic labels (0.5 without any).
     """
-    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna()
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).filter(F.col("y").isin(0, 1)).withColumn("fold", fold(F.col("doc_id"))).filter("fold <> 0")
     of_class = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    picks = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for y in (0, 1)]
-    # at most 2 x most_rows ids: a proven bound
-    picked = F.broadcast(picks[0].unionByName(picks[1]))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-    sample = materialize(texts.join(picked, "doc_id"))
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts: Counter = Counter()
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in set(_WORDS.findall(text.lower())):
-                    counts.update([(g, y) for g in ngrams(w)])
-            keys = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["gram", "y", "n"])
-
-        return step
-
-    counted = arrow_map(sample.filter("fold < 4").select("text", "y"), make, "gram string, y int, n bigint")
-    counted = counted.groupBy("gram").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("o")).filter(F.col("t") + F.col("o") >= LEAST_COUNT)
-    table = counted.toArrow()
-    ratios = fit_ratios(dict(zip(table["gram"].to_pylist(), zip(table["t"].to_pylist(), table["o"].to_pylist()))))
-    shared = spark.sparkContext.broadcast(ratios)
-    held = sample.filter("fold = 4")
-    rows = _features(held.select("doc_id", "text"), shared).join(F.broadcast(held.select("doc_id", "y").distinct()), "doc_id").toArrow()
+    # both sides grow with the input: no hint
+    counted = count_ngrams(texts.filter(fold(F.col("doc_id")).between(1, 3)).join(known.filter("fold < 4").select("doc_id", "y"), "doc_id"))
+    ratios = write_ratios(ratio_table(materialize(counted)))
+    picks = [known.filter((F.col("fold") == 4) & (F.col("y") == y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for y in (0, 1)]
+    # at most 2 x most_rows ids: a proven bound
+    held = materialize(texts.join(F.broadcast(picks[0].unionByName(picks[1]).select("doc_id", "y")), "doc_id"))
+    rows = _features(held.select("doc_id", "text"), ratios).join(F.broadcast(held.select("doc_id", "y").distinct()), "doc_id").toArrow()
     y = np.array(rows["y"].to_pylist(), float)
     all_rows = sum(of_class.values())
     if len(y) < 10 or len(set(y)) < 2:
@@ -234,9 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_rows:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= 0.5) of every row; a null or empty text gets the score of no words."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.ratios)
-    found = _features(docs.select("doc_id", "text"), shared)
+    found = _features(docs.select("doc_id", "text"), model.ratios)
     z = F.lit(float(model.beta[-1]))
     for i in range(4):
         z = z + (F.col(f"f{i}") - float(model.mean[i])) / float(model.scale[i]) * float(model.beta[i])
@@ -252,17 +357,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Da
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below threshold, with all their columns, in one pass and without a shuffle."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def make():
-        m = shared.value
-        scorer = worker_cache("toxicity", m.ratios.token, lambda: Scorer(m.ratios))
+        scorer = worker_cache("toxicity", model.ratios.name, lambda: Scorer(model.ratios.lookup()))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = np.array([scorer.features(t.as_py()) for t in batch.column(at)], float).reshape(-1, 4)
-            return batch.filter(pa.array(m.probability(rows) < threshold))
+            rows = np.array(scorer.column(batch.column(at)), float).reshape(-1, 4)
+            return batch.filter(pa.array(model.probability(rows) < threshold))
 
         return step
 

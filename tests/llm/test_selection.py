@@ -1,5 +1,6 @@
 """Mixing, nearest neighbours, quality and toxicity."""
 
+import re
 import zlib
 
 import numpy as np
@@ -152,6 +153,29 @@ def test_kneser_ney_probabilities_sum_to_one():
     assert all(abs(v) < 1e-9 for v in [*r.grams.values(), *r.contexts.values()])
 
 
+def test_ratios_count_every_labelled_row(spark, make):
+    rows, known = corpus(120)
+    k = next(i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows[k] = (k, rows[k][1] + " hapaxword ünïq😀", rows[k][2])
+    y = {i: x for i, _, x in known}
+    model = toxicity.fit(make(rows), spark.createDataFrame(known, "doc_id bigint, quality int, toxic int"), most_rows=3)
+    counts = {}
+    for i, text, _ in rows:
+        if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3) and i in y:
+            for w in set(re.findall(r"\w+", text.lower())):
+                for g in toxicity.ngrams(w):
+                    c = counts.setdefault(g, [0, 0])
+                    c[1 - y[i]] += 1
+    assert any(t + o == 1 for t, o in counts.values())
+    want, got = toxicity.fit_ratios({g: tuple(c) for g, c in counts.items()}), model.ratios.lookup()
+    assert model.ratios.rows == len(want.grams) + len(want.contexts)
+    for keys, end in ((want.grams, ""), (want.contexts, toxicity.CONTEXT)):
+        ratios, found = got.find([k + end for k in keys])
+        assert found.all() and np.allclose(ratios, list(keys.values()), atol=1e-9)
+    words = ["hapaxword", "hapax", "never", "ünïq", "x" * 50]
+    assert np.allclose(got.words(words), [want.word(w) for w in words], atol=1e-9)
+
+
 def test_classifier_edges(edge, empty, labels):
     for f in (toxicity.toxicity, quality.quality):
         assert f(edge, labels).count() == len(EDGE)
