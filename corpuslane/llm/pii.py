@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions alone.
 
-Four base patterns give the seeds. The words around seeds induce lexical patterns; the graph of patterns and the
-identifier-like strings that they extract is scored in turns (a pattern by the mean score of its instances, an unseen
-instance by the mean score of its patterns), and patterns of high confidence add spans of kind `id`.
+Four base patterns and opaque values of `key = value` give the seeds. The words around them induce lexical patterns. A
+pattern counts if its words stand beside identifiers in most places where they occur at all (which no stop word does)
+and if its values are seeds or accepted rather than known negatives (too short, too few digits); unseen values neither
+help nor harm it. Values of patterns that count are accepted, until nothing is added; they get spans of kind `id`.
 
 Positions come from pairing the pieces of split() with the matches of regexp_extract_all(); every regular expression
 advances linearly (possessive quantifiers, starts only at the edge of a run), however long a text is.
@@ -16,7 +17,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone", "id")
-ROUNDS, LEAST_SEEDS, CONFIDENT = 2, 3, 0.6
+#: Distinct accepted values of a pattern at least; their share of accepted and negative ones; identifiers among the
+#: places where a pattern's word occurs.
+LEAST_SEEDS, CONFIDENT, LEAST_RATE = 3, 0.6, 0.5
+#: The key of a value after a colon, as a colon follows ordinary words too; any key may stand before an equals sign.
+SECRET = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|credential)[^a-z]*"
 #: An identifier found by context has at least so many characters and digits.
 LEAST_LENGTH, LEAST_DIGITS = 8, 3
 #: Characters before and after a candidate in which its neighbour words are sought.
@@ -129,31 +134,45 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def discover(occurrences: DataFrame) -> DataFrame:
-    """(key, start, end) of unseen identifiers among occurrences (key, start, end, value, left, left2, right, seed)."""
-    left = F.when(F.col("left").isNotNull(), F.concat(F.lit("L "), "left"))
-    both = F.when(F.col("left").isNotNull() & F.col("left2").isNotNull(), F.concat(F.lit("B "), "left2", F.lit(" "), "left"))
-    right = F.when(F.col("right").isNotNull(), F.concat(F.lit("R "), "right"))
-    named = materialize(occurrences.withColumn("patterns", F.array_compact(F.array(left, both, right))).drop("left", "left2", "right"))
-    edges = materialize(named.select(F.explode("patterns").alias("pattern"), F.xxhash64("value").alias("v"), "seed").groupBy("pattern", "v").agg(F.max("seed").alias("seed")))
-    seeds = edges.groupBy("v").agg(F.max("seed").alias("seed"))
-    instances = seeds.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(0.0))
-    patterns = None
-    for r in range(ROUNDS):
-        patterns = materialize(
-            edges.select("pattern", "v")
-            .join(instances, "v")
-            .groupBy("pattern")
-            .agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.count_if("seed").alias("seeds"))
-            .withColumn("confidence", F.col("s") / (F.col("n") + 1))
-        )
-        if r < ROUNDS - 1:
-            unseen = edges.select("pattern", "v").join(patterns.select("pattern", "confidence"), "pattern").groupBy("v").agg(F.avg("confidence").alias("mean"))
-            instances = materialize(seeds.join(unseen, "v").select("v", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("mean")).alias("score")))
-    good = patterns.filter((F.col("confidence") >= CONFIDENT) & ((F.col("seeds") >= LEAST_SEEDS) | (F.col("s") >= LEAST_SEEDS))).select("pattern")
+def _keyed() -> Column:
+    """Whether an occurrence is an opaque value (letters and digits) of a key."""
+    left, left2 = F.coalesce("left", F.lit("")), F.coalesce("left2", F.lit(""))
+    equals = left.rlike("[a-z0-9_][^a-z0-9=:]*=+[^a-z0-9=:]*$") | (left.rlike("^=+$") & left2.rlike("[a-z]"))
+    colon = left.rlike(rf"{SECRET}:[^a-z0-9=:]*$") | (left.rlike("^:$") & left2.rlike(rf"{SECRET}$"))
+    return (equals | colon) & F.col("value").rlike("[A-Za-z]") & ~F.col("value").contains("@")
+
+
+def discover(occurrences: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, start, end) of unseen identifiers among occurrences (key, copies, start, end, value, left, left2, right, seed, covered).
+
+    seed: overlaps a base span; covered: lies within one.
+
+    words (word, n): how often each word occurs in all texts, whose number of copies is `copies`.
+    """
+    of = lambda name, a, b=None: F.struct(F.concat_ws(" ", F.lit(name), *([b] if b else []), a).alias("pattern"), F.col(a).alias("a"), (F.col(b) if b else F.lit(None).cast("string")).alias("b"))
+    patterns = F.array_compact(F.array(F.when(F.col("left").isNotNull(), of("L", "left")), F.when(F.col("left").isNotNull() & F.col("left2").isNotNull(), of("B", "left", "left2")), F.when(F.col("right").isNotNull(), of("R", "right"))))
     shaped = (F.length("value") >= LEAST_LENGTH) & (F.length(_digits(F.col("value"))) >= LEAST_DIGITS)
-    unseen = named.filter(~F.col("seed") & shaped).select("key", "start", "end", F.explode("patterns").alias("pattern"))
-    return unseen.join(good, "pattern", "left_semi").select("key", "start", "end").distinct()
+    named = occurrences.withColumn("patterns", patterns).withColumn("shaped", shaped).withColumn("keyed", _keyed() & F.col("shaped") & ~F.col("covered")).withColumn("v", F.xxhash64("value"))
+    named = materialize(named.drop("left", "left2", "right", "value"))
+    each = named.select(F.explode("patterns").alias("p"), "v", "copies", "shaped", (F.col("seed") | F.col("shaped")).alias("like")).select("p.*", "v", "copies", "shaped", "like")
+    # a pair of words occurs at most as often as the rarer of them; what is no word by itself has no other places
+    near = each.filter("like").groupBy("pattern").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("copies").alias("near"), F.count_distinct("v").alias("values")).filter(F.col("values") >= LEAST_SEEDS)
+    near = near.join(words.select(F.col("word").alias("a"), F.col("n").alias("n_a")), "a", "left").join(words.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b", "left")
+    distinctive = near.filter(F.col("near") >= LEAST_RATE * F.coalesce(F.least("n_a", "n_b"), "near")).select("pattern")
+    edges = materialize(each.join(distinctive, "pattern", "left_semi").groupBy("pattern", "v").agg(F.max("shaped").alias("shaped")))
+    accepted = materialize(named.filter(F.col("seed") | F.col("keyed")).select("v").distinct())
+    before = 0
+    while True:
+        scored = edges.join(accepted.withColumn("yes", F.lit(True)), "v", "left").groupBy("pattern").agg(F.count_if("yes").alias("yes"), F.count_if(F.col("yes").isNull() & ~F.col("shaped")).alias("no"))
+        good = materialize(scored.filter((F.col("yes") >= LEAST_SEEDS) & (F.col("yes") >= CONFIDENT * (F.col("yes") + F.col("no")))).select("pattern"))
+        # accepted values are only ever added, so patterns are as well
+        if (now := good.count()) == before:
+            break
+        before = now
+        accepted = materialize(accepted.unionByName(edges.filter("shaped").join(good, "pattern", "left_semi").select("v")).distinct())
+    by_pattern = named.filter(~F.col("seed") & F.col("shaped")).select("key", "start", "end", F.explode("patterns.pattern").alias("pattern")).join(good, "pattern", "left_semi")
+    # digits within a secret may pass for a card: the whole of it counts
+    return named.filter("keyed").select("key", "start", "end").unionByName(by_pattern.select("key", "start", "end")).distinct()
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -165,13 +184,16 @@ def find(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("t"))
     narrow = narrow.select("doc_id", F.md5(F.col("t").cast("binary")).alias("key"), base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("found"))
-    return _with_added(materialize(narrow))
+    words = docs.select(F.explode(F.split(F.lower(text), rf"[{_SPACE}]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return _with_added(materialize(narrow), words)
 
 
-def _with_added(rows: DataFrame) -> DataFrame:
+def _with_added(rows: DataFrame, words: DataFrame) -> DataFrame:
     """Adds `spans` to rows (doc_id, key, base, found)."""
-    each = rows.dropDuplicates(["key"]).select("key", "base", F.explode("found").alias("c")).select("key", "c.*", F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"])).alias("seed"))
-    added = discover(each).groupBy("key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("added"))
+    # most texts hold no candidate
+    texts = rows.filter(F.size("found") > 0).groupBy("key").agg(F.first("base").alias("base"), F.first("found").alias("found"), F.count("*").alias("copies"))
+    each = texts.select("key", "base", "copies", F.explode("found").alias("c")).select("key", "copies", "c.*", F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"])).alias("seed"), F.exists("base", lambda b: (b["start"] <= F.col("c.start")) & (F.col("c.end") <= b["end"])).alias("covered"))
+    added = discover(each, words).groupBy("key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("added"))
     joined = rows.drop("found").join(added, "key", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return joined.withColumn("spans", spans).drop("added")

@@ -73,6 +73,25 @@ def test_context_finds_unseen_identifiers(make):
         assert extra == ([f"QX{i:04d}77ZZ19"] if i % 10 == 0 else [])
 
 
+def test_context_finds_secrets_and_no_stop_words(make):
+    rng, rows, want = random.Random(3), [], {}
+    secret = lambda: hashlib.blake2b(rng.randbytes(9), digest_size=20).hexdigest()
+    for i in range(60):
+        words = ["the", "a", "of", "and"] * 8
+        rng.shuffle(words)
+        words.insert(9, f"user{i}@mail.example.com")  # seeds stand beside stop words
+        words.insert(20, f"20{i:02d}112233")  # as do numbers that identify no one
+        if i % 6 == 0:
+            want[i] = [secret()]
+            words.insert(15, [f'token = "{want[i][0]}"', f"password={want[i][0]}", f"secret: {want[i][0]}"][i // 6 % 3])
+        rows.append((i, " ".join(words), "a"))
+    rows.append((99, "width = 2.0 time: 20250101T101010 the end", "a"))
+    out = {r.doc_id: r for r in pii.personal_data(make(rows)).collect()}
+    for i, text, _ in rows:
+        found = [s.split(":") for s in out[i].spans.split(",") if s]
+        assert [text[int(a) : int(z)] for k, a, z in found if k == "id"] == want.get(i, []), text
+
+
 def test_pii_edges(edge, empty):
     out = pii.personal_data(edge).collect()
     assert sorted(r.doc_id or 0 for r in out) == sorted(i or 0 for i, _, _ in EDGE)
