@@ -31,7 +31,8 @@ from .token_counts import AFTER_SPACE, PRE_TOKEN, byte_alphabet, simple
 RARE = "\u0530"
 #: Pieces and words that a worker remembers.
 STREAM_ENTRIES = 500_000
-MASK, LEAST, MOST = (1 << 10) - 1, 64, 8192
+#: Chunks of LEAST + 64 ids on average, well below a passage of 100 words.
+MASK, LEAST, MOST = (1 << 6) - 1, 32, 1024
 _SCHEMA = "name binary, n bigint, data binary, doc_id bigint, chunks binary, root binary"
 _GEAR = np.random.default_rng(20240901).integers(0, 1 << 32, 1 << 16, dtype=np.uint64).astype(np.uint32)
 
@@ -53,7 +54,7 @@ def cut_points(streams: list[np.ndarray], mask: int = MASK, least: int = LEAST,
     """Ends of the chunks of each stream: where the rolling hash has zero low bits, `least` to `most` ids apart.
 
     All streams are hashed as one: a window that reaches back into the stream before belongs to one of the first 31
-    ids, where no chunk ends (least is 64).
+    ids, where no chunk ends (least is 32).
     """
     h = rolling_hashes(np.concatenate(streams)) if streams else np.zeros(0, np.uint32)
     hits = np.nonzero((h >> np.uint32(16)) & np.uint32(mask) == 0)[0] + 1

@@ -113,6 +113,18 @@ def test_cuts_are_local(n):
     assert content_store.cut_points([a[: n // 2], a, a])[1] == alone
 
 
+def test_shared_passages_share_chunks():
+    rng, shared = np.random.default_rng(8), 0
+    some = lambda n: rng.integers(0, 50000, n).astype("<u2")
+    for _ in range(50):
+        passage, names = some(600), []
+        for a in (np.r_[some(rng.integers(1, 500)), passage, some(300)] for _ in range(2)):
+            cuts = content_store.cut_points([a])[0]
+            names.append({content_store.chunk_id(a[y:z].tobytes()): z - y for y, z in zip([0, *cuts], cuts)})
+        shared += sum(n for k, n in names[0].items() if k in names[1])
+    assert shared > 0.5 * 50 * 600
+
+
 def test_crc_combines():
     a = np.random.default_rng(1).integers(0, 50000, 3000).astype("<u4")
     for k in (1, 2, 1000, 2999):
