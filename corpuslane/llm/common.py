@@ -2,31 +2,56 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from atexit import register
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one task holds as Python words at once.
 SLICE_CHARS = 1_000_000
-#: Rows of an Arrow batch at most.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Entries of a worker's memo before it starts anew.
 MEMO_ENTRIES = 250_000
 #: ASCII white space of the word contracts: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more than 1 / HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE such keys.
+HOT_SHARE = 1000
+
+_BASES: dict[str, str] = {}
+
+
+def _base(spark: SparkSession) -> str:
+    """This application's own folder for intermediate tables, which goes when the driver ends.
+
+    It lies in the folder named by spark.checkpoint.dir; where that is unset, in the warehouse folder, or on a local
+    master, where no other machine reads it, in a temporary one.
+    """
+    app = spark.sparkContext.applicationId
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    key = f"{app} {shared}"
+    if key not in _BASES:
+        master = spark.sparkContext.master
+        if not shared and (master == "local" or master.startswith("local[")):
+            _BASES[key] = tempfile.mkdtemp(prefix="corpuslane-")
+            register(shutil.rmtree, _BASES[key], True)
+        else:
+            folder = (shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{app}")
+            fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)
+            _BASES[key] = f"{folder}/{app}"
+    return _BASES[key]
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where unset (tests), a new local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="corpuslane-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the shared folder for intermediate tables."""
+    return f"{_base(spark)}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -77,11 +102,10 @@ def worker_cache(slot: str, token: str, make: Callable[[], object]):
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """mapInArrow whose state `make()` is built once a task; its step gives one batch or yields several."""
+    """mapInArrow whose state `make()` is built once a task; its step gives one batch or yields several.
 
-    spark = df.sparkSession
-    if int(spark.conf.get(BATCH, "10000")) > BATCH_ROWS:
-        spark.conf.set(BATCH, str(BATCH_ROWS))  # texts can be long: few rows at a time in the JVM and the worker
+    Spark bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch), so long texts come few at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -95,30 +119,14 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def with_prefix_sum(df: DataFrame, order: list[str], value: str, out: str, rows_a_bucket: int = 250_000, most_buckets: int = 4096) -> DataFrame:
-    """Add `out`: the sum of `value` over all rows before this one in ascending `order` (first column numeric, nulls first).
+def join_counted(left: DataFrame, right: DataFrame, on: str | list[str], total: int, count: str = "n", share: int = HOT_SHARE) -> DataFrame:
+    """Inner join of left with right, which has one row a key and in `count` the number of left's rows with it (`total` in all).
 
-    Rows are cut into ranges of the first column by quantiles; only one sum per range reaches the driver.
-    Rows with equal first columns share a range. df must be cheap to read twice (a written table).
+    Hot keys, those of more than total / share rows, are fewer than `share`: they are broadcast, so their rows of left
+    aren't shuffled. Of what is left no key has more than that part of the rows.
     """
-    key = order[0]
-    buckets = max(16, min(most_buckets, df.count() // rows_a_bucket))
-    cuts = df.stat.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.5 / buckets) or []
-    cuts = sorted(set(cuts))
-    bucket: Column = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0))
-    if cuts:
-        # a search in a small literal instead of a range shuffle that samples the data again
-        df = df.withColumn("__cuts", F.array(*[F.lit(float(c)) for c in cuts]))
-        bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col(key))))
-    df = df.withColumn("__bucket", bucket).drop("__cuts")
-    sums = {r[0]: r[1] or 0 for r in df.groupBy("__bucket").agg(F.sum(value)).collect()}
-    before, total = [], 0
-    for b in sorted(sums):
-        before.append((b, total))
-        total += sums[b]
-    spark = df.sparkSession
-    offsets = F.broadcast(spark.createDataFrame(before or [(0, 0)], "__bucket int, __before bigint"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("__bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(offsets, "__bucket").withColumn(out, F.col("__before") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("__bucket", "__before")
+    hot = F.col(count) * share > total
+    # fewer than `share` rows: a proven bound
+    few = right.filter(hot)
+    keys = F.broadcast(few.select(*([on] if isinstance(on, str) else on)))
+    return left.join(F.broadcast(few), on).unionByName(left.join(keys, on, "left_anti").join(right.filter(~hot), on))

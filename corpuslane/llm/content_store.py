@@ -1,11 +1,14 @@
 """Content-addressed store of token ids.
 
-Layout of a store: `kind=chunk` has every unique chunk once (its id is the BLAKE2b-128 of its bytes),
-`recipes` has one row per document in ascending id order (chunk ids, number of ids, Merkle root), `manifest` has one
-Merkle root per recipe file. Chunk bytes are ids as little-endian unsigned integers of `width` bytes, zstd-compressed.
-
 A rolling hash over a window of 32 ids cuts each document's id stream, so copies and shared passages give equal
-chunks whatever stands before them.
+chunks whatever stands before them. Layout of a store:
+
+* `raw/kind=chunk`: every unique chunk once, named by the BLAKE2b-128 of its bytes (ids as little-endian unsigned integers of
+  `width` bytes). A row is a pack: chunks whose names fall into the same bucket, compressed together.
+* `recipes`: one row a document in ascending id order: its chunk names, number of ids and the Merkle root over the names.
+  Rows are numbered; RUN_ROWS of them in turn are a run.
+* `manifest`: of each run the Merkle root over its documents in order, its number of documents and ids.
+* `tree`: of each recipe file the Merkle root over its runs in order, and (file -1) that over all files.
 """
 
 from __future__ import annotations
@@ -13,19 +16,22 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, remove, scratch_dir, slices, with_prefix_sum, worker_cache
-from .token_counts import AFTER_SPACE, PRE_TOKEN, byte_alphabet, simple
+from .common import arrow_map, join_counted, remove, scratch_dir, slices, worker_cache
+from .token_counts import AFTER_SPACE, PRE_TOKEN, SPACE, byte_alphabet, simple
 
 #: From here on a character's class may differ between Unicode versions.
 RARE = "\u0530"
@@ -33,7 +39,11 @@ RARE = "\u0530"
 STREAM_ENTRIES = 500_000
 #: Chunks of LEAST + 64 ids on average, well below a passage of 100 words.
 MASK, LEAST, MOST = (1 << 6) - 1, 32, 1024
-_SCHEMA = "name binary, n bigint, data binary, doc_id bigint, chunks binary, root binary"
+#: Bytes of chunks that a task gathers before it sends them off by bucket; those of a bucket of names, about.
+PACK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+#: Documents of a run; children of a Merkle node.
+RUN_ROWS, FAN = 512, 16
+_RAW = "kind string, bucket int, width int, names binary, sizes binary, data binary, doc_id bigint, n_ids bigint, chunks binary, root binary"
 _GEAR = np.random.default_rng(20240901).integers(0, 1 << 32, 1 << 16, dtype=np.uint64).astype(np.uint32)
 
 
@@ -88,16 +98,23 @@ def chunk_id(data: bytes) -> bytes:
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
-    """Root of a binary hash tree; an odd node rises unchanged, no leaves give the hash of nothing."""
-    level = [hashlib.blake2b(b"\0" + x, digest_size=16).digest() for x in leaves]
-    if not level:
-        return hashlib.blake2b(b"", digest_size=16).digest()
-    while len(level) > 1:
-        up = [hashlib.blake2b(b"\1" + level[i] + level[i + 1], digest_size=16).digest() for i in range(0, len(level) - 1, 2)]
-        level = up + level[len(level) & ~1 :]
-    return level[0]
+    """Root of a hash tree of FAN children a node over leaves that are hashes; no leaves give the hash of nothing."""
+    if not leaves:
+        return hashlib.blake2b(b"", digest_size=16, person=b"empty").digest()
+    level = leaves
+    while True:
+        level = [hashlib.blake2b(b"".join(level[i : i + FAN]), digest_size=16, person=b"node").digest() for i in range(0, len(level), FAN)]
+        if len(level) == 1:
+            return level[0]
+
 
+def document_leaf(doc_id: int | None, n_ids: int, root: bytes) -> bytes:
+    """What stands for a document in its run's tree."""
+    return hashlib.blake2b(struct.pack("<?qq", doc_id is None, doc_id or 0, n_ids) + root, digest_size=16, person=b"document").digest()
 
+
+#: A line feed beside other white space, with which it may share a pre-token.
+_BESIDE = re.compile(f"\n(?:(?<=[{SPACE}]\n)|(?=[{SPACE}]))")
 #: A comma or full stop that may share a pre-token with what stands before it.
 _TIED = re.compile(r"[,.](?<![^\W_].)[ \n]")
 #: Punctuation that stands as one pre-token after letters (an apostrophe may open a contraction).
@@ -121,7 +138,7 @@ def units(text: str) -> list[str]:
     if _TIED.search(text) or not text.isascii() and _rare(text):
         return text.split(" ")
     text = text.replace(", ", " \0, ").replace(". ", " \0. ")
-    if "\n" in text and "\n\n" not in text and text[-1] != "\n" and text[0] != "\n":
+    if "\n" in text and text[-1] != "\n" and text[0] != "\n" and not _BESIDE.search(text):
         text = text.replace(".\n", " \0.\n").replace("\n", " \0\n \1")
     return text.split(" ")
 
@@ -205,74 +222,191 @@ class StreamEncoder:
         return out
 
 
-def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every text, append end_id, and write the store. A null text counts as empty: its stream is the end id.
+def _buckets(docs: DataFrame) -> int:
+    """Buckets of chunk names: a power of two that grows with the input's size, as Spark estimates it."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return 1 << max(6, min(20, (size // BUCKET_BYTES).bit_length()))
 
-    Rows are kept one by one: repeated rows give repeated recipes, a null id sorts first.
-    """
-    data = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def make():
+def _batch(rows: list[tuple], types: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in types]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types)], names=[n for n, _ in types])
+
+
+_RAW_TYPES = [("kind", pa.string()), ("bucket", pa.int32()), ("width", pa.int32()), ("names", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("doc_id", pa.int64()), ("n_ids", pa.int64()), ("chunks", pa.binary()), ("root", pa.binary())]
+
+
+def by_bucket(names: bytes, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, positions) of names of 16 bytes."""
+    bucket = np.frombuffer(names, np.uint32)[::4] & np.uint32(buckets - 1)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.nonzero(np.diff(bucket[order], append=-1))[0] + 1
+    start = 0
+    for end in ends.tolist():
+        at = order[start:end]
+        yield int(bucket[at[0]]), at
+        start = end
+
+
+def _split(blob: bytes) -> list[bytes]:
+    return [blob[i : i + 16] for i in range(0, len(blob), 16)]
+
+
+def _encoded(path: str, end_id: int, buckets: int):
+    """Documents (doc_id, text) to recipes and packs of chunks that are new to the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache("stream", path, lambda: StreamEncoder(path))
-        seen: set[bytes] = set()
         width, dtype = encoder.width, np.dtype(f"<u{encoder.width}")
-        pack = zstandard.ZstdCompressor(level=1)
-
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            tail = end_id.to_bytes(width, "little")
+        tail = end_id.to_bytes(width, "little")
+        press = zstandard.ZstdCompressor(level=1)
+        seen: set[bytes] = set()
+        names: list[bytes] = []
+        pieces: list[bytes] = []
+        held, k = 0, TaskContext.get().partitionId()
+
+        def packs() -> pa.RecordBatch:
+            blob = b"".join(names)
+            sizes, rows = np.fromiter(map(len, pieces), np.uint32, len(pieces)) // np.uint32(width), []
+            table = np.frombuffer(blob, "V16")
+            for bucket, at in by_bucket(blob, buckets):
+                data = press.compress(b"".join([pieces[i] for i in at.tolist()]))
+                rows.append(("chunk", bucket, width, table[at].tobytes(), sizes[at].tobytes(), data, None, None, None, None))
+            names.clear()
+            pieces.clear()
+            return _batch(rows, _RAW_TYPES)
+
+        for batch in batches:
             keys = batch.column(0).to_pylist()
-            for start, run in slices(batch.column(1)):
+            for start, texts in slices(batch.column(1)):
                 rows: list[tuple] = []
-                streams = [raw + tail for raw in encoder.encode(run)]
+                streams = [raw + tail for raw in encoder.encode(texts)]
                 arrays = [np.frombuffer(x, dtype) for x in streams]
-                for k, (stream, ids, cuts) in enumerate(zip(streams, arrays, cut_points(arrays))):
-                    last, names = 0, []
+                for key, stream, cuts in zip(keys[start:], streams, cut_points(arrays)):
+                    last, own = 0, []
                     for end in cuts:
-                        piece = stream[last * width : end * width]
+                        piece = stream[last : (last := end * width)]
                         name = chunk_id(piece)
-                        names.append(name)
-                        last = end
+                        own.append(name)
                         if name not in seen:
                             seen.add(name)
-                            rows.append(("chunk", name, width, pack.compress(piece), None, None, None))
-                    rows.append(("recipe", None, len(ids), None, keys[start + k], b"".join(names), merkle_root(names)))
+                            names.append(name)
+                            pieces.append(piece)
+                            held += len(piece)
+                    k += 1
+                    rows.append(("recipe", k * 7919 % buckets, None, None, None, None, key, len(stream) // width, b"".join(own), merkle_root(own)))
+                yield _batch(rows, _RAW_TYPES)
+                if held > PACK_BYTES:
+                    yield packs()
+                    held = 0
                 if len(seen) > 1 << 20:
                     seen.clear()
-                columns = list(zip(*rows))
-                types = (pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "name", "n", "data", "doc_id", "chunks", "root"])
+        if names:
+            yield packs()
+
+    return run
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs sorted by bucket with every chunk once; recipes pass."""
+    press, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    seen: set[bytes] = set()
+    now = None
+    for batch in batches:
+        is_pack = pc.equal(batch.column(0), "chunk")
+        yield batch.filter(pc.invert(is_pack))
+        rows = []
+        for row in batch.filter(is_pack).to_pylist():
+            if row["bucket"] != now:
+                now = row["bucket"]
+                seen.clear()
+            own = _split(row["names"])
+            fresh = []
+            for i, name in enumerate(own):
+                if name not in seen:
+                    seen.add(name)
+                    fresh.append(i)
+            if len(fresh) == len(own):
+                rows.append(tuple(row.values()))
+            elif fresh:
+                data, width = unpack.decompress(row["data"]), row["width"]
+                sizes = np.frombuffer(row["sizes"], np.uint32)
+                ends = (np.cumsum(sizes, dtype=np.int64) * width).tolist()
+                kept = b"".join([data[ends[i] - int(sizes[i]) * width : ends[i]] for i in fresh])
+                rows.append(("chunk", now, width, b"".join([own[i] for i in fresh]), sizes[fresh].tobytes(), press.compress(kept), None, None, None, None))
+        if rows:
+            yield _batch(rows, _RAW_TYPES)
 
-        return step
 
+def write_store(docs: DataFrame, path: str, store: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encode every text, append end_id, and write the store. A null text counts as empty: its stream is the end id.
+
+    Rows are kept one by one: repeated rows give repeated recipes, a null id sorts first; rows of one id stand in the
+    order of their Merkle roots.
+    """
     spark = docs.sparkSession
-    both = arrow_map(data, make, f"kind string, {_SCHEMA}")
-    # chunks meet by name, recipes stay spread by row: one shuffle for both, and no hot key, as a task sends a chunk once
-    both = both.withColumn("key", F.coalesce("name", F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string")).cast("binary")))
-    one = both.dropDuplicates(["key"]).drop("key")
-    one.write.mode("overwrite").partitionBy("kind").parquet(f"{store}/raw")
-    raw = _raw(spark, store, "recipe").select("doc_id", F.col("n").alias("n_ids"), "chunks", "root")
-    raw.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").write.mode("overwrite").parquet(f"{store}/recipes")
+    data = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    buckets = _buckets(data)
+    both = data.mapInArrow(_encoded(path, end_id, buckets), _RAW)
+    # chunks meet by bucket of their names, recipes are spread; a task sends a chunk once, so no bucket is hot
+    once = both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_once, _RAW)
+    once.write.mode("overwrite").partitionBy("kind").parquet(f"{store}/raw")
+    raw = spark.read.schema(_RAW).parquet(f"{store}/raw")
+    order = [F.col("doc_id").asc_nulls_first(), "root", "tie"]
+    recipes = raw.filter("kind = 'recipe'").select("doc_id", "n_ids", "chunks", "root", F.monotonically_increasing_id().alias("tie"))
+    recipes = recipes.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+
+    def make_numbers():
+        first, at = TaskContext.get().partitionId() << 32, 0
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal at
+            row = np.arange(at, at := at + batch.num_rows)
+            return pa.RecordBatch.from_arrays([pa.array(first + row), pa.array(first + row // RUN_ROWS), *batch.columns], names=["row", "run", *batch.schema.names])
+
+        return step
+
+    numbered = arrow_map(recipes, make_numbers, "row bigint, run bigint, doc_id bigint, n_ids bigint, chunks binary, root binary")
+    numbered.write.mode("overwrite").parquet(f"{store}/recipes")
     remove(spark, f"{store}/raw/kind=recipe")
-    recipes = spark.read.parquet(f"{store}/recipes").select("root", "n_ids", F.col("_metadata.file_name").alias("file"))
-    manifest = recipes.groupBy("file").agg(F.count("*").alias("documents"), F.sum("n_ids").alias("n_ids"), F.sha2(F.concat_ws("", F.sort_array(F.collect_list(F.hex("root")))), 256).alias("root"))
-    manifest.coalesce(1).write.mode("overwrite").parquet(f"{store}/manifest")
 
+    def root_of_run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row")
+        leaves = list(map(document_leaf, *(rows[c].to_pylist() for c in ("doc_id", "n_ids", "root"))))
+        return pa.table({"run": [key[0].as_py()], "documents": [len(leaves)], "n_ids": [sum(rows["n_ids"].to_pylist())], "root": [merkle_root(leaves)]})
+
+    narrow = spark.read.parquet(f"{store}/recipes").select("run", "row", "doc_id", "n_ids", "root")
+    narrow.groupBy("run").applyInArrow(root_of_run, "run bigint, documents bigint, n_ids bigint, root binary").write.mode("overwrite").parquet(f"{store}/manifest")
+    files = _file_roots(spark, store)
+    whole = (-1, sum(f[1] for f in files), sum(f[2] for f in files), merkle_root([f[3] for f in files]), buckets)
+    tree = spark.createDataFrame([whole, *[(*f, buckets) for f in files]], "file bigint, documents bigint, n_ids bigint, root binary, buckets int")
+    tree.coalesce(1).write.mode("overwrite").parquet(f"{store}/tree")
+
+
+def _file_roots(spark: SparkSession, store: str) -> list[tuple[int, int, int, bytes]]:
+    """(file, documents, ids, Merkle root of its runs) of each recipe file in order, from the manifest; one row a file reaches the driver."""
+
+    def root_of_file(key: tuple, runs: pa.Table) -> pa.Table:
+        runs = runs.sort_by("run")
+        return pa.table({"file": [key[0].as_py()], "documents": [sum(runs["documents"].to_pylist())], "n_ids": [sum(runs["n_ids"].to_pylist())], "root": [merkle_root(runs["root"].to_pylist())]})
 
-def _raw(spark: SparkSession, store: str, kind: str) -> DataFrame:
-    """Rows of a kind; none where no document was stored."""
-    return spark.read.schema(f"{_SCHEMA}, kind string").parquet(f"{store}/raw").filter(F.col("kind") == kind)
+    runs = spark.read.schema("run bigint, documents bigint, n_ids bigint, root binary").parquet(f"{store}/manifest")
+    files = runs.withColumn("file", F.shiftright("run", 32)).groupBy("file").applyInArrow(root_of_file, "file bigint, documents bigint, n_ids bigint, root binary")
+    return sorted(tuple(r) for r in files.collect())
 
 
 @cache
-def _shift_tables() -> list[list[int]]:
-    """Linear maps of crc32 that append 4 * 2^k zero bytes, as the images of the 32 bits."""
+def _shift_tables(k: int) -> np.ndarray:
+    """The linear map of crc32 that appends 4 * 2^k zero bytes, as tables of its images of each of the four bytes."""
     m = [0xEDB88320] + [1 << (i - 1) for i in range(1, 32)]  # one zero bit
-    out = []
-    for k in range(40):
+    for _ in range(k + 5):
         m = [_times(m, c) for c in m]
-        if k >= 4:
-            out.append(m)
-    return out
+    tables = np.zeros((4, 256), np.uint32)
+    for byte in range(4):
+        for bit in range(8):
+            step = 1 << bit
+            tables[byte, step : 2 * step] = tables[byte, :step] ^ np.uint32(m[8 * byte + bit])
+    return tables
 
 
 def _times(m: list[int], v: int) -> int:
@@ -285,76 +419,186 @@ def _times(m: list[int], v: int) -> int:
     return s
 
 
-@lru_cache(4 * MOST)
-def _shift(ids: int) -> list[int]:
-    """The map that appends `ids` ids of zero."""
-    m, k = [1 << i for i in range(32)], 0
-    while ids:
-        if ids & 1:
-            m = [_times(_shift_tables()[k], c) for c in m]
-        ids >>= 1
+def crc_after(crc: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """What each crc becomes, less the part of the new bytes, when `ids` 4-byte ids follow."""
+    crc, k = crc.astype(np.uint32), 0
+    while (ids >> k).any():
+        on = np.nonzero(ids >> k & 1)[0]
+        c, t = crc[on], _shift_tables(k)
+        crc[on] = t[0, c & 255] ^ t[1, c >> 8 & 255] ^ t[2, c >> 16 & 255] ^ t[3, c >> 24]
         k += 1
-    return m
+    return crc
 
 
-def crc_after(crc: int, ids: int) -> int:
-    """What crc becomes, less the part of the new bytes, when `ids` 4-byte ids follow."""
-    return _times(_shift(ids), crc)
+def unpacked(row: dict) -> Iterator[tuple[bytes, bytes]]:
+    """(name, bytes) of the chunks of a pack whose bytes hash to their names; a damaged pack has fewer or none."""
+    try:
+        data = zstandard.ZstdDecompressor().decompress(row["data"])
+    except (zstandard.ZstdError, TypeError):
+        return
+    at, width = 0, row["width"]
+    for name, n in zip(_split(row["names"]), np.frombuffer(row["sizes"], np.uint32).tolist()):
+        piece = data[at : (at := at + n * width)]
+        if chunk_id(piece) == name:
+            yield name, piece
 
 
-def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """Reads a store back: doc_id, start, n_tokens, ids_crc32, verified boolean, per document in ascending id order.
+_META = "bucket int, kind int, run bigint, names binary, ns binary, crcs binary"
+_META_TYPES = [("bucket", pa.int32()), ("kind", pa.int32()), ("run", pa.int64()), ("names", pa.binary()), ("ns", pa.binary()), ("crcs", pa.binary())]
 
-    Every chunk's bytes must hash to its name, every recipe's Merkle root must follow from the names found;
-    verified says whether both held. A chunk that is missing or damaged makes verified false and ids_crc32 null.
-    """
 
-    def make_chunks():
-        unpack = zstandard.ZstdDecompressor()
+def _verified_chunks():
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for row in batch.to_pylist():
+            found = list(unpacked(row))
+            wide = memoryview(np.frombuffer(b"".join([p for _, p in found]), f"<u{row['width']}").astype("<u4").tobytes())
+            ns = [len(p) // row["width"] for _, p in found]
+            ends = (4 * np.cumsum(ns, dtype=np.int64)).tolist()
+            crcs = [zlib.crc32(wide[a:z]) for a, z in zip([0, *ends], ends)]
+            rows.append((row["bucket"], 0, None, b"".join([n for n, _ in found]), np.array(ns, np.uint32).tobytes(), np.array(crcs, np.uint32).tobytes()))
+        return _batch(rows, _META_TYPES)
+
+    return step
+
 
+def _asked_chunks(buckets: int):
+    def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            names, ns, crcs = [], [], []
-            for name, width, data in zip(*[c.to_pylist() for c in batch.columns]):
-                piece = unpack.decompress(data)
-                if chunk_id(piece) != name:
-                    continue
-                ids = np.frombuffer(piece, f"<u{width}").astype("<u4")
-                names.append(name)
-                ns.append(len(ids))
-                crcs.append(zlib.crc32(ids.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64())], names=["name", "n", "crc"])
+            runs: dict[int, set[bytes]] = {}
+            for run, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                runs.setdefault(run, set()).update(_split(chunks))
+            rows = []
+            for run, names in runs.items():
+                table = np.frombuffer(blob := b"".join(sorted(names)), "V16")
+                rows += [(bucket, 1, run, table[at].tobytes(), None, None) for bucket, at in by_bucket(blob, buckets)]
+            return _batch(rows, _META_TYPES)
+
+        return step
+
+    return make
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket, chunks before questions: the lengths and checksums asked for, without holding the questions."""
+    now, known = None, {}
+    for batch in batches:
+        rows = []
+        for bucket, kind, run, names, ns, crcs in zip(*[c.to_pylist() for c in batch.columns]):
+            if bucket != now:
+                now, known = bucket, {}
+            if kind == 0:
+                known.update(zip(_split(names), zip(np.frombuffer(ns, np.uint32).tolist(), np.frombuffer(crcs, np.uint32).tolist())))
+                continue
+            held = [(name, *known[name]) for name in _split(names) if name in known]
+            name, n, crc = zip(*held) if held else ((), (), ())
+            rows.append((bucket, 1, run, b"".join(name), np.array(n, np.uint32).tobytes(), np.array(crc, np.uint32).tobytes()))
+        yield _batch(rows, _META_TYPES)
+
+
+_READ_TYPES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("verified", pa.bool_())])
+_READ = "row bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, verified boolean"
+
+
+def _documents(recipes: pa.Table, answers: pa.Table) -> pa.Table:
+    """Of one run: what its documents' chunks add up to, against their roots and the run's."""
+    known: dict[bytes, tuple[int, int]] = {}
+    base, intact, want = None, False, None
+    for a in answers.to_pylist():
+        if a["kind"] == 1:
+            known.update(zip(_split(a["names"]), zip(np.frombuffer(a["ns"], np.uint32).tolist(), np.frombuffer(a["crcs"], np.uint32).tolist())))
+        else:
+            base, intact, want = a["base"], a["intact"], a["names"]
+    if not recipes.num_rows:
+        return pa.table([[None], [None], [base], [None], [None], [False]], schema=_READ_TYPES)
+    recipes = recipes.sort_by("row")
+    ids, n_ids, roots = (recipes[c].to_pylist() for c in ("doc_id", "n_ids", "root"))
+    names = list(map(_split, recipes["chunks"].to_pylist()))
+    flat = [known.get(x, (-1, 0)) for own in names for x in own]
+    n, crc = (np.array(flat, np.int64).reshape(-1, 2)).T
+    bounds = np.cumsum([0, *map(len, names)])
+    before = np.concatenate([[0], np.cumsum(n)])
+    after = np.repeat(before[bounds[1:]], np.diff(bounds)) - before[1:]
+    moved = crc_after(crc, np.maximum(after, 0))
+    n_out, crc_out, ok = [], [], []
+    for k, own in enumerate(names):
+        a, z = bounds[k], bounds[k + 1]
+        whole = z > a and bool((n[a:z] >= 0).all()) and int(before[z] - before[a]) == n_ids[k]
+        n_out.append(int(before[z] - before[a]) if whole else None)
+        crc_out.append(int(np.bitwise_xor.reduce(moved[a:z])) if whole else None)
+        ok.append(whole and merkle_root(own) == roots[k])
+    intact = bool(intact) and merkle_root(list(map(document_leaf, ids, n_ids, roots))) == want
+    starts = [None if base is None else base + x for x in np.cumsum([0, *n_ids[:-1]]).tolist()]
+    return pa.table([recipes["row"].to_pylist(), ids, starts, n_out, crc_out, [intact and x for x in ok]], schema=_READ_TYPES)
+
+
+def _tables(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
+    """(packs of chunks, recipes) of a store."""
+    chunks = spark.read.schema(_RAW).parquet(f"{store}/raw").filter("kind = 'chunk'").select("bucket", "width", "names", "sizes", "data")
+    return chunks, spark.read.schema("row bigint, run bigint, doc_id bigint, n_ids bigint, chunks binary, root binary").parquet(f"{store}/recipes")
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """Reads a store back: doc_id, start, n_tokens, ids_crc32, verified boolean, per document.
+
+    Every chunk's bytes must hash to its name, a recipe's root follow from its chunk names, a run's root in the manifest
+    from its documents in order, a file's root from its runs, and the store's from its files; verified says whether all
+    held. A chunk that is missing or damaged makes verified false and n_tokens and ids_crc32 null; a changed, lost or
+    moved recipe makes it false for its run, a changed or lost row of the manifest for its file and those after it,
+    whose starts no longer follow. A run whose recipes are all lost gives one row without an id that isn't verified.
+    """
+    chunks, recipes = _tables(spark, store)
+    tree = {r["file"]: r for r in spark.read.parquet(f"{store}/tree").collect()}
+    found, bases, intact = {f[0]: f for f in _file_roots(spark, store)}, [], True
+    whole, at = tree.pop(-1), 0
+    intact = merkle_root([bytes(tree[f]["root"]) for f in sorted(tree)]) == bytes(whole["root"])
+    for f in sorted(tree):
+        intact = intact and f in found and found[f][3] == bytes(tree[f]["root"])
+        bases.append((f, at, intact))
+        at += tree[f]["n_ids"]
+    # one row a file
+    bases = F.broadcast(spark.createDataFrame(bases, "file bigint, file_base bigint, intact boolean"))
+    runs = spark.read.schema("run bigint, documents bigint, n_ids bigint, root binary").parquet(f"{store}/manifest").withColumn("file", F.shiftright("run", 32))
+    before = F.sum("n_ids").over(Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("before", F.coalesce(before, F.lit(0))).join(bases, "file")
+    runs = runs.select("run", F.lit(2).alias("kind"), F.col("root").alias("names"), (F.col("before") + F.col("file_base")).alias("base"), "intact")
+    asked = arrow_map(recipes.select("run", "chunks"), _asked_chunks(whole["buckets"]), _META)
+    both = arrow_map(chunks, _verified_chunks, _META).unionByName(asked)
+    answers = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answers, _META).drop("bucket")
+    answers = answers.unionByName(runs, allowMissingColumns=True)
+    read = recipes.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_documents, _READ)
+    return read.drop("row")
+
+
+def reconstruct(spark: SparkSession, store: str) -> DataFrame:
+    """doc_id, row, ids array<int> (end id included) of every document, from its chunks; ids is null where one is missing or damaged."""
+    chunks, recipes = _tables(spark, store)
+
+    def make_pieces():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for row in batch.to_pylist():
+                rows = [(name, np.frombuffer(p, f"<u{row['width']}").astype("<u4").tobytes()) for name, p in unpacked(row)]
+                yield _batch(rows, [("name", pa.binary()), ("piece", pa.binary())])
 
         return step
 
-    chunks = arrow_map(_raw(spark, store, "chunk").select("name", F.col("n").alias("width"), "data"), make_chunks, "name binary, n bigint, crc bigint")
-    recipes = spark.read.parquet(f"{store}/recipes").withColumn("row", F.monotonically_increasing_id())
-    parts = recipes.select("row", "doc_id", "root", F.posexplode(F.transform(F.sequence(F.lit(1), (F.octet_length("chunks") / 16).cast("int")), lambda i: F.substring("chunks", (i - 1) * 16 + 1, F.lit(16)))).alias("pos", "name"))
-    found = parts.join(chunks, "name", "left").groupBy("row", "doc_id", "root").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "n", "crc"))).alias("p"))
-    found = found.select("row", "doc_id", "root", "p.name", "p.n", "p.crc")
+    names = F.transform(F.sequence(F.lit(1), (F.octet_length("chunks") / 16).cast("int")), lambda i: F.substring("chunks", (i - 1) * 16 + 1, F.lit(16)))
+    parts = recipes.select("row", F.posexplode(names).alias("pos", "name"))
+    # a chunk that many documents share may be hot
+    counts = parts.groupBy("name").agg(F.count("*").alias("n"))
+    pieces = arrow_map(chunks, make_pieces, "name binary, piece binary").join(counts, "name")
+    found = join_counted(parts, pieces, "name", parts.count()).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("p"))
+    found = recipes.select("row", "doc_id", "n_ids").join(found.select("row", F.col("p.piece").alias("p")), "row", "left")
 
-    def make_documents():
+    def make_ids():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n_out, crc_out, ok_out = [], [], []
-            bounds = batch.column(3).offsets.to_pylist()
-            flat = [batch.column(i).values.to_pylist() for i in (3, 4, 5)]
-            for root, a, z in zip(batch.column(2).to_pylist(), bounds, bounds[1:]):
-                names, ns, crcs = (f[a:z] for f in flat)
-                whole = None not in ns
-                total, crc = 0, 0
-                if whole:
-                    for n, c in zip(ns, crcs):
-                        crc = crc_after(crc, n) ^ c if total else c
-                        total += n
-                n_out.append(total if whole else None)
-                crc_out.append(crc if whole else None)
-                ok_out.append(whole and merkle_root(names) == root)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_out, pa.int64()), pa.array(crc_out, pa.int64()), pa.array(ok_out, pa.bool_())], names=["row", "doc_id", "n_tokens", "ids_crc32", "verified"])
+            ids = [np.frombuffer(b"".join(p or []), "<u4") for p in batch.column(3).to_pylist()]
+            ids = [x.astype(np.int32) if len(x) == n else None for x, n in zip(ids, batch.column(2).to_pylist())]
+            return pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "row", "ids"])
 
         return step
 
-    read = arrow_map(found, make_documents, "row bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint, verified boolean")
-    starts = with_prefix_sum(recipes.select("row", "doc_id", "n_ids"), ["doc_id", "row"], "n_ids", "start").select("row", "start")
-    return read.join(starts, "row").select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
+    return arrow_map(found, make_ids, "doc_id bigint, row bigint, ids array<int>")
 
 
 def store_documents(docs: DataFrame, path: str, end_id: int = 0, store: str | None = None) -> DataFrame:

@@ -90,19 +90,87 @@ def test_store_round_trip(edge, empty):
     assert content_store.store_documents(empty, BYTE).count() == 0
 
 
-def test_store_holds_a_chunk_once_and_detects_damage(spark, make, tmp_path):
+def test_white_space_around_line_feeds():
+    library, own = Tokenizer.from_file(BYTE), content_store.StreamEncoder(BYTE)
+    some = ["č\n\xa0\xa0x", "Ž\n\xa0", "č\r\n\xa0\xa0x", "č.\n\xa0\xa0x", "a\n\u2003b\n\tc", "č, d. e\nf.\n g", "č\x0b\n\nx", "a\r\nb"]
+    rng = random.Random(9)
+    some += ["".join(rng.choice(["č", "a", ".", ", ", "\n", "\r\n", "\xa0", "\u2003", "\t", " b", "\x0c", "\x85"]) for _ in range(rng.randint(1, 12))) for _ in range(20000)]
+    for t, raw in zip(some, own.encode(some)):
+        assert np.frombuffer(raw, f"<u{own.width}").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def stored(spark, make, store):
+    """Three documents of which two are equal and one shares their passage, written to store; their rows by id."""
     body = " ".join(f"w{i * i % 7919}" for i in range(6000))
+    rows = [(1, body, "a"), (2, "another start " + body, "a"), (3, body, "b"), (None, "č\n\xa0x", "b")]
+    content_store.write_store(make(rows), BYTE, store)
+    return rows
+
+
+AT = {"chunks": "raw/kind=chunk", "recipes": "recipes", "manifest": "manifest", "tree": "tree"}
+
+
+def table_of(spark, store, name):
+    return [r.asDict() for r in spark.read.parquet(f"{store}/{AT[name]}").collect()]
+
+
+def rewritten(spark, store, to, **tables):
+    """Rows by id of a copy of a store with some tables replaced."""
+    for name, at in AT.items():
+        df = spark.read.parquet(f"{store}/{at}")
+        if name in tables:
+            df = spark.createDataFrame([tuple(r.values()) for r in tables[name]], df.schema)
+        df.write.parquet(f"{to}/{at}")
+    return {r.doc_id: r for r in content_store.read_store(spark, to).collect()}
+
+
+def test_store_holds_a_chunk_once_and_reconstructs(spark, make, tmp_path):
+    library, store = Tokenizer.from_file(BYTE), str(tmp_path / "store")
+    rows = stored(spark, make, store)
+    names = [n for r in table_of(spark, store, "chunks") for n in content_store._split(bytes(r["names"]))]
+    used = [n for r in table_of(spark, store, "recipes") for n in content_store._split(bytes(r["chunks"]))]
+    assert len(names) == len(set(names)) < len(used) and set(used) == set(names)
+    assert spark.read.parquet(f"{store}/manifest").agg({"documents": "sum"}).first()[0] == 4
+    back = {r.doc_id: r.ids for r in content_store.reconstruct(spark, store).collect()}
+    assert back == {i: library.encode(t, add_special_tokens=False).ids + [0] for i, t, _ in rows}
+
+
+def test_damage_is_reported(spark, make, tmp_path):
     store = str(tmp_path / "store")
-    content_store.write_store(make([(1, body, "a"), (2, "another start " + body, "a"), (3, body, "b")]), BYTE, store)
-    chunks = spark.read.parquet(f"{store}/raw/kind=chunk")
-    n, names = chunks.count(), chunks.select("name").distinct().count()
-    recipes = spark.read.parquet(f"{store}/recipes").collect()
-    assert n == names < sum(len(r.chunks) // 16 for r in recipes)
-    assert spark.read.parquet(f"{store}/manifest").agg({"documents": "sum"}).first()[0] == 3
-    lost = chunks.orderBy("name").limit(1).select("name").first().name
-    chunks.filter(chunks["name"] != lost).write.parquet(f"{store}2/raw/kind=chunk")
-    spark.read.parquet(f"{store}/recipes").write.parquet(f"{store}2/recipes")
-    assert any(not r.verified and r.ids_crc32 is None for r in content_store.read_store(spark, f"{store}2").collect())
+    stored(spark, make, store)
+    assert all(r.verified for r in content_store.read_store(spark, store).collect())
+    packs = table_of(spark, store, "chunks")
+    k = max(range(len(packs)), key=lambda i: len(packs[i]["data"]))
+    for what in ("lost", "cut", "flipped", "junk"):
+        data = bytes(packs[k]["data"])
+        data = {"lost": data, "cut": data[:-9], "flipped": data[:30] + bytes([data[30] ^ 255]) + data[31:], "junk": b"junk"}[what]
+        bad = packs[:k] + [packs[k] | {"data": bytearray(data)}] * (what != "lost") + packs[k + 1 :]
+        got = rewritten(spark, store, str(tmp_path / what), chunks=bad)
+        assert len(got) == 4 and not got[1].verified and got[1].ids_crc32 is None, what
+        ids = {r.doc_id: r.ids for r in content_store.reconstruct(spark, str(tmp_path / what)).collect()}
+        assert ids[1] is None and len(ids) == 4
+    recipes = sorted(table_of(spark, store, "recipes"), key=lambda r: r["row"])
+    swapped = [r | {"doc_id": i} for r, i in zip(recipes, (None, 2, 1, 3))]
+    got = rewritten(spark, store, str(tmp_path / "swapped"), recipes=swapped)
+    assert not got[1].verified and not got[2].verified
+    assert not all(r.verified for r in rewritten(spark, store, str(tmp_path / "fewer"), recipes=recipes[:-1]).values())
+    lost = rewritten(spark, store, str(tmp_path / "none"), recipes=[])
+    assert lost and not any(r.verified for r in lost.values())
+    manifest = [r | {"root": bytearray(16)} for r in table_of(spark, store, "manifest")]
+    assert not any(r.verified for r in rewritten(spark, store, str(tmp_path / "manifest"), manifest=manifest).values())
+
+
+def test_runs_follow_one_another(spark, make, monkeypatch):
+    library = Tokenizer.from_file(BYTE)
+    rows = [(i // 2 if i % 3 else None, f"text {i % 5} of some words " * (i % 4), "a") for i in range(1500)]
+    out = sorted(content_store.store_documents(make(rows), BYTE).collect(), key=lambda r: r.start)
+    at = 0
+    for r in out:
+        assert r.start == at and r.verified
+        at += r.n_tokens
+    want = sorted((i is not None, i or 0, len(library.encode(t, add_special_tokens=False).ids) + 1) for i, t, _ in rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in out) == want
+    assert [r.doc_id for r in out] == [i for _, i, _ in [(x, None if not x else y, z) for x, y, z in want]]
 
 
 @pytest.mark.parametrize("n", [1, 70, 5000, 40000])
@@ -128,4 +196,5 @@ def test_shared_passages_share_chunks():
 def test_crc_combines():
     a = np.random.default_rng(1).integers(0, 50000, 3000).astype("<u4")
     for k in (1, 2, 1000, 2999):
-        assert content_store.crc_after(zlib.crc32(a[:k].tobytes()), len(a) - k) ^ zlib.crc32(a[k:].tobytes()) == zlib.crc32(a.tobytes())
+        moved = content_store.crc_after(np.array([zlib.crc32(a[:k].tobytes())]), np.array([len(a) - k]))[0]
+        assert int(moved) ^ zlib.crc32(a[k:].tobytes()) == zlib.crc32(a.tobytes())
