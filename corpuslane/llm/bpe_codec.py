@@ -94,11 +94,11 @@ def lower(text: str) -> str:
 
 
 class _Memo(dict):
-    def __init__(self, work: Callable[[str], tuple[bytes, str]]):
+    def __init__(self, work: Callable[[str], bytes]):
         super().__init__()
         self.work = work
 
-    def __missing__(self, key: str) -> tuple[bytes, str]:
+    def __missing__(self, key: str) -> bytes:
         self[key] = x = self.work(key)
         return x
 
@@ -111,7 +111,6 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.end = spec["model"].get("end_of_word_suffix") or ""
-        self.tokens = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         library = Tokenizer.from_file(path)
@@ -130,21 +129,17 @@ class WordBpe:
             ids = self.words[word] = array("I", merge_by_tree(symbols, self.pairs)).tobytes()
         return ids
 
-    def _unit(self, unit: str) -> tuple[bytes, str]:
-        """Of a run without white space: its ids as little-endian unsigned 32-bit integers, and its tokens joined."""
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a run without white space, as little-endian unsigned 32-bit integers."""
         core = unit.rstrip(PUNCT) if unit.isascii() else ""
         if core.isalpha():
             data = self._word(core)
-            if len(core) < len(unit):
-                data += self._word(unit[len(core) :])
-        elif RARE.search(unit):
-            data = b"".join([self._word(unit[a:b]) for _, (a, b) in self.split(unit)])
-        else:
-            data = b"".join(map(self._word, PRE_TOKEN.findall(unit)))
-        tokens = self.tokens
-        return data, " ".join([tokens[i] for i in array("I", data)])
+            return data + self._word(unit[len(core) :]) if len(core) < len(unit) else data
+        if RARE.search(unit):
+            return b"".join([self._word(unit[a:b]) for _, (a, b) in self.split(unit)])
+        return b"".join(map(self._word, PRE_TOKEN.findall(unit)))
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _plain(self, text: str) -> bytes:
         if text.isascii():
             text = text.lower()
         elif RARE.search(text):
@@ -152,11 +147,12 @@ class WordBpe:
         else:
             text = lower(unicodedata.normalize("NFC", text))
         units = [u for u in SPACES.split(text) if u] if SEPARATORS.search(text) else text.split()
-        return list(map(self.memo.__getitem__, units))
+        return b"".join(map(self.memo.__getitem__, units))
 
-    def encode_parts(self, text: str | None) -> list[tuple[bytes, str]]:
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
-            return []
+            return b""
         if len(self.memo) > self.memo_entries:
             self.memo.clear()  # cheap to fill again while the words are known
         if len(self.words) > 2 * self.memo_entries:
@@ -166,65 +162,57 @@ class WordBpe:
         out = []
         for k, part in enumerate(self.special.split(text)):
             if k % 2:
-                out.append((self.specials[part].to_bytes(4, "little"), part))
+                out.append(self.specials[part].to_bytes(4, "little"))
             else:
-                out += self._plain(part)
-        return out
+                out.append(self._plain(part))
+        return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
-        return array("I", b"".join([p[0] for p in self.encode_parts(text)])).tolist()
+        return array("I", self.encode_bytes(text)).tolist()
+
+
+class Decoder:
+    """Decodes as the tokenizers library does with skip_special_tokens=False: the file names no decoder, so a space joins the tokens.
+
+    Ids that the file doesn't have are left out.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        known = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.tokens = known
 
     def decode(self, ids: list[int]) -> str:
-        """Token strings joined by a space (the file names no decoder); special tokens stay."""
-        return " ".join([self.tokens[i] for i in ids])
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids also ids array<int>,
-    with keep_decoded also decoded string.
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns in keep, n_tokens, ids_sha256, ids array<int> of every row.
 
-    ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the decoded text in
-    UTF-8. A null text counts as empty: no ids, an empty decoded text. Repeated rows give repeated results.
-    keep: further columns of docs that pass through.
+    ids_sha256 is over the ids as little-endian unsigned 32-bit integers. A null text counts as empty and has no ids;
+    repeated rows give repeated results, an empty table none.
     """
     keep = keep or []
-    data = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)])
+    data = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)])
     kept = "".join(f", __keep{i} {data.schema[f'__keep{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    schema = f"doc_id {data.schema['doc_id'].dataType.simpleString()}{kept}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    if keep_ids:
-        schema += ", ids array<int>"
-    if keep_decoded:
-        schema += ", decoded string"
+    schema = f"doc_id {data.schema['doc_id'].dataType.simpleString()}{kept}, n_tokens bigint, ids_sha256 string, ids array<int>"
 
     def make():
         codec = worker_cache("codec", path, lambda: WordBpe(path))
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for start, run in slices(batch.column(1)):
-                n, ids_sha, text_sha, ids, decoded = [], [], [], [], []
-                for text in run:
-                    parts = codec.encode_parts(text)
-                    data = b"".join([p[0] for p in parts])
-                    # decoding goes from ids to token strings; the memo holds that string for each run of ids
-                    back = " ".join([p[1] for p in parts if p[0]])
-                    n.append(len(data) // 4)
-                    ids_sha.append(hashlib.sha256(data).hexdigest())
-                    text_sha.append(hashlib.sha256(back.encode()).hexdigest())
-                    if keep_ids:
-                        ids.append(data)
-                    if keep_decoded:
-                        decoded.append(back)
+                ids = list(map(codec.encode_bytes, run))
+                n = [len(x) // 4 for x in ids]
                 part = batch.slice(start, len(run))
-                columns = [part.column(0), *[part.column(2 + i) for i in range(len(keep))], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                names = ["doc_id", *[f"__keep{i}" for i in range(len(keep))], "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    offsets = pa.array(np.cumsum([0, *n]), pa.int32())
-                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4"))))
-                    names.append("ids")
-                if keep_decoded:
-                    columns.append(pa.array(decoded, pa.string()))
-                    names.append("decoded")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                columns = [part.column(0), *[part.column(2 + i) for i in range(len(keep))], pa.array(n, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())]
+                offsets = pa.array(np.cumsum([0, *n]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *[f"__keep{i}" for i in range(len(keep))], "n_tokens", "ids_sha256", "ids"])
 
         return step
 
@@ -232,3 +220,22 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     for i, c in enumerate(keep):
         out = out.withColumnRenamed(f"__keep{i}", c)
     return out
+
+
+def decode_documents(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """rows with `decoded`: the text that ids_col stands for. Null ids count as none and give an empty text."""
+    at = rows.columns.index(ids_col)
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+
+    def make():
+        decoder = worker_cache("decoder", path, lambda: Decoder(path))
+
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = [decoder.decode(ids or ()) for ids in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+
+        return step
+
+    return arrow_map(rows, make, f"{fields}, decoded string")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, bpe_codec, content_store, jpeg, mixing, near_dedup, pii, quality, token_counts, toxicity
 
@@ -36,12 +37,14 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jpeg.store_texts(_table(spark, sf_dir, "documents"), keep_media=False)
+    found = jpeg.store_texts(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "thumbnail_hash")
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False, keep_decoded=False)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = bpe_codec.decode_documents(bpe_codec.encode_documents(_table(spark, sf_dir, "documents"), path), path)
+    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,11 +29,11 @@ def test_counts_match_library():
 
 
 def test_codec_matches_library():
-    library, own = Tokenizer.from_file(WORD), bpe_codec.WordBpe(WORD, memo_entries=500)
+    library, own, decoder = Tokenizer.from_file(WORD), bpe_codec.WordBpe(WORD, memo_entries=500), bpe_codec.Decoder(WORD)
     for t in texts():
         ids = library.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == ids, repr(t)
-        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        assert decoder.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_stream_encoder_matches_library():
@@ -65,7 +65,7 @@ def test_count_tokens_edges(edge, empty):
 
 def test_encode_documents_edges(edge, empty):
     library = Tokenizer.from_file(WORD)
-    out = bpe_codec.encode_documents(edge, WORD, keep=["source", "key"]).collect()
+    out = bpe_codec.decode_documents(bpe_codec.encode_documents(edge, WORD, keep=["source", "key"]), WORD).collect()
     assert len(out) == len(EDGE)
     by_text = {(i, s): t or "" for i, t, s in EDGE}
     for r in out:
@@ -73,8 +73,29 @@ def test_encode_documents_edges(edge, empty):
         assert r.ids == ids and r.n_tokens == len(ids) and r.key == "x"
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded == library.decode(ids, skip_special_tokens=False)
-        assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
-    assert bpe_codec.encode_documents(empty, WORD).count() == 0
+    assert bpe_codec.decode_documents(bpe_codec.encode_documents(empty, WORD), WORD).count() == 0
+
+
+def test_decoding_reads_the_ids(spark):
+    library = Tokenizer.from_file(WORD)
+    rows = [(1, [5, 300, 49000], "x"), (2, [], "x"), (3, None, "x"), (4, [7, 10**9, 8], "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, ids array<int>, text string")
+    got = {r.doc_id: r.decoded for r in bpe_codec.decode_documents(df, WORD).collect()}
+    assert got == {i: library.decode(ids or [], skip_special_tokens=False) for i, ids, _ in rows}
+
+
+def test_codec_query_on_edges(spark, edge, tmp_path):
+    from corpuslane.llm.queries import QUERIES
+
+    edge.write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(WORD)
+    want = []
+    for i, t, _ in EDGE:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        want.append((i or 0, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    got = QUERIES["op7_bpe_codec"](spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted((r[0] or 0, *r[1:]) for r in got) == sorted(want)
 
 
 def test_store_round_trip(edge, empty):
