@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuslane.llm import bpe_codec, mixing, near_dedup, pii, toxicity
 from corpuslane.llm.common import materialize
@@ -37,7 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the digests of ids and decoded text."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe_codec.encode_documents(docs, path, keep_decoded=False, keep=["lang", "source"])
+    found = bpe_codec.decode_documents(bpe_codec.encode_documents(docs, path, keep=["lang", "source"]), path)
+    digest = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    return found.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", digest)
 
 
 STAGES = [
