@@ -1,8 +1,9 @@
 """Baseline JPEG in numpy: markers, Huffman-coded scans, DC-only luminance thumbnails, and a lossless payload form.
 
 Decoding runs all restart intervals of a batch of images side by side: every numpy step reads one Huffman symbol of
-every interval. Payloads are kept in quantised coefficients, the format's unit: a byte b is the coefficient
-b (b >= 128) or b - 255, all of magnitude category 8, so the extra bits of the coefficient are the byte itself.
+every interval. Payloads are kept in quantised coefficients, the format's unit: bytes in the order of FREQUENT are the
+coefficients 1, -1, 2, -2 and so on, so that frequent letters have small magnitudes and short Huffman codes, and a
+text's JPEG is shorter than the text. No coefficient is zero, so a block has 64 symbols.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices
+from .common import SLICE_CHARS, arrow_map, materialize, scratch_dir, slices
 
 BLOCK = 64
 ZIGZAG = np.array([i * 8 + j for i, j in sorted(((i, j) for i in range(8) for j in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))])
@@ -239,56 +240,130 @@ def _segment(marker: int, body: bytes) -> bytes:
     return bytes([0xFF, marker]) + struct.pack(">H", len(body) + 2) + body
 
 
-#: Category 8 has the one-bit code; the other symbols that a baseline coder may need follow.
-_HEAD_TABLES = _segment(0xC4, b"\x00" + bytes([1, 1] + [0] * 14) + bytes([8, 0])) + _segment(0xC4, b"\x10" + bytes([1, 1] + [0] * 14) + bytes([8, 0]))
-
-
-def encode_payload(payload: bytes) -> bytes:
-    """A baseline JPEG that holds payload (a positive multiple of 64 bytes) in its coefficients, one block a restart interval."""
-    n = len(payload) // BLOCK
-    if not n or len(payload) % BLOCK:
-        raise ValueError("payload must be a positive multiple of 64 bytes")
+#: Bytes from the most to the least frequent in written text, by rule of thumb; the others follow in order.
+FREQUENT = b" eaintosrludchmpgfbv.,ywk\nqzx\0j"
+_BYTES = np.array([*FREQUENT, *(b for b in range(256) if b not in FREQUENT)], np.uint8)
+#: Code length of each magnitude category from 1 to 8 (no code is all ones), in the order of a Huffman table.
+_LENGTHS = {3: 2, 2: 2, 1: 2, 4: 3, 5: 4, 6: 5, 7: 6, 8: 7}
+
+
+def _code_table() -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(table as in a file, bits of each byte's symbol, their number)."""
+    counts = bytes(list(_LENGTHS.values()).count(n) for n in range(1, 17))
+    bits, size = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    code, last = 0, 2
+    codes = {}
+    for category, n in _LENGTHS.items():
+        code <<= n - last
+        codes[category] = code
+        code, last = code + 1, n
+    for rank, byte in enumerate(_BYTES.tolist()):
+        magnitude = rank // 2 + 1
+        category = magnitude.bit_length()
+        extra = magnitude if rank % 2 == 0 else (1 << category) - 1 - magnitude
+        bits[byte] = codes[category] << category | extra
+        size[byte] = _LENGTHS[category] + category
+    return counts + bytes(_LENGTHS), bits, size
+
+
+_TABLE, _BITS, _SIZE = _code_table()
+_HEAD_TABLES = _segment(0xC4, b"\x00" + _TABLE) + _segment(0xC4, b"\x10" + _TABLE)
+#: Byte of each coefficient from -128 to 128.
+_BYTE_OF = np.array([_BYTES[2 * (abs(v) - 1) + (v < 0)] if v else 0 for v in range(-128, 129)], np.uint8)
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Blocks across and down of the image of n blocks."""
     wide = min(8191, int(np.ceil(np.sqrt(n))))
     high = -(-n // wide)
     if high > 8191:
         raise ValueError("payload too large for one image")
-    total = wide * high
-    data = np.zeros(total * BLOCK, np.uint8)
-    data[: len(payload)] = np.frombuffer(payload, np.uint8)
-    bits = np.zeros((total * BLOCK, 9), np.uint8)
-    bits[:, 1:] = np.unpackbits(data).reshape(-1, 8)
-    coded = np.empty((total, 74), np.uint8)
-    coded[:, :72] = np.packbits(bits.ravel()).reshape(total, 72)
-    coded[:, 72] = 0xFF
-    coded[:, 73] = 0xD0 + np.arange(total) % 8
-    stuffing = np.zeros((total, 74), bool)
-    stuffing[:, :72] = coded[:, :72] == 0xFF
-    flat = coded.ravel()
-    if stuffing.any():
-        flat = np.insert(flat, np.nonzero(stuffing.ravel())[0] + 1, 0)
-    head = b"\xff\xd8" + _segment(0xFE, b"payload %d" % len(payload)) + _segment(0xDB, b"\0" + b"\1" * 64)
-    head += _segment(0xC0, b"\x08" + struct.pack(">HH", high * 8, wide * 8) + b"\x01\x01\x11\x00") + _HEAD_TABLES
-    head += _segment(0xDD, b"\0\1") + _segment(0xDA, b"\x01\x01\x00\x00\x3f\x00")
-    return head + flat[:-2].tobytes() + b"\xff\xd9"
-
-
-def payload_of(img: Image, coefficients: np.ndarray) -> bytes:
-    """The bytes that encode_payload put into the coefficients."""
-    v = coefficients.reshape(-1)
-    data = np.where(v < 0, v + 255, v).astype(np.uint8).tobytes()
-    return data[: int(img.comment.split()[1])]
+    return wide, high
 
 
-def decode_many(media: list[bytes]) -> list[tuple[Image, np.ndarray]]:
-    """(markers, coefficients) of each image; images with the same tables are decoded together."""
-    images = [parse(m) for m in media]
-    groups: dict[tuple, list[int]] = {}
-    for i, img in enumerate(images):
-        groups.setdefault((tuple(sorted(img.tables.items())), tuple(img.order), tuple(img.layout()[0])), []).append(i)
-    found: dict[int, np.ndarray] = {}
+def encode_many(payloads: list[bytes], sizes: list[int] | None = None) -> list[bytes]:
+    """Baseline JPEGs that hold payloads (positive multiples of 64 bytes) in their coefficients, one block a restart interval.
+
+    sizes: of each payload how many bytes aren't padding; it goes into the comment.
+    """
+    if any(not p or len(p) % BLOCK for p in payloads):
+        raise ValueError("a payload must be a positive multiple of 64 bytes")
+    shapes = [_shape(len(p) // BLOCK) for p in payloads]
+    blocks = np.array([w * h for w, h in shapes])
+    parts = [p.ljust(n * BLOCK, FREQUENT[:1]) for p, n in zip(payloads, blocks.tolist())]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    length = _SIZE[data].reshape(-1, BLOCK)
+    room = (length.sum(1) + 7) // 8  # bytes of each block
+    first = np.concatenate([[0], np.cumsum(room)])
+    at = (first[:-1, None] * 8 + np.cumsum(length, 1) - length).ravel()
+    length, code = length.ravel(), _BITS[data]
+    bits = np.ones(int(first[-1]) * 8, np.uint8)
+    for k in range(int(length.max())):
+        on = np.nonzero(length > k)[0]
+        bits[at[on] + k] = code[on] >> (length[on] - 1 - k) & 1
+    raw = np.packbits(bits)
+    full = raw == 0xFF  # is followed by a stuffed zero
+    block = np.repeat(np.arange(len(room)), room)
+    shift = np.cumsum(full)
+    to = np.arange(len(raw)) + shift - full + 2 * block
+    out = np.zeros(len(raw) + int(shift[-1]) + 2 * len(room), np.uint8)
+    out[to] = raw
+    ends = to[first[1:] - 1] + 1 + full[first[1:] - 1]
+    starts = np.concatenate([[0], np.cumsum(blocks)])
+    out[ends] = 0xFF
+    out[ends + 1] = 0xD0 + (np.arange(len(room)) - np.repeat(starts[:-1], blocks)) % 8
+    media = []
+    for k, (p, (wide, high)) in enumerate(zip(payloads, shapes)):
+        scan = out[to[first[starts[k]]] : ends[starts[k + 1] - 1]].tobytes()
+        head = b"\xff\xd8" + _segment(0xFE, b"payload %d %d" % (len(p), sizes[k] if sizes else len(p))) + _segment(0xDB, b"\0\x08" + b"\1" * 63)
+        head += _segment(0xC0, b"\x08" + struct.pack(">HH", high * 8, wide * 8) + b"\x01\x01\x11\x00") + _HEAD_TABLES
+        media.append(head + _segment(0xDD, b"\0\1") + _segment(0xDA, b"\x01\x01\x00\x00\x3f\x00") + scan + b"\xff\xd9")
+    return media
+
+
+def payload_of(img: Image, coefficients: np.ndarray) -> tuple[bytes, int]:
+    """(the bytes that encode_many put into the coefficients, how many of them aren't padding)."""
+    _, padded_size, size = img.comment.split()
+    return _BYTE_OF[coefficients.reshape(-1)[: int(padded_size)] + 128].tobytes(), int(size)
+
+
+#: What a damaged or foreign image may raise.
+_BROKEN = (ValueError, KeyError, IndexError, TypeError, struct.error, ZeroDivisionError)
+
+
+def decode_each(media: list[bytes | None]) -> list[tuple[Image, np.ndarray] | str]:
+    """(markers, coefficients) of each image, or what is wrong with it; images with the same tables are decoded together."""
+    found: dict[int, tuple[Image, np.ndarray] | str] = {}
+    groups: dict[tuple, list[tuple[int, Image]]] = {}
+    for i, m in enumerate(media):
+        try:
+            if m is None:
+                raise ValueError("no media")
+            img = parse(m)
+            groups.setdefault((tuple(sorted(img.tables.items())), tuple(img.order), tuple(img.layout()[0])), []).append((i, img))
+        except _BROKEN as e:
+            found[i] = str(e) or type(e).__name__
     for members in groups.values():
-        found.update(zip(members, decode_scans([images[i] for i in members])))
-    return [(img, found[i]) for i, img in enumerate(images)]
+        try:
+            scans = decode_scans([img for _, img in members])
+            found.update((i, (img, c)) for (i, img), c in zip(members, scans))
+        except _BROKEN:
+            # one of them is damaged: each by itself
+            for i, img in members:
+                try:
+                    found[i] = img, decode_scans([img])[0]
+                except _BROKEN as e:
+                    found[i] = str(e) or type(e).__name__
+    return [found[i] for i in range(len(media))]
+
+
+def decode_many(media: list[bytes]) -> list[tuple[Image, np.ndarray]]:
+    """(markers, coefficients) of each image; ValueError if one can't be decoded."""
+    found = decode_each(media)
+    for x in found:
+        if isinstance(x, str):
+            raise ValueError(x)
+    return found
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -296,60 +371,100 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * (-len(raw) % BLOCK or (0 if raw else BLOCK)), len(raw)
 
 
-def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """Every text as a JPEG (null: the empty text), read back: id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, width, height, thumbnail_hash, feature, and with keep_media the JPEG itself as media.
+def runs_of(media: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[bytes | None]]:
+    """The images in runs of about `limit` bytes."""
+    run, size = [], 0
+    for m in media:
+        m = m.as_py()
+        if run and size + len(m or b"") > limit:
+            yield run
+            run, size = [], 0
+        run.append(m)
+        size += len(m or b"")
+    if run:
+        yield run
 
-    Equal texts give equal values, repeated rows repeated results.
-    """
-    data = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {data.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, width int, height int, thumbnail_hash string, feature string"
-    if keep_media:
-        schema += ", media binary"
+
+def store_media(docs: DataFrame, store: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write every text (null: the empty one) as a JPEG to the table `store` and read that: doc_id, media, of every row."""
+    data = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for start, run in slices(batch.column(1)):
-                rows, media = [], []
-                sizes = []
-                for text in run:
-                    payload, n = padded(text)
-                    sizes.append(n)
-                    media.append(encode_payload(payload))
-                for n, m, (img, coefficients) in zip(sizes, media, decode_many(media)):
-                    back = payload_of(img, coefficients)
-                    mark = thumbnail_hash(thumbnail(img, coefficients))
-                    rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), img.width, img.height, mark, f"{img.width}x{img.height}:{mark}"))
-                types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-                columns = [batch.column(0).slice(start, len(run)), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]]
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "thumbnail_hash", "feature"]
-                if keep_media:
-                    columns.append(pa.array(media, pa.binary()))
-                    names.append("media")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                payloads, sizes = zip(*map(padded, run))
+                media = encode_many(list(payloads), list(sizes))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(run)), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
         return step
 
-    return arrow_map(data, make, schema)
+    stored = arrow_map(data, make, f"doc_id {data.schema['doc_id'].dataType.simpleString()}, media binary")
+    return materialize(stored, store)
+
+
+_FEATURES = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("thumbnail_hash", pa.string()), ("feature", pa.string())]
+
+
+def media_features(stored: DataFrame) -> DataFrame:
+    """Decodes stored media (doc_id, media): doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, width, height, thumbnail_hash, feature of every row; nulls beside media_bytes and media_sha256 where
+    the media are damaged, feature then says how.
+    """
+    schema = f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, width int, height int, thumbnail_hash string, feature string"
+
+    def row(m: bytes | None, found: tuple[Image, np.ndarray] | str) -> tuple:
+        digest = (len(m or b""), hashlib.sha256(m or b"").hexdigest())
+        try:
+            if isinstance(found, str):
+                raise ValueError(found)
+            payload, n = payload_of(*found)
+            img, mark = found[0], thumbnail_hash(thumbnail(*found))
+        except _BROKEN as e:
+            return (None, None, None, None, *digest, None, None, None, f"damaged: {e}")
+        return (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *digest, img.width, img.height, mark, f"{img.width}x{img.height}:{mark}")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            start = 0
+            for run in runs_of(batch.column(1)):
+                rows = [row(m, x) for m, x in zip(run, decode_each(run))]
+                columns = [batch.column(0).slice(start, len(run)), *[pa.array(c, t) for c, (_, t) in zip(zip(*rows), _FEATURES)]]
+                start += len(run)
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *[n for n, _ in _FEATURES]])
+
+        return step
+
+    return arrow_map(stored.select("doc_id", "media"), make, schema)
+
+
+def store_texts(docs: DataFrame, store: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """store_media (a new table in the shared folder by default) and media_features of what was stored.
+
+    Equal texts give equal values, repeated rows repeated results, an empty table none.
+    """
+    return media_features(store_media(docs, store or scratch_dir(docs.sparkSession), id_col, text_col))
 
 
 def inspect_media(rows: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
     """width, height, thumbnail_hash of any baseline JPEG column; nulls where the bytes are no such image (error says why)."""
     data = rows.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
 
+    def row(found: tuple[Image, np.ndarray]) -> tuple:
+        try:
+            return found[0].width, found[0].height, thumbnail_hash(thumbnail(*found)), None
+        except _BROKEN as e:
+            return None, None, None, str(e) or type(e).__name__
+
     def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = []
-            for m in batch.column(1).to_pylist():
-                try:
-                    if m is None:
-                        raise ValueError("no media")
-                    ((img, coefficients),) = decode_many([m])
-                    found.append((img.width, img.height, thumbnail_hash(thumbnail(img, coefficients)), None))
-                except (ValueError, KeyError, IndexError, struct.error) as e:
-                    found.append((None, None, None, str(e)))
-            columns = list(zip(*found)) if found else [[], [], [], []]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], names=["id", "width", "height", "thumbnail_hash", "error"])
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            start = 0
+            for run in runs_of(batch.column(1)):
+                found = [(None, None, None, x) if isinstance(x, str) else row(x) for x in decode_each(run)]
+                columns = list(zip(*found))
+                types = (pa.int32(), pa.int32(), pa.string(), pa.string())
+                part = batch.column(0).slice(start, len(run))
+                start += len(run)
+                yield pa.RecordBatch.from_arrays([part, *[pa.array(c, t) for c, t in zip(columns, types)]], names=["id", "width", "height", "thumbnail_hash", "error"])
 
         return step
 

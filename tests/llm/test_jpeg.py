@@ -87,30 +87,42 @@ def test_general_images(components, interval):
 
 def test_payload_round_trip():
     rng = np.random.default_rng(1)
-    payloads = [rng.integers(0, 256, 64 * n, dtype=np.uint8).tobytes() for n in (1, 2, 3, 17, 400)] + [b"\xff" * 640, b"\0" * 64]
-    for p, (img, c) in zip(payloads, jpeg.decode_many([jpeg.encode_payload(p) for p in payloads])):
-        assert jpeg.payload_of(img, c) == p
+    payloads = [rng.integers(0, 256, 64 * n, dtype=np.uint8).tobytes() for n in (1, 2, 3, 17, 400)] + [b"\xff" * 640, b"\0" * 64, bytes(range(256))]
+    for p, m, (img, c) in zip(payloads, jpeg.encode_many(payloads), jpeg.decode_many(jpeg.encode_many(payloads))):
+        assert jpeg.payload_of(img, c) == (p, len(p))
+        assert m == jpeg.encode_many([p])[0]
+    text = b"the frequent letters of a text have short codes, so that its image is the shorter one of the two. " * 40
+    assert len(jpeg.encode_many([jpeg.padded(text.decode())[0]])[0]) < 0.8 * len(text)
     with pytest.raises(ValueError):
-        jpeg.encode_payload(b"abc")
+        jpeg.encode_many([b"abc"])
 
 
-def test_store_texts_edges(edge, empty):
-    rows = jpeg.store_texts(edge).collect()
+def test_store_texts_edges(spark, edge, empty, tmp_path):
+    rows = jpeg.store_texts(edge, str(tmp_path / "media")).collect()
     assert len(rows) == len(EDGE)
+    media = {r.doc_id: bytes(r.media) for r in spark.read.parquet(str(tmp_path / "media")).collect()}
     by_id = {i: t or "" for i, t, _ in EDGE}
     for r in rows:
         raw = by_id[r.doc_id].encode()
         payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
-        assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
+        assert r.media_bytes == len(media[r.doc_id]) and r.media_sha256 == hashlib.sha256(media[r.doc_id]).hexdigest()
     twice = [r.feature for r in rows if r.doc_id == 7]
     assert twice[0] == twice[1]
     assert jpeg.store_texts(empty).count() == 0
 
 
+def test_features_come_from_what_is_stored(spark):
+    good, other = jpeg.encode_many([b"a" * 64, b"b" * 128], [64, 100])
+    df = spark.createDataFrame([(1, other), (2, good[:-20]), (3, None), (4, good)], "doc_id bigint, media binary")
+    got = {r.doc_id: r for r in jpeg.media_features(df).collect()}
+    assert (got[1].n_bytes, got[1].payload_sha256) == (100, hashlib.sha256(b"b" * 128).hexdigest()) and got[4].n_bytes == 64
+    assert all(got[i].payload_sha256 is None and got[i].feature.startswith("damaged") for i in (2, 3))
+
+
 def test_inspect_media(spark):
-    good = jpeg.encode_payload(b"a" * 64)
+    good = jpeg.encode_many([b"a" * 64])[0]
     df = spark.createDataFrame([(1, good), (2, None), (3, b"junk"), (4, good[:-20])], "doc_id bigint, media binary")
     got = {r.doc_id: r for r in jpeg.inspect_media(df).collect()}
     assert got[1].width == 8 and got[1].error is None
