@@ -79,23 +79,53 @@ def test_mix_edges(edge, empty):
     assert got == {k: v for k, v in plan.items() if v}
 
 
-def test_search_recall(spark):
+def vectors(spark, n, clustered):
     rng = np.random.default_rng(2)
-    x = rng.standard_normal((3000, 24)).astype(np.float32) * rng.uniform(0.5, 2, (3000, 1)).astype(np.float32)
+    x = rng.standard_normal((n, 24)) * rng.uniform(0.5, 2, (n, 1))
+    if clustered:
+        x = 0.3 * x + rng.standard_normal((40, 24))[rng.integers(0, 40, n)] * 3
+    x = x.astype(np.float32)
+    x[1::97] = x[0]  # ties
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
-    out = ann.search(df).toPandas()
     full = x.astype(float) @ x.astype(float).T
     np.fill_diagonal(full, -np.inf)
+    return df, full
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_search_recall(spark, clustered):
+    df, full = vectors(spark, 3000, clustered)
+    out = ann.search(df).toPandas()
     recall = []
     for q, g in out.groupby("query_id"):
         assert q % 20 == 0 and len(g) == 20 and q not in set(g.vec_id)
         g = g.sort_values("rank")
         assert list(g["rank"]) == list(range(1, 21)) and (np.diff(g.score) <= 0).all()
         assert np.allclose(g.score, full[q, g.vec_id])
-        recall.append(len(set(np.argsort(-full[q])[:20]) & set(g.vec_id)) / 20)
+        recall.append((g.score.to_numpy() >= np.sort(full[q])[-20] - 1e-9).mean())
     assert len(recall) == 150 and np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_exact_search(spark, monkeypatch, clustered):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    df, full = vectors(spark, 2000, clustered)
+    got = {}
+    for r in ann.search(df, list_recall=1.0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert sorted(got) == list(range(0, 2000, 20))
+    for q, found in got.items():
+        assert [found[i][1] for i in range(1, 21)] == pytest.approx(np.sort(full[q])[::-1][:20])
+        assert len({v for v, _ in found.values()}) == 20
+
+
+def test_search_with_equal_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(map(tuple, ann.search(df).collect())) == [(0, 1, 1, 3.0), (0, 2, 1, 2.0)]
+
+
 def test_search_edges(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [float("inf"), 0.0])]
     df = spark.createDataFrame([(i, v, "x", "x", "x") for i, v in rows], "vec_id bigint, embedding array<float>, id string, x string, list string")
