@@ -9,7 +9,7 @@ from atexit import register
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one task holds as Python words at once.
@@ -119,14 +119,24 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: str | list[str], total: int, count: str = "n", share: int = HOT_SHARE) -> DataFrame:
-    """Inner join of left with right, which has one row a key and in `count` the number of left's rows with it (`total` in all).
+def join_counted(left: DataFrame, right: DataFrame, on: str | list[str], total: int, spread: Column, how: str = "inner", count: str = "n", share: int = HOT_SHARE) -> DataFrame:
+    """Join of left with right, which has one row a key and in `count` the number of left's rows with it, of `total` in all.
 
-    Hot keys, those of more than total / share rows, are fewer than `share`: they are broadcast, so their rows of left
-    aren't shuffled. Of what is left no key has more than that part of the rows.
+    Hot keys, those of more than total / share rows, are fewer than `share`. They alone are broadcast, and their rows of
+    left are spread by the hash `spread` over so many copies of right's row that no key of the join has more than about
+    that part of the rows; the copies are fewer than 2 x share. `count` isn't in the result.
     """
+    on = [on] if isinstance(on, str) else on
+    salts = F.ceil(F.col(count) * share / max(total, 1)).cast("int")
     hot = F.col(count) * share > total
-    # fewer than `share` rows: a proven bound
-    few = right.filter(hot)
-    keys = F.broadcast(few.select(*([on] if isinstance(on, str) else on)))
-    return left.join(F.broadcast(few), on).unionByName(left.join(keys, on, "left_anti").join(right.filter(~hot), on))
+    # fewer than `share` rows of keys: a proven bound
+    few = F.broadcast(right.filter(hot).select(*on, salts.alias("__salts")))
+    salted = left.join(few, on, "left").withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(spread, F.col("__salts")).cast("int"))).drop("__salts")
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(hot, salts - 1).otherwise(0)))).drop(count)
+    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
+def looked_up(left: DataFrame, on: str, table: DataFrame, spread: Column) -> DataFrame:
+    """left with the columns of table, which has at most one row a value of `on`; null where it has none, or the value is null."""
+    counts = left.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n"))
+    return join_counted(left, counts.join(table, on, "left"), on, left.count(), spread, "left")

@@ -587,7 +587,7 @@ def reconstruct(spark: SparkSession, store: str) -> DataFrame:
     # a chunk that many documents share may be hot
     counts = parts.groupBy("name").agg(F.count("*").alias("n"))
     pieces = arrow_map(chunks, make_pieces, "name binary, piece binary").join(counts, "name")
-    found = join_counted(parts, pieces, "name", parts.count()).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("p"))
+    found = join_counted(parts, pieces, "name", parts.count(), F.xxhash64("row", "pos")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("p"))
     found = recipes.select("row", "doc_id", "n_ids").join(found.select("row", F.col("p.piece").alias("p")), "row", "left")
 
     def make_ids():

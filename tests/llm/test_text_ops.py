@@ -92,6 +92,104 @@ def test_context_finds_secrets_and_no_stop_words(make):
         assert [text[int(a) : int(z)] for k, a, z in found if k == "id"] == want.get(i, []), text
 
 
+def plain_candidates(text):
+    """(start, end, value, left, left2, right) of the words with a digit, by plain Python."""
+    out, words = [], [(m.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    digit = [bool(re.search("[0-9]", w)) for _, w in words]
+    for k, (at, w) in enumerate(words):
+        if not digit[k]:
+            continue
+        before, after = [], []
+        for j in range(k - 1, -1, -1):
+            if digit[j]:
+                break
+            before.append(words[j][1].lower())
+        for j in range(k + 1, len(words)):
+            if digit[j]:
+                break
+            after.append(words[j][1].lower())
+        m = re.match(r"([^=:]++[=:]++[^A-Za-z0-9+]*+)[^=:]++$", w)
+        head = m[1] if m else ""
+        lead = max(len(re.match("[^A-Za-z0-9+]*", w)[0]), len(head))
+        core = re.sub(r"[^A-Za-z0-9]+$", "", w[lead:])
+        left = re.sub("[^=:A-Za-z_-]", "", head).lower() if head else before[0] if before else None
+        out.append((at + lead, at + lead + len(core), core, left, before[1] if len(before) > 1 else None, after[0] if after else None))
+    return out
+
+
+def plain_added(texts):
+    """Spans that context adds to each text: the same rules over dictionaries."""
+    words, count, found = {}, {}, {}
+    for t in texts:
+        count[t] = count.get(t, 0) + 1
+        for w in re.split(r"[\x20\x09-\x0D]+", t.lower()):
+            words[w] = words.get(w, 0) + 1
+    edges, near = {}, {}
+    for t in count:
+        base = [(a, z) for _, a, z in plain_spans(t)]
+        for a, z, v, left, left2, right in plain_candidates(t):
+            seed, covered = any(x < z and a < y for x, y in base), any(x <= a and z <= y for x, y in base)
+            shaped = len(v) >= 8 and len(re.sub("[^0-9]", "", v)) >= 3
+            one, two = left or "", left2 or ""
+            equals = re.search("[a-z0-9_][^a-z0-9=:]*=+[^a-z0-9=:]*$", one) or re.search("^=+$", one) and re.search("[a-z]", two)
+            colon = re.search(rf"{pii.SECRET}:[^a-z0-9=:]*$", one) or one == ":" and re.search(rf"{pii.SECRET}$", two)
+            keyed = bool((equals or colon) and re.search("[A-Za-z]", v) and "@" not in v and shaped and not covered)
+            patterns = [("L", left)] * (left is not None) + [("B", left2, left)] * (left is not None and left2 is not None) + [("R", right)] * (right is not None)
+            found.setdefault(t, []).append((a, z, v, patterns, seed, shaped, keyed))
+            for p in patterns:
+                edges.setdefault(p, {})[v] = shaped
+                if seed or shaped:
+                    n, like = near.setdefault(p, [0, set()])
+                    near[p][0] = n + count[t]
+                    like.add(v)
+    few = {p for p, (n, like) in near.items() if len(like) >= pii.LEAST_SEEDS and n >= pii.LEAST_RATE * min([words[w] for w in p[1:] if w in words], default=n)}
+    accepted, good = {v for x in found.values() for _, _, v, _, seed, _, keyed in x if seed or keyed}, set()
+    while True:
+        yes = {p: sum(v in accepted for v in edges[p]) for p in few}
+        no = {p: sum(v not in accepted and not shaped for v, shaped in edges[p].items()) for p in few}
+        now = {p for p in few if yes[p] >= pii.LEAST_SEEDS and yes[p] >= pii.CONFIDENT * (yes[p] + no[p])}
+        if len(now) == len(good):
+            break
+        good = now
+        accepted |= {v for p in good for v, shaped in edges[p].items() if shaped}
+    return {t: sorted({(a, z) for a, z, _, patterns, seed, shaped, keyed in x if keyed or shaped and not seed and good & set(patterns)}) for t, x in found.items()}
+
+
+def test_context_matches_brute_force(make):
+    rng, rows = random.Random(11), []
+    words = ["card", "no", "the", "of", "id", "ref", "see", "ticket", "="]
+    values = [lambda: f"user{rng.randrange(99)}@ex.org", lambda: f"AB{rng.randrange(10**6):06d}", lambda: f"{rng.randrange(10**9):09d}", lambda: str(rng.randrange(99)), lambda: f"10.0.{rng.randrange(99)}.{rng.randrange(300)}", lambda: f'key="x{rng.randrange(10**7)}"', lambda: f"token: z{rng.randrange(10**8)}"]
+    for i in range(400):
+        rows.append((i, " ".join(rng.choice(values)() if rng.random() < 0.3 else rng.choice(words) for _ in range(rng.randint(0, 14))), "a"))
+    rows += [(1000 + i, rows[i % 7][1], "a") for i in range(60)]  # copies
+    want = plain_added([t for _, t, _ in rows])
+    out = {r.doc_id: r for r in pii.personal_data(make(rows)).collect()}
+    assert any(want.values()) and len(out) == len(rows)
+    for i, text, _ in rows:
+        spans = sorted([(a, k, z) for k, a, z in ((x[0], int(x[1]), int(x[2])) for x in (["id", *s] for s in want.get(text, [])))])
+        base = [(a, [p[0] for p in PATTERNS].index(k), z) for k, a, z in plain_spans(text)]
+        merged = sorted(base + [(a, 4, z) for a, _, z in spans])
+        assert out[i].spans == written([(pii.KINDS[k], a, z) for a, k, z in merged]), text
+
+
+def test_many_matches_in_one_text(spark):
+    """The work is linear: copying arrays at each match would take minutes here."""
+    text = "".join(f"w a{i}@b.cz 10.0.0.{i % 300} x{'y' * (i % 700 == 0) * 900} " for i in range(30000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    df = df.select("text", pii.base_spans(F.col("text")).alias("s"), pii.candidates(F.col("text")).alias("c"))
+    df = df.select(pii._written(F.col("s")).alias("w"), pii.masked(F.col("text"), F.col("s")).alias("m"), "c", pii.beside(F.col("s"), F.col("c")).alias("b"), "s")
+    r = df.first()
+    spans = plain_spans(text)
+    assert r.w == written(spans)
+    out, at = [], 0
+    for k, a, z in spans:
+        out += [text[at:a], f"<{k.upper()}>"] if a >= at else []
+        at = max(at, z)
+    assert r.m == "".join(out) + text[at:]
+    assert [(c.start, c.end, c.value, c.left, c.left2, c.right) for c in r.c] == plain_candidates(text)
+    assert len(r.b) == len(r.c) == 60000 and all(x.seed == any(a < c.end and c.start < z for _, a, z in spans[i : i + 1]) for i, (x, c) in enumerate(zip(r.b[:2], r.c)))
+
+
 def test_pii_edges(edge, empty):
     out = pii.personal_data(edge).collect()
     assert sorted(r.doc_id or 0 for r in out) == sorted(i or 0 for i, _, _ in EDGE)
