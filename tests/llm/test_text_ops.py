@@ -260,6 +260,33 @@ def test_near_duplicates_match_brute_force(make):
             assert (r.component_id, r.n_shingles, r.kept) == (want[r.doc_id], size[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_rows_of_one_id_with_different_texts(make):
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(5, one, "a"), (5, two, "b"), (3, one + " tail", "a"), (9, two, "c"), (9, two, "c"), (1, "all alone", "c"), (1, "all alone", "d")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(make(rows)).collect())
+    assert got == [(1, 1, True), (1, 1, True), (3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (9, 5, False)]
+    kept = sorted((r.doc_id, r.text) for r in near_dedup.deduplicated(make(rows)).collect())
+    assert kept == [(1, "all alone"), (3, one + " tail"), (5, two)]
+
+
+def test_strangers_in_a_hot_bucket(make, monkeypatch):
+    """All rows meet in every bucket: a star of copies, a second group apart from its centres, and single strangers."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "STAR", 5)
+    rng, rows = random.Random(8), []
+    for size in (30, 9, 5, 1, 1, 1):
+        base = [f"g{len(rows)}w{i}" for i in range(100)]
+        for _ in range(size):
+            text = list(base)
+            text[rng.randrange(100)] = f"x{rng.randrange(999)}"
+            rows.append((len(rows) * 31 % 97, " ".join(text), "a"))
+    want = plain_components([i for i, _, _ in rows], word_sets([t for _, t, _ in rows], 5))
+    sigs = near_dedup.signatures(make(rows), 5).dropDuplicates(["key"]).collect()
+    reps = make(rows).sparkSession.createDataFrame([(r.doc_id, r.doc_id, r.key, r.sig, [1, 2]) for r in sigs], "rep bigint, doc_id bigint, key binary, sig array<bigint>, bands array<bigint>")
+    got = {r.node: r.component for r in near_dedup._linked(reps, make(rows), 5, 80, 100).collect()}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) == 6
+
+
 def test_near_duplicates_edges(edge, empty):
     out = near_dedup.near_duplicates(edge, words=2).collect()
     assert len(out) == len(EDGE)
