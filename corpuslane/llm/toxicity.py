@@ -2,9 +2,10 @@
 
 Two models, of toxic and of ordinary documents, predict each character of a word from the ORDER - 1 before it. Their
 top order has class counts with absolute discount; below it both share one Kneser-Ney model of pooled continuation
-counts, so what a class hasn't seen costs it no more than the backoff mass. A document is compared by its
-length-normalised log-likelihood ratio (mean over distinct words), and by those of its most toxic words; a logistic
-model fitted on labelled rows outside the language models' turns these into a probability.
+counts, so what a class hasn't seen costs it no more than the backoff mass. A document is compared by the difference of its two
+log-likelihoods per character, over all its words, in which the shared probabilities of what neither class has seen
+cancel; and by the differences of its most toxic words. A logistic model fitted on labelled rows outside the language
+models' turns these into a probability.
 
 The language models count every n-gram of every labelled row of their folds, by shuffles; their ratios are written as
 a sorted file that workers map into memory, so no table of n-grams is held by the driver or broadcast. Only the logistic
@@ -18,7 +19,8 @@ import math
 import os
 import re
 import uuid
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,75 +50,6 @@ def ngrams(word: str) -> list[str]:
     return [w[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(w))]
 
 
-@dataclass
-class Ratios:
-    """log P(toxic) - log P(ordinary) of each known n-gram, and of any other n-gram after a known context."""
-
-    grams: dict[str, float]
-    contexts: dict[str, float]
-
-    def word(self, word: str) -> float:
-        total, grams, contexts = 0.0, self.grams, self.contexts
-        w = f"\x02{word}\x03"
-        for i in range(1, len(w)):
-            start = max(0, i - ORDER + 1)
-            r = grams.get(w[start : i + 1])
-            total += contexts.get(w[start:i], 0.0) if r is None else r
-        return total
-
-
-def fit_ratios(counts: dict[str, tuple[int, int]]) -> Ratios:
-    """Kneser-Ney ratios from n-gram -> (toxic count, ordinary count): the plain version of ratio_table."""
-    shared: list[dict[str, int]] = [Counter() for _ in range(ORDER + 1)]
-    seen: list[set[str]] = [set() for _ in range(ORDER + 1)]
-    for g in counts:
-        seen[len(g)].add(g)
-    for n in range(ORDER, 1, -1):  # continuation counts: one for each distinct longer n-gram
-        for g in seen[n]:
-            shared[n - 1][g[1:]] += 1
-            seen[n - 1].add(g[1:])
-        for g in seen[n]:
-            if g[0] == "\x02":  # nothing stands before a word's start, so its n-grams count as such
-                shared[n][g] = max(1, shared[n][g])
-    follow: list[dict[str, list[int]]] = [defaultdict(lambda: [0, 0]) for _ in range(ORDER + 1)]
-    for n in range(1, ORDER + 1):
-        for g, c in shared[n].items():
-            f = follow[n][g[:-1]]
-            f[0] += c
-            f[1] += 1
-    alphabet = len(shared[1]) + 1
-
-    def backoff(gram: str) -> float:
-        """Shared probability of the last character after the others."""
-        p = 1.0 / alphabet
-        for start in range(len(gram) - 1, -1, -1):
-            g = gram[start:]
-            f = follow[len(g)].get(g[:-1])
-            if f is None:
-                continue
-            p = (max(shared[len(g)].get(g, 0) - DISCOUNT, 0) + DISCOUNT * f[1] * p) / f[0]
-        return p
-
-    totals: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])  # counts and kinds of each class by context
-    for g, (t, o) in counts.items():
-        x = totals[g[:-1]]
-        x[0] += t
-        x[1] += o
-        x[2] += t > 0
-        x[3] += o > 0
-    contexts = {}
-    for c, (t, o, kt, ko) in totals.items():
-        contexts[c] = (math.log(DISCOUNT * kt / t) if t else 0.0) - (math.log(DISCOUNT * ko / o) if o else 0.0)
-    grams = {}
-    for g, (t, o) in counts.items():
-        nt, no, kt, ko = totals[g[:-1]]
-        low = backoff(g[1:] if len(g) == ORDER else g)
-        pt = (max(t - DISCOUNT, 0) + DISCOUNT * kt * low) / nt if nt else low
-        po = (max(o - DISCOUNT, 0) + DISCOUNT * ko * low) / no if no else low
-        grams[g] = math.log(pt) - math.log(po)
-    return Ratios(grams, contexts)
-
-
 def ratio_table(counts: DataFrame) -> DataFrame:
     """(key, ratio) from counts (gram, t, o), by joins: n-grams, and contexts with CONTEXT at their end."""
     counts = counts.withColumn("size", F.length("gram"))
@@ -215,28 +148,46 @@ class Lookup:
 
 
 class Scorer:
-    """Features of a text: mean ratio of its distinct words, largest, mean of the three largest, log of their number."""
+    """Features of a text: difference of the log-likelihoods per character (a word's end counts as one) of all its words,
+    that of its most toxic word, mean of its three most toxic distinct units, log of the number of distinct units.
+
+    Units are what stands between white space; each is scored by all its words, and the most toxic of them counts.
+    """
 
     def __init__(self, ratios: Lookup, memo_entries: int = MEMO_ENTRIES):
-        self.ratios, self.memo, self.memo_entries = ratios, {}, memo_entries
+        self.ratios, self.memo_entries = ratios, memo_entries
+        self.memo: dict[str, int] = {}
+        self.sums, self.sizes, self.tops = array("d"), array("q"), array("d")
 
-    def features(self, texts: list[str]) -> list[tuple[float, float, float, float]]:
-        if len(self.memo) > self.memo_entries:
-            self.memo.clear()
-        memo, units = self.memo, [set(t.lower().split()) for t in texts]
-        new = list(set().union(*units).difference(memo)) if units else []
+    def _learn(self, new: list[str]) -> None:
         words = [_WORDS.findall(u) for u in new]
         distinct = list({w for x in words for w in x})
         of = dict(zip(distinct, self.ratios.words(distinct)))
         for u, x in zip(new, words):
-            memo[u] = max(of[w] for w in x) if x else 0.0
-        return [self._row(list(map(memo.__getitem__, u))) for u in units]
+            self.memo[u] = len(self.sums)
+            own = [of[w] for w in x]
+            self.sums.append(math.fsum(own))
+            self.sizes.append(sum(map(len, x)) + len(x))
+            self.tops.append(max(own, default=0.0))
 
-    def _row(self, r: list[float]) -> tuple[float, float, float, float]:
-        if not r:
+    def features(self, texts: list[str]) -> list[tuple[float, float, float, float]]:
+        if len(self.memo) > self.memo_entries:
+            self.memo, self.sums, self.sizes, self.tops = {}, array("d"), array("q"), array("d")
+        units = [t.lower().split() for t in texts]
+        self._learn(list(set().union(*units).difference(self.memo)) if units else [])
+        sums, sizes, tops = (np.array(x) for x in (self.sums, self.sizes, self.tops))
+        get = self.memo.__getitem__
+        return [self._row(np.fromiter(map(get, u), np.int64, len(u)), sums, sizes, tops) for u in units]
+
+    @staticmethod
+    def _row(at: np.ndarray, sums: np.ndarray, sizes: np.ndarray, tops: np.ndarray) -> tuple[float, float, float, float]:
+        if not len(at):
             return 0.0, 0.0, 0.0, 0.0
-        top = sorted(r, reverse=True)[:3]
-        return math.fsum(r) / len(r), top[0], math.fsum(top) / len(top), math.log1p(len(r))
+        kinds = np.unique(at)
+        top = tops[kinds]
+        if len(top) > 3:
+            top = np.partition(top, -3)[-3:]
+        return float(sums[at].sum() / max(int(sizes[at].sum()), 1)), float(top.max()), math.fsum(top) / len(top), math.log1p(len(kinds))
 
     def column(self, texts: pa.Array) -> list[tuple[float, float, float, float]]:
         return [row for _, run in slices(texts) for row in self.features(run)]
@@ -350,13 +301,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs; held_out is false for a null id."""
+    """doc_id, held_out, score, predicted of every row of docs; held_out is false for a null id.
+
+    A null or empty text gets the score of no words; repeated rows get repeated results, an empty table none. Without
+    labels of both classes every score is the share of toxic labels. Columns of any name may stand beside the text.
+    """
     model = fit(docs, labels, label_col)
     return score(docs, model).withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))).select("doc_id", "held_out", "score", "predicted")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below threshold, with all their columns, in one pass and without a shuffle."""
+    """The rows of docs that score below threshold, with all their columns, in one pass and without a shuffle.
+
+    Null and empty texts have the score of no words; equal texts share their fate; an empty table stays empty.
+    """
     at = docs.columns.index("text")
 
     def make():

@@ -175,35 +175,76 @@ def test_toxicity_labels_of_fold_0_do_not_matter(spark, make):
     assert [x[0] for x in a] == [x[0] for x in b] and np.allclose([x[1] for x in a], [x[1] for x in b])
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    from collections import Counter
-
-    counts = Counter(g for w in ["abc", "abd", "bca", "cab"] for g in toxicity.ngrams(w))
-    r = toxicity.fit_ratios({g: (n, n) for g, n in counts.items()})
-    assert all(abs(v) < 1e-9 for v in [*r.grams.values(), *r.contexts.values()])
+class PlainKneserNey:
+    """Interpolated Kneser-Ney of two classes over one shared backoff, from n-gram -> (toxic count, ordinary count)."""
+
+    def __init__(self, counts):
+        self.counts = counts
+        seen = {g[i:] for g in counts for i in range(len(g) - 1)}
+        self.shared = {}  # in how many ways an n-gram is preceded; a word's start isn't, and counts once
+        for g in seen:
+            self.shared[g[1:]] = self.shared.get(g[1:], 0) + 1
+        for g in seen:
+            if g[0] == "\x02" and len(g) < toxicity.ORDER:
+                self.shared[g] = self.shared.get(g, 0) + 1
+        self.alphabet = sorted({g[-1] for g in counts}) + ["an unknown one"]
+
+    def mix(self, table, context, c, lower):
+        inside = {x: table[context + x] for x in self.alphabet if table.get(context + x)}
+        total, d = sum(inside.values()), toxicity.DISCOUNT
+        return (max(inside.get(c, 0) - d, 0) + d * len(inside) * lower) / total if total else lower
+
+    def backoff(self, context, c):
+        p = 1 / len(self.alphabet)
+        for i in range(len(context), -1, -1):
+            p = self.mix(self.shared, context[i:], c, p)
+        return p
+
+    def p(self, cls, context, c):
+        own = {g: n[cls] for g, n in self.counts.items()}
+        return self.mix(own, context, c, self.backoff(context[1:] if len(context) == toxicity.ORDER - 1 else context, c))
+
+    def word(self, word):
+        w, out = f"\x02{word}\x03", 0.0
+        for i in range(1, len(w)):
+            context = w[max(0, i - toxicity.ORDER + 1) : i]
+            out += np.log(self.p(0, context, w[i])) - np.log(self.p(1, context, w[i]))
+        return out
+
+
+def plain_counts(rows, y, folds):
+    counts = {}
+    for i, text, _ in rows:
+        if zlib.crc32(str(i).encode()) % 5 in folds and i in y:
+            for w in set(re.findall(r"\w+", text.lower())):
+                for g in toxicity.ngrams(w):
+                    counts.setdefault(g, [0, 0])[1 - y[i]] += 1
+    return counts
 
 
-def test_ratios_count_every_labelled_row(spark, make):
-    rows, known = corpus(120)
+def test_kneser_ney_against_plain_probabilities(spark, make):
+    rows, known = corpus(40)
     k = next(i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 1)
     rows[k] = (k, rows[k][1] + " hapaxword ünïq😀", rows[k][2])
+    rows = [(i, " ".join(t.split()[:12] + t.split()[-3:]), s) for i, t, s in rows]
     y = {i: x for i, _, x in known}
+    counts = plain_counts(rows, y, (1, 2, 3))
+    plain = PlainKneserNey(counts)
+    for context in ["", "\x02", "\x02h", "hapa", "apaxw", "\x02mor", "zz"]:
+        for cls in (0, 1):
+            assert sum(plain.p(cls, context, c) for c in plain.alphabet) == pytest.approx(1, abs=1e-9)
     model = toxicity.fit(make(rows), spark.createDataFrame(known, "doc_id bigint, quality int, toxic int"), most_rows=3)
-    counts = {}
-    for i, text, _ in rows:
-        if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3) and i in y:
-            for w in set(re.findall(r"\w+", text.lower())):
-                for g in toxicity.ngrams(w):
-                    c = counts.setdefault(g, [0, 0])
-                    c[1 - y[i]] += 1
+    got = model.ratios.lookup()
     assert any(t + o == 1 for t, o in counts.values())
-    want, got = toxicity.fit_ratios({g: tuple(c) for g, c in counts.items()}), model.ratios.lookup()
-    assert model.ratios.rows == len(want.grams) + len(want.contexts)
-    for keys, end in ((want.grams, ""), (want.contexts, toxicity.CONTEXT)):
-        ratios, found = got.find([k + end for k in keys])
-        assert found.all() and np.allclose(ratios, list(keys.values()), atol=1e-9)
-    words = ["hapaxword", "hapax", "never", "ünïq", "x" * 50]
-    assert np.allclose(got.words(words), [want.word(w) for w in words], atol=1e-9)
+    words = ["hapaxword", "hapax", "never", "ünïq", "x" * 30, "moron", *rows[3][1].split()[:10]]
+    assert np.allclose(got.words(words), [plain.word(w) for w in words], atol=1e-9)
+    texts = ["moron and moron, hapax!", "", "...", rows[1][1], "a-b moron"]
+    for text, f in zip(texts, toxicity.Scorer(got).features(texts)):
+        found = re.findall(r"\w+", text.lower())
+        total = sum(plain.word(w) for w in found)
+        assert f[0] == pytest.approx(total / (sum(map(len, found)) + len(found)) if found else 0, abs=1e-9)
+        units = {max([plain.word(w) for w in re.findall(r"\w+", u)], default=0.0) for u in set(text.lower().split())}
+        assert f[1] == pytest.approx(max(units, default=0.0), abs=1e-9)
 
 
 def test_classifier_edges(edge, empty, labels):
