@@ -15,28 +15,37 @@ from corpuslane.llm.common import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the class-conditional models score 0.5 or more go."""
+    """Documents that the class-conditional models score 0.5 or more go.
+
+    Null and empty texts have the score of no words, repeated rows share their fate, no labels or rows are no error.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8 the document of least id stays."""
+    """Of each group linked by five-word shingles at a similarity of 0.8 one document of least id stays.
+
+    Rows with a null id and null or wordless texts link with nothing and stay; repeated rows are copies.
+    """
     return near_dedup.deduplicated(docs, words=5)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data, by pattern or context, give way to the name of their kind."""
+    """Personal data, by pattern or context, give way to the name of their kind; all rows stay, null and empty texts as they are."""
     return pii.without_personal_data(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are dropped or repeated so that sources meet their targets."""
+    """Documents are dropped or repeated so that sources meet their targets.
+
+    A null source is one of its own; null and wordless texts have no words; equal rows are interchangeable.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and the digests of ids and decoded text."""
+    """doc_id, lang, source, n_tokens, ids, and the digests of ids and decoded text; a null text counts as empty."""
     path = public_tokenizers.path("word_bpe_49k.json")
     found = bpe_codec.decode_documents(bpe_codec.encode_documents(docs, path, keep=["lang", "source"]), path)
     digest = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
