@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, join_counted, materialize
 
 WEIGHTS = (5, 2, 1)
 BLOCK_ROWS = 4096
+#: Rows that may change sides at the end to restore a source's total of words; it bends their chances a little.
 LANDING_MOVES = 8
 
 
@@ -137,11 +138,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sizes, weights, share, most)
     pi = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    # the sources' table is joined by hash; a hot source's rows are salted so that no task gets them all
-    salts = 16
-    left = rows.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(salts)))
-    right = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("source", "__source")
-    joined = left.join(right, F.col("source").eqNullSafe(F.col("__source")) & (left["salt"] == right["salt"]))
+    # null sources need a key of their own
+    named = lambda df: df.withColumn("__key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    joined = join_counted(named(rows), named(targets).withColumn("__n", F.col("n")), "__key", rows.count(), F.xxhash64("row_key", "doc_id"), "inner", "__n")
     blocks = F.ceil(F.col("n") / block_rows)
     joined = joined.select("doc_id", "row_key", "source_rank", "size", "source_size", "target", F.floor(pi).cast("int").alias("base"), (pi - F.floor(pi)).alias("p"), F.pmod(F.xxhash64("row_key", "doc_id"), blocks).alias("block"))
     largest = (sizes.agg(F.max("n")).first()[0] or 0) + block_rows - 1
@@ -166,14 +165,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row repeated as often as mix() says; all columns stay."""
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    plan = mix(docs, row_key=key, **options)
-    plan = plan.groupBy("row_key").agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies"))
-    # the plan grows with docs: one join strategy at every size
-    joined = docs.withColumn("__key", key).join(plan.withColumnRenamed("row_key", "__key").hint("merge"), "__key").filter(F.col("__copies") > 0)
-    # equal rows are interchangeable: one of them stands for all their copies
-    single = joined.filter(F.col("__rows") == 1)
-    equal = joined.filter(F.col("__rows") > 1).dropDuplicates(["__key"])
-    both = single.unionByName(equal).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    """docs with every row repeated as often as mix() says; all columns stay.
+
+    Rows with a null or empty text have no words: they are kept or dropped by chance as their source's share says, and
+    sources without words go. Equal rows are interchangeable: one stands for all copies of its group. An empty table
+    stays empty. Columns of any name but maps may stand beside.
+    """
+    # the id beside the hash: rows of different ids are never taken for equal
+    keys = {"__key": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), "__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))}
+    plan = mix(docs, row_key=keys["__key"], **options).groupBy(F.col("row_key").alias("__key"), F.coalesce("doc_id", F.lit(-1)).alias("__id"))
+    plan = materialize(plan.agg(F.sum("copies").cast("int").alias("__copies")).filter("__copies > 0"))
+    # equal rows meet before the join, so no key is hot; the plan grows with docs: one join strategy at every size
+    joined = docs.withColumns(keys).dropDuplicates(["__key", "__id"]).join(plan.hint("merge"), ["__key", "__id"])
+    both = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return both.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize
+from .common import arrow_map, join_counted, materialize
 from .toxicity import fit_logistic, fold
 
 MOST_ROWS = 20000
@@ -111,11 +111,8 @@ def quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_c
     hosts = hosts.select("host", ((F.col("s") + host_k * mean) / (F.col("n") + host_k)).alias("host_rate"))
     paths = materialize(paths.join(hosts, "host"))
     path_k = _strength(paths.select("n", (F.col("s") / F.col("n")).alias("r"), "host_rate"), "r", "host_rate")
-    # a hot site is salted, its one row of rates repeated
-    salts = 16
-    left = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    right = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = left.join(right, ["host", "path", "salt"])
+    # a hot site's rows are spread
+    joined = join_counted(scored, paths.withColumn("__n", F.col("n")), ["host", "path"], scored.count(), F.xxhash64("doc_id"), "inner", "__n")
     rate = (F.greatest(F.col("s") - p, F.lit(0.0)) + path_k * F.col("host_rate")) / (F.col("n") - 1 + path_k)
     rate = F.least(F.greatest(rate, F.lit(1e-4)), F.lit(1 - 1e-4))
     joined = joined.withColumn("path_rate", rate)

@@ -265,3 +265,36 @@ def test_rates_shrink_toward_parents(spark, make):
     mean = np.mean([r.evidence for r in got.values()])
     tiny = np.mean([got[i].evidence for i in range(390, 400)])
     assert min(mean, tiny) - 1e-6 <= got[395].host_rate <= max(mean, tiny) + 1e-6
+
+
+def plain_strength(groups):
+    """(n, rate, prior) of each group to how many documents the prior is worth, by the method of moments."""
+    n, k = sum(g[0] for g in groups), len(groups)
+    if k < 2:
+        return 10.0
+    within = sum(g[0] * g[2] * (1 - g[2]) for g in groups) / n
+    between = max((sum(g[0] * (g[1] - g[2]) ** 2 for g in groups) - k * within) / n, 1e-9)
+    return min(max(within / between - 1, 1.0), 1e6)
+
+
+def test_rates_match_plain_shrinkage(spark, make):
+    rows, known = corpus(300)
+    hosts = ["a"] * 200 + ["b"] * 60 + [None] * 35 + ["tiny"] * 5
+    rows = [(i, None if i % 50 == 7 else t, h) for (i, t, _), h in zip(rows, hosts)]
+    df = make(rows).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "x").when(F.col("doc_id") % 3 == 1, "y"))
+    got = {r.doc_id: r for r in quality.quality(df, spark.createDataFrame(known, "doc_id bigint, quality int, toxic int")).collect()}
+    paths, by_host = {}, {}
+    for i, _, h in rows:
+        paths.setdefault((h, (i % 3) % 3 if i % 3 < 2 else None), []).append(round(got[i].evidence, 9))
+    for (h, _), v in paths.items():
+        by_host.setdefault(h, []).extend(v)
+    mean = sum(map(sum, by_host.values())) / len(rows)
+    k = plain_strength([(len(v), sum(v) / len(v), mean) for v in by_host.values()])
+    host_rate = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in by_host.items()}
+    k = plain_strength([(len(v), sum(v) / len(v), host_rate[h]) for (h, _), v in paths.items()])
+    for (h, c), v in paths.items():
+        for i in [i for i, _, x in rows if x == h and (i % 3 if i % 3 < 2 else None) == c]:
+            r, own = got[i], got[i].evidence
+            rate = min(max((max(sum(v) - own, 0) + k * host_rate[h]) / (len(v) - 1 + k), 1e-4), 1 - 1e-4)
+            odds = np.log(own / (1 - own)) + np.log(rate / (1 - rate)) - np.log(mean / (1 - mean))
+            assert (r.host_rate, r.path_rate, r.score) == pytest.approx((host_rate[h], rate, 1 / (1 + np.exp(-odds))), abs=1e-6)
