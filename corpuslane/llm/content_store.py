@@ -206,7 +206,8 @@ class StreamEncoder:
             self.memo.clear()
             self.memo.update(self.plain)
             self.words.clear()
-        get, piece, out = self.memo.get, self._piece, []
+        memo, get, piece, tokenize, code, out = self.memo, self.memo.get, self._piece, self.model.tokenize, self.code, []
+        space = self.letters[32]
         for text in texts:
             if MARK in text or BARE in text:
                 out.append(array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes())
@@ -217,7 +218,11 @@ class StreamEncoder:
             i = 0
             for _ in range(ids.count(None)):
                 i = ids.index(None, i)
-                ids[i] = piece(words[i])
+                word = words[i]
+                if i and word.isalpha() and word.isascii():
+                    ids[i] = memo[word] = array(code, [t.id for t in tokenize(space + word)]).tobytes()
+                else:
+                    ids[i] = piece(word)
             out.append(b"".join(ids))
         return out
 
@@ -259,7 +264,6 @@ def _encoded(path: str, end_id: int, buckets: int):
         encoder = worker_cache("stream", path, lambda: StreamEncoder(path))
         width, dtype = encoder.width, np.dtype(f"<u{encoder.width}")
         tail = end_id.to_bytes(width, "little")
-        press = zstandard.ZstdCompressor(level=1)
         seen: set[bytes] = set()
         names: list[bytes] = []
         pieces: list[bytes] = []
@@ -270,7 +274,7 @@ def _encoded(path: str, end_id: int, buckets: int):
             sizes, rows = np.fromiter(map(len, pieces), np.uint32, len(pieces)) // np.uint32(width), []
             table = np.frombuffer(blob, "V16")
             for bucket, at in by_bucket(blob, buckets):
-                data = press.compress(b"".join([pieces[i] for i in at.tolist()]))
+                data = b"".join([pieces[i] for i in at.tolist()])
                 rows.append(("chunk", bucket, width, table[at].tobytes(), sizes[at].tobytes(), data, None, None, None, None))
             names.clear()
             pieces.clear()
@@ -308,8 +312,8 @@ def _encoded(path: str, end_id: int, buckets: int):
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs sorted by bucket with every chunk once; recipes pass."""
-    press, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    """Packs sorted by bucket with every chunk once, compressed; recipes pass."""
+    press = zstandard.ZstdCompressor(level=1)
     seen: set[bytes] = set()
     now = None
     for batch in batches:
@@ -327,12 +331,12 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(name)
                     fresh.append(i)
             if len(fresh) == len(own):
-                rows.append(tuple(row.values()))
+                rows.append(tuple((row | {"data": press.compress(row["data"])}).values()))
             elif fresh:
-                data, width = unpack.decompress(row["data"]), row["width"]
+                data, width = row["data"], row["width"]
                 sizes = np.frombuffer(row["sizes"], np.uint32)
                 ends = (np.cumsum(sizes, dtype=np.int64) * width).tolist()
-                kept = b"".join([data[ends[i] - int(sizes[i]) * width : ends[i]] for i in fresh])
+                kept = b"".join([data[a:z] for a, z in ((ends[i - 1] if i else 0, ends[i]) for i in fresh)])
                 rows.append(("chunk", now, width, b"".join([own[i] for i in fresh]), sizes[fresh].tobytes(), press.compress(kept), None, None, None, None))
         if rows:
             yield _batch(rows, _RAW_TYPES)
@@ -443,8 +447,9 @@ def unpacked(row: dict) -> Iterator[tuple[bytes, bytes]]:
             yield name, piece
 
 
-_META = "bucket int, kind int, run bigint, names binary, ns binary, crcs binary"
-_META_TYPES = [("bucket", pa.int32()), ("kind", pa.int32()), ("run", pa.int64()), ("names", pa.binary()), ("ns", pa.binary()), ("crcs", pa.binary())]
+#: facts: of each name its chunk's length and checksum, n << 32 | crc.
+_META = "bucket int, kind int, run bigint, names binary, facts binary"
+_META_TYPES = [("bucket", pa.int32()), ("kind", pa.int32()), ("run", pa.int64()), ("names", pa.binary()), ("facts", pa.binary())]
 
 
 def _verified_chunks():
@@ -455,8 +460,8 @@ def _verified_chunks():
             wide = memoryview(np.frombuffer(b"".join([p for _, p in found]), f"<u{row['width']}").astype("<u4").tobytes())
             ns = [len(p) // row["width"] for _, p in found]
             ends = (4 * np.cumsum(ns, dtype=np.int64)).tolist()
-            crcs = [zlib.crc32(wide[a:z]) for a, z in zip([0, *ends], ends)]
-            rows.append((row["bucket"], 0, None, b"".join([n for n, _ in found]), np.array(ns, np.uint32).tobytes(), np.array(crcs, np.uint32).tobytes()))
+            facts = array("Q", [n << 32 | zlib.crc32(wide[a:z]) for n, a, z in zip(ns, [0, *ends], ends)])
+            rows.append((row["bucket"], 0, None, b"".join([n for n, _ in found]), facts.tobytes()))
         return _batch(rows, _META_TYPES)
 
     return step
@@ -465,13 +470,13 @@ def _verified_chunks():
 def _asked_chunks(buckets: int):
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            runs: dict[int, set[bytes]] = {}
+            runs: dict[int, dict[bytes, None]] = {}
             for run, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                runs.setdefault(run, set()).update(_split(chunks))
+                runs.setdefault(run, {}).update(dict.fromkeys(_split(chunks)))
             rows = []
             for run, names in runs.items():
-                table = np.frombuffer(blob := b"".join(sorted(names)), "V16")
-                rows += [(bucket, 1, run, table[at].tobytes(), None, None) for bucket, at in by_bucket(blob, buckets)]
+                table = np.frombuffer(blob := b"".join(names), "V16")
+                rows += [(bucket, 1, run, table[at].tobytes(), None) for bucket, at in by_bucket(blob, buckets)]
             return _batch(rows, _META_TYPES)
 
         return step
@@ -484,15 +489,18 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, known = None, {}
     for batch in batches:
         rows = []
-        for bucket, kind, run, names, ns, crcs in zip(*[c.to_pylist() for c in batch.columns]):
+        for bucket, kind, run, names, facts in zip(*[c.to_pylist() for c in batch.columns]):
             if bucket != now:
                 now, known = bucket, {}
             if kind == 0:
-                known.update(zip(_split(names), zip(np.frombuffer(ns, np.uint32).tolist(), np.frombuffer(crcs, np.uint32).tolist())))
+                known.update(zip(_split(names), array("Q", facts)))
                 continue
-            held = [(name, *known[name]) for name in _split(names) if name in known]
-            name, n, crc = zip(*held) if held else ((), (), ())
-            rows.append((bucket, 1, run, b"".join(name), np.array(n, np.uint32).tobytes(), np.array(crc, np.uint32).tobytes()))
+            own = _split(names)
+            held = list(map(known.get, own))
+            if None in held:
+                names = b"".join([name for name, fact in zip(own, held) if fact is not None])
+                held = [fact for fact in held if fact is not None]
+            rows.append((bucket, 1, run, names, array("Q", held).tobytes()))
         yield _batch(rows, _META_TYPES)
 
 
@@ -502,11 +510,11 @@ _READ = "row bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 big
 
 def _documents(recipes: pa.Table, answers: pa.Table) -> pa.Table:
     """Of one run: what its documents' chunks add up to, against their roots and the run's."""
-    known: dict[bytes, tuple[int, int]] = {}
+    known: dict[bytes, int] = {}
     base, intact, want = None, False, None
     for a in answers.to_pylist():
         if a["kind"] == 1:
-            known.update(zip(_split(a["names"]), zip(np.frombuffer(a["ns"], np.uint32).tolist(), np.frombuffer(a["crcs"], np.uint32).tolist())))
+            known.update(zip(_split(a["names"]), array("Q", a["facts"])))
         else:
             base, intact, want = a["base"], a["intact"], a["names"]
     if not recipes.num_rows:
@@ -514,8 +522,9 @@ def _documents(recipes: pa.Table, answers: pa.Table) -> pa.Table:
     recipes = recipes.sort_by("row")
     ids, n_ids, roots = (recipes[c].to_pylist() for c in ("doc_id", "n_ids", "root"))
     names = list(map(_split, recipes["chunks"].to_pylist()))
-    flat = [known.get(x, (-1, 0)) for own in names for x in own]
-    n, crc = (np.array(flat, np.int64).reshape(-1, 2)).T
+    # no chunk is empty, so 0 stands for one that isn't there
+    flat = np.array([known.get(x, 0) for own in names for x in own], np.uint64)
+    n, crc = (flat >> np.uint64(32)).astype(np.int64), flat.astype(np.uint32)
     bounds = np.cumsum([0, *map(len, names)])
     before = np.concatenate([[0], np.cumsum(n)])
     after = np.repeat(before[bounds[1:]], np.diff(bounds)) - before[1:]
@@ -523,7 +532,7 @@ def _documents(recipes: pa.Table, answers: pa.Table) -> pa.Table:
     n_out, crc_out, ok = [], [], []
     for k, own in enumerate(names):
         a, z = bounds[k], bounds[k + 1]
-        whole = z > a and bool((n[a:z] >= 0).all()) and int(before[z] - before[a]) == n_ids[k]
+        whole = z > a and bool(n[a:z].all()) and int(before[z] - before[a]) == n_ids[k]
         n_out.append(int(before[z] - before[a]) if whole else None)
         crc_out.append(int(np.bitwise_xor.reduce(moved[a:z])) if whole else None)
         ok.append(whole and merkle_root(own) == roots[k])
