@@ -275,3 +275,17 @@ def address(text: Column, postcode: str) -> Column:
     """What stands before a city's post code, else the street."""
     before = F.nullif(white_space(F.substring_index(text, postcode, 1)), F.lit(""))
     return F.when(text.contains(postcode), before).otherwise(street(text))
+
+
+def fax(c: Column) -> Column:
+    """The first telephone number after the word fax."""
+    return F.try_element_at(phones(F.regexp_extract(c, r"(?i)fax:? *([^a-z]*)", 1)), F.lit(1))["number"]
+
+
+#: Extractors by bit, as a mask selects them.
+REGISTRY = {1: ("email", emails), 2: ("url", urls), 4: ("isbn", isbn), 8: ("issn", issns), 16: ("pages", pages), 32: ("volume", volume), 64: ("publisher", publisher), 128: ("title", title), 256: ("booktitle", booktitle), 512: ("event", events), 1024: ("organization", organizations), 2048: ("person", persons), 4096: ("project", projects), 8192: ("date", dates), 16384: ("time", times), 32768: ("telephone", phones), 65536: ("to_appear", to_appear), 131072: ("submitted", submitted), 262144: ("street", street), 524288: ("datetime", datetimes)}
+
+
+def extract(rows: DataFrame, text: str, mask: int) -> DataFrame:
+    """rows with a column for each extractor whose bit mask has."""
+    return rows.withColumns({name: f(F.col(text)) for bit, (name, f) in REGISTRY.items() if mask & bit})

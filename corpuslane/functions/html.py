@@ -9,12 +9,14 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: A start tag of the key closes an open element of the values.
@@ -190,15 +192,15 @@ def per_page(pages: DataFrame, f, schema: str, key: str = "page_id", source: str
     """Rows that f(nodes) gives for each page, after its key; schema lists f's columns."""
     data = pages.select(F.col(key), F.col(source))
     full = f"{key} {data.schema[key].dataType.simpleString()}, {schema}"
+    types = to_arrow_schema(StructType.fromDDL(full))
 
-    def run(frames):
-        import pandas as pd
-
-        for df in frames:
-            rows = [(k, *r) for k, s in zip(df[key], df[source]) for r in f(parse(s))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in full.split(", ")]) if rows else pd.DataFrame({c.split()[0]: [] for c in full.split(", ")})
+    def run(batches):
+        for batch in batches:
+            rows = [(k, *r) for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in f(parse(s))]
+            columns = list(zip(*rows)) if rows else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, types)], schema=types)
 
-    return data.mapInPandas(run, full)
+    return data.mapInArrow(run, full)
 
 
 def full_text(n: Node) -> str:
@@ -296,6 +298,23 @@ def regions(nodes: DataFrame, header: float = 4.0, least_text: int = 10, key: st
     return names.join(records, [key, "region"], "full").select(key, "region", "header", F.coalesce("records", F.array().cast("array<string>")).alias("records"))
 
 
+#: Visibilities that may open a region, when the best one is sought.
+LEVELS = tuple(8.0 - 0.5 * i for i in range(14))
+
+
+def best_header(nodes: DataFrame, levels: tuple[float, ...] = LEVELS, least_text: int = 10, key: str = "page_id") -> DataFrame:
+    """(key, header): of levels the one whose regions() hold most nearly e texts each, the smallest of equals; one pass over the nodes."""
+    body = nodes.filter("tag not in ('script', 'style', 'title', 'head', 'html')").select(key, "node_id", "visibility", "text", F.explode(F.array(*[F.lit(x) for x in levels])).alias("header"))
+    opens = (F.col("visibility") >= F.col("header")) & (F.col("text") != "")
+    holds = ~opens & (F.length("text") > least_text)
+    first = lambda c: F.min(F.when(c, F.col("node_id")))
+    each = body.groupBy(key, "header").agg(F.count_if(opens).alias("opened"), F.count_if(holds).alias("records"), first(opens).alias("o"), first(holds).alias("r"))
+    # texts before the first header are a region as well
+    regions = F.col("opened") + F.when(F.col("r") < F.coalesce("o", F.col("r") + 1), 1).otherwise(0)
+    fair = F.round(F.abs(F.log((F.col("records") + 1) / (regions + 1)) - 1), 9)
+    return each.filter(regions > 0).groupBy(key).agg(F.min_by("header", F.struct(fair, "header")).alias("header"))
+
+
 def chunks(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, record, chunks): text-bearing nodes under each child of the body's blocks, with link, title and tag."""
     up = nodes.select(key, F.col("node_id").alias("parent_id"), F.col("tag").alias("parent_tag"))
@@ -352,7 +371,6 @@ def menu(nodes: list[Node], words: tuple[str, ...] = ("home", "about", "contact"
 
 def sift(nodes: list[Node], coefficient: float = 2.0) -> list[tuple[int, str, str]]:
     """Records of a page: the most frequent (tag, depth) climbs to its parents while they hold few elements each."""
-    from collections import Counter
 
     kinds = Counter((n.tag, n.depth) for n in nodes if n.tag not in ("option", "br", "select", "form"))
     if not kinds:
@@ -365,3 +383,14 @@ def sift(nodes: list[Node], coefficient: float = 2.0) -> list[tuple[int, str, st
             break
         members = parents
     return [(n.id, n.tag, full_text(n)) for n in members]
+
+
+def below_headers(nodes: DataFrame, header: float = 4.0) -> DataFrame:
+    """The regions of pages that stand below a header."""
+    return regions(nodes, header).filter("header is not null")
+
+
+def link_path(ns: list[Node]) -> list[tuple[str]]:
+    """The most frequent chain of three tags down to a link, ties by name; for per_page."""
+    found = Counter(">".join(x.tag for x in (n.parent.parent, n.parent, n)) for n in ns if n.tag == "a" and n.parent and n.parent.parent)
+    return [(min(found, key=lambda c: (-found[c], c)),)] if found else []

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import extract as E
 
 HEADINGS = ("introduction", "related work", "background", "methods", "methodology", "experiments", "evaluation", "results", "discussion", "conclusion", "conclusions", "acknowledgements", "appendix")
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+#: What is shorter or longer is no citation.
+LEAST_CITATION, MOST_CITATION = 40, 1000
 #: Published accuracy of each extractor; the citation parser runs them from the best to the worst.
 ACCURACY = {"to_appear": 0.99, "volume": 0.94, "pages": 0.93, "organization": 0.9, "isbn": 0.89, "event": 0.82, "url": 0.8, "date": 0.77, "publisher": 0.752, "title": 0.73, "telephone": 0.71, "authors": 0.69, "issn": 0.67}
 
@@ -35,26 +37,23 @@ def roman(c: Column) -> Column:
 
 _CHAPTER = r"(?m)^[ \t]*((?:[0-9]+(?:\.[0-9]+)*\.?)|(?:[IVXL]+\.))[ \t]+([A-Z][^\n]{2,80})$"
 
+_ALONE = r"(?im)^[ \t]*(?:" + "|".join(HEADINGS) + r")[ \t]*$"
+
 
 def chapters(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, number, name, start, style, text): numbered headings with what follows up to the next one, else usual names."""
     c = F.col(text)
     numbered = F.regexp_extract_all(c, F.lit(_CHAPTER), F.lit(0))
-    alone = F.regexp_extract_all(c, F.lit(r"(?im)^[ \t]*(?:" + "|".join(HEADINGS) + r")[ \t]*$"), F.lit(0))
-    use = F.when(F.size(numbered) > 1, F.transform(numbered, lambda h: F.struct(F.lit("numbered").alias("style"), h.alias("h")))).when(F.size(alone) <= 50, F.transform(alone, lambda h: F.struct(F.lit("alone").alias("style"), h.alias("h")))).otherwise(F.array().cast("array<struct<style:string,h:string>>"))
-    marked = rows.select(key, c.alias("__t"), use.alias("u"))
-    parts = F.aggregate(
-        "u",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<style:string,h:string,start:int>>").alias("out")),
-        lambda a, x: F.struct(
-            (F.call_function("locate", x["h"], F.col("__t"), a["at"] + 1) + F.length(x["h"]) - 1).alias("at"),
-            F.array_append(a["out"], F.struct(x["style"].alias("style"), x["h"].alias("h"), (F.call_function("locate", x["h"], F.col("__t"), a["at"] + 1) - 1).alias("start"))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    placed = marked.select(key, "__t", parts.alias("p"))
-    ends = lambda i: F.coalesce(F.try_element_at(F.col("p"), i + 2)["start"], F.length("__t"))
-    full = placed.select(key, F.explode(F.transform("p", lambda s, i: F.struct(s["style"].alias("style"), s["h"].alias("h"), s["start"].alias("start"), F.substring(F.col("__t"), s["start"] + F.length(s["h"]) + 1, ends(i) - s["start"] - F.length(s["h"])).alias("text")))).alias("s"))
+    alone = F.regexp_extract_all(c, F.lit(_ALONE), F.lit(0))
+    use = F.when(F.size(numbered) > 1, F.transform(numbered, lambda h: F.struct(F.lit("numbered").alias("style"), h.alias("h")))).otherwise(F.transform(alone, lambda h: F.struct(F.lit("alone").alias("style"), h.alias("h"))))
+    # what stands between headings of the style in use gives their places
+    gaps = F.split(c, F.when(F.size(numbered) > 1, F.lit(_CHAPTER)).otherwise(F.lit(_ALONE)), F.lit(-1))
+    placed = rows.select(key, use.alias("u"), gaps.alias("g"))
+    parts = F.arrays_zip(F.col("u").alias("u"), F.slice("g", 1, F.size("u")).alias("before"), F.slice("g", 2, F.size("u")).alias("text"))
+    each = placed.filter(F.size("u") > 0).select(key, F.posexplode(parts).alias("pos", "p"))
+    # a document's headings alone meet here
+    before = F.sum(F.length("p.before") + F.length("p.u.h")).over(Window.partitionBy(key).orderBy("pos")) - F.length("p.u.h")
+    full = each.select(key, F.struct(F.col("p.u.style").alias("style"), F.col("p.u.h").alias("h"), before.cast("int").alias("start"), F.col("p.text").alias("text")).alias("s"))
     number = F.regexp_extract(F.trim("s.h"), r"^([0-9]+(?:\.[0-9]+)*|[IVXL]+)", 1)
     name = F.when(F.col("s.style") == "numbered", F.regexp_extract(F.trim("s.h"), r"^[0-9IVXL.]+[ \t]+(.*)$", 1)).otherwise(F.trim("s.h"))
     return full.select(key, F.when(F.col("s.style") == "numbered", F.coalesce(roman(number).cast("string"), number)).alias("number"), name.alias("name"), F.col("s.start").alias("start"), F.col("s.style").alias("style"), F.btrim(F.col("s.text"), F.lit(" \t\r\n")).alias("text"))
@@ -75,7 +74,7 @@ def citations(rows: DataFrame, key: str, block: str) -> DataFrame:
     cred = {"[x]": 80, "(n)": 80, "n]": 70, "n.": 70, "line": 60}
     pick = lambda d, f: reduce(lambda e, k: F.when(F.col("style") == k, f(d[k])).otherwise(e), d, F.lit(None))
     styled = rows.select(key, c.alias("c"), style.alias("style"))
-    parts = styled.select(key, pick(cred, F.lit).alias("credibility"), F.posexplode(F.filter(F.transform(pick(cut, lambda p: F.split("c", p)), lambda p: F.trim(F.regexp_replace(p, "[ \t\n]+", " "))), lambda p: F.length(p).between(20, 1000))).alias("ord", "p"))
+    parts = styled.select(key, pick(cred, F.lit).alias("credibility"), F.posexplode(F.filter(F.transform(pick(cut, lambda p: F.split("c", p)), lambda p: F.trim(F.regexp_replace(p, "[ \t\n]+", " "))), lambda p: F.length(p).between(LEAST_CITATION, MOST_CITATION))).alias("ord", "p"))
     return parts.select(key, "ord", E.first_match(F.col("p"), mark, 1).alias("marker"), F.trim(F.regexp_replace("p", mark, "")).alias("content"), F.col("credibility").cast("int").alias("credibility"))
 
 

@@ -7,12 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import clean
+
 MARK = r"(?i)(deliverable|\bD ?[0-9]+(\.[0-9]+)*\b)"
 UNWANTED = r"(?i)^(download|pdf|here|link|click here|view|more|doc|file|full text|\[?[0-9]+\]?)$"
 #: Header words of a publication page and the property that each stands for.
 PROPERTIES = {"author": "authors", "authors": "authors", "writers": "authors", "title": "title", "name": "title", "abstract": "abstract", "summary": "abstract", "keywords": "keywords", "key words": "keywords", "year": "year", "date": "year", "published": "year", "publisher": "publisher", "pages": "pages", "volume": "volume", "isbn": "isbn", "issn": "issn", "doi": "doi", "journal": "parent", "proceedings": "parent", "conference": "event", "editor": "editors", "editors": "editors", "language": "language", "url": "url", "link": "url"}
 PUBLICATION_TYPES = (("journal", "article"), ("conference", "inproceedings"), ("proceedings", "inproceedings"), ("book chapter", "incollection"), ("chapter", "incollection"), ("book", "book"), ("phd", "phdthesis"), ("master", "mastersthesis"), ("technical report", "techreport"), ("report", "techreport"), ("manual", "manual"))
 
+#: Parts of a page that aren't text, and tags that don't end one.
+NO_TEXT = (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"(?i)</?p\b[^>]*>")
+#: How an abstract begins that may be short, and how a long text does that is none.
+ABSTRACT_STARTS = ("We present", "This paper", "This publica", "In this p", "The paper", "This book")
+NO_ABSTRACT = ("CiteU", "CiteS", "Microso", "Was ", "I ha", "I was", "I pre")
+
 
 def from_text(texts: Column, links: Column) -> Column:
     """struct<title, description, link>: title is the first text with a mark, description the longest; null without a mark."""
@@ -83,3 +91,22 @@ def split_proceedings(text: Column) -> Column:
     """Articles of a proceedings: the parts that begin with a line before each abstract."""
     parts = F.split(text, r"(?i)\n(?=[^\n]{10,150}\n(?:[^\n]*\n){0,4}?[ \t]*abstract\b)")
     return F.filter(parts, lambda p: p.rlike(r"(?i)\babstract\b"))
+
+
+def page_abstract(html: Column) -> Column:
+    """The longest text of a page that has over 200 characters or begins like an abstract; null without one."""
+    body = reduce(lambda c, p: F.regexp_replace(c, p, " "), NO_TEXT, html)
+    starts = lambda x, words: reduce(lambda a, b: a | b, [x.startswith(w) for w in words])
+    texts = F.transform(F.regexp_extract_all(body, F.lit(">([^<>]+)<"), F.lit(1)), clean)
+    fair = F.filter(texts, lambda x: ((F.length(x) > 200) & ~starts(x, NO_ABSTRACT)) | starts(x, ABSTRACT_STARTS))
+    return F.array_max(F.transform(fair, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+
+
+def topic(header: Column) -> Column:
+    """A header that names no kind of publication is a topic."""
+    return F.when(publication_type(header).isNull(), header)
+
+
+def first_found(texts: Column, extract) -> Column:
+    """What extract finds in the first of the texts where it finds anything: for properties without a header."""
+    return F.try_element_at(F.filter(F.transform(texts, extract), lambda x: x.isNotNull()), F.lit(1))

@@ -68,6 +68,20 @@ def is_empty(entities: DataFrame, key: str = "id") -> Column:
     return F.coalesce(*[F.col(c).cast("string") for c in entities.columns if c != key]).isNull()
 
 
+def import_graph(parents: DataFrame, known: DataFrame, children: DataFrame, links: DataFrame, rules: list[list[str]], key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(parents, children) after an import of parents and then of children.
+
+    A parent that a rule finds among the known ones (same columns) takes their key; children get the key of the parent
+    that links (key, parent) names, null where that parent is neither known nor imported.
+    """
+    probes = parents.withColumnRenamed(key, "probe_id")
+    found = lookup_exact(probes, known, rules, key)
+    resolved = probes.select("probe_id").join(found, "probe_id", "left").select("probe_id", F.coalesce(key, "probe_id").alias(key))
+    new = probes.join(found, "probe_id", "left_anti").withColumnRenamed("probe_id", key)
+    mapped = links.join(resolved.withColumnRenamed(key, "__k"), links["parent"] == F.col("probe_id")).select(links[key], F.col("__k").alias("parent"))
+    return known.unionByName(new.select(*known.columns)), set_parent(children, mapped, key, "parent")
+
+
 def own_attributes(entities: DataFrame, key: str = "id") -> DataFrame:
     """(key, attribute, value) of every attribute that is set."""
     rest = [c for c in entities.columns if c != key]
@@ -104,7 +118,9 @@ def lookup_related(probe_edges: DataFrame, entity_edges: DataFrame, probes: Data
 
     Most shared items first, then the more similar title, then the smaller id.
     """
-    shared = probe_edges.join(entity_edges, "item").groupBy("probe_id", "id").agg(F.count_distinct("item").alias("shared")).filter(F.col("shared") >= least)
+    # an item once a row on either side, so counts need no second look at the items
+    pairs = probe_edges.select("probe_id", "item").distinct().join(entity_edges.select("id", "item").distinct(), "item")
+    shared = pairs.groupBy("probe_id", "id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
     named = shared.join(probes.select("probe_id", F.col(title).alias("pt")), "probe_id").join(entities.select("id", F.col(title).alias("et")), "id")
     rank = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("shared"), F.desc(F.round(similarity(F.col("pt"), F.col("et")), 9)), "id"))
     return named.withColumn("r", rank).filter("r = 1").select("probe_id", "id", "shared")

@@ -7,42 +7,68 @@ from pyspark.sql import functions as F
 from ..functions import bibtex as B
 from ..functions import extract as E
 from ..functions import segment as S
+from ..operators import records as R
 from ..sources import xmlio as X
 from ..sources.scratch import scratch_dir
 from .extract_queries import CITE_SQL, cites
 from .registry import query
 
 
+#: An article around each document's whole text: (constant or column) parts, the text itself as abstract and as a chapter.
+PARTS = ["Some thoughts about ", "lang", "\nJ. Novak\nnovak@ex.org\n\nAbstract\n", "text", "\n\nKeywords: graph, ", "lang", "; paper\n\n1 Introduction\nAs shown in [1] it works. Others, about ", "source", ", say [2] no.\n2 Methods\n", "text", "\n2.1 Details\n", "source", "\n\nReferences\n"]
+#: Reference lists of three styles by kind of document.
+STYLES = (("[1] ", "[2] "), ("(1) ", "(2) "), ("1. ", "2. "))
+REFS = ("Kral, P. A study of graphs and their many uses. 1999.", "Novak, J. Another study of quite different things, vol. ", ", 2001.")
+COLUMNS = ("lang", "text", "source")
+
+
 def articles(t):
-    """Articles of known shape around each document's first words."""
-    i, w = F.col("doc_id").cast("string"), F.split("text", "[ \n]+")
-    a, b = F.array_join(F.slice(w, 1, 6), " "), F.array_join(F.slice(w, 7, 9), " ")
-    text = F.concat(F.lit("Some thoughts about "), a, F.lit("\nJ. Novak\nnovak@ex.org\n\nAbstract\n"), b, F.lit("\n\nKeywords: graph, "), F.col("lang"), F.lit("; paper\n\n1 Introduction\nAs shown in [1] it works. Others "), a, F.lit(" say [2] no.\n2 Methods\n"), b, F.lit("\n2.1 Details\n"), a, F.lit("\n\nReferences\n[1] Kral, P. A study of graphs and their many uses. 1999.\n[2] Novak, J. Another study of quite different things, vol. "), i, F.lit(", 2001."))
-    return t.documents.select("doc_id", text.alias("t"), a.alias("a"), b.alias("b"))
+    """(doc_id, kind, t, and the columns that went in) of every document."""
+    i = F.col("doc_id").cast("string")
+    kind = (F.length("source") + F.col("doc_id")) % 3
+    refs = [F.concat(F.lit(x + REFS[0] + "\n" + y + REFS[1]), i, F.lit(REFS[2])) for x, y in STYLES]
+    block = F.when(kind == 0, refs[0]).when(kind == 1, refs[1]).otherwise(refs[2])
+    text = F.concat(*[F.coalesce(F.col(p), F.lit("")) if p in COLUMNS else F.lit(p) for p in PARTS], block)
+    return t.documents.select("doc_id", kind.alias("kind"), text.alias("t"), *COLUMNS)
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
 
+def _art() -> str:
+    block = "CASE kind " + " ".join(f"WHEN {k} THEN {quoted(x + REFS[0] + chr(10) + y + REFS[1])} || doc_id || {quoted(REFS[2])}" for k, (x, y) in enumerate(STYLES)) + " END"
+    body = " || ".join(f"coalesce({p}, '')" if p in COLUMNS else quoted(p) for p in PARTS)
+    return f"art AS (SELECT *, {body} || {block} AS t FROM (SELECT *, (length(source) + doc_id) % 3 AS kind FROM documents))"
 
-ART = "art AS (SELECT doc_id, lang, array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]+'), 1, 6), ' ') AS a, array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]+'), 7, 15), ' ') AS b FROM documents)"
 
+ART = _art()
+first = lambda c, p: f"nullif(regexp_extract({c}, {quoted(p)}, 1), '')"
+HEAD = f"coalesce({first('t', '(?is)^(.*?)\\n[ \\t]*(?:1\\.?[ \\t]*)?introduction\\b')}, {first('t', '(?is)^(.*?\\babstract\\b.*?)\\n[ \\t]*\\n')}, {first('t', '(?s)^(.*?)\\n[ \\t]*\\n')}, t)"
+HEADINGS = f"h AS (SELECT doc_id, t, regexp_extract_all(t, {quoted(S._CHAPTER)}) AS h FROM art), e AS (SELECT doc_id, unnest(h) AS h FROM h WHERE len(h) > 1)"
+ABSTRACT = first("t", r"(?is)\babstract\b[ \t.:—-]*\n?(.*?)(?:\n[ \t]*\n|\n[ \t]*(?:key ?words|1\.?[ \t]*introduction)|$)")
+MARKS = f"SELECT doc_id, CASE kind {' '.join(f'WHEN {k} THEN {quoted(x.strip())}' for k, (x, _) in enumerate(STYLES))} END AS marker, 0 AS ord, {quoted(REFS[0])} AS content, kind FROM art UNION ALL SELECT doc_id, CASE kind {' '.join(f'WHEN {k} THEN {quoted(y.strip())}' for k, (_, y) in enumerate(STYLES))} END, 1, {quoted(REFS[1])} || doc_id || {quoted(REFS[2])}, kind FROM art"
 
-@query("doc_meta", f"WITH {ART} SELECT doc_id, 'Some thoughts about ' || a || chr(10) || 'J. Novak' || chr(10) || 'novak@ex.org' || chr(10) || chr(10) || 'Abstract' || chr(10) || b || chr(10) || chr(10) || 'Keywords: graph, ' || lang || '; paper' || chr(10) AS head FROM art")
+
+@query("doc_meta", f"WITH {ART} SELECT doc_id, md5({HEAD}) AS head FROM art")
 def _(t):
-    return articles(t).select("doc_id", S.head(F.col("t")).alias("head"))
+    return articles(t).select("doc_id", F.md5(S.head(F.col("t"))).alias("head"))
 
 
-@query("doc_chapters", f"WITH {ART} SELECT doc_id, '1' AS number, 'Introduction' AS name FROM art UNION ALL SELECT doc_id, '2', 'Methods' FROM art UNION ALL SELECT doc_id, '2.1', 'Details' FROM art")
+@query("doc_chapters", f"WITH {ART}, {HEADINGS} SELECT doc_id, regexp_extract(trim(h), '^([0-9]+(?:[.][0-9]+)*|[IVXL]+)', 1) AS number, regexp_extract(trim(h), '^[0-9IVXL.]+[ \\t]+(.*)$', 1) AS name FROM e")
 def _(t):
     return S.chapters(articles(t), "doc_id", "t").select("doc_id", "number", "name")
 
 
-@query("doc_chap_text", f"WITH {ART} SELECT doc_id, trim(b) AS text FROM art")
+@query("doc_chap_text", f"WITH {ART}, {HEADINGS}, p AS (SELECT doc_id, unnest(regexp_split_to_array(t, {quoted(S._CHAPTER)})[2:]) AS part FROM h WHERE len(h) > 1) SELECT doc_id, sum(length(trim(part, ' ' || chr(9) || chr(10) || chr(13))))::BIGINT AS chars, count(*) AS chapters FROM p GROUP BY doc_id")
 def _(t):
-    return S.chapters(articles(t), "doc_id", "t").filter("number = '2'").select("doc_id", "text")
+    return S.chapters(articles(t), "doc_id", "t").groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("chapters"))
 
 
-@query("doc_chap_alone", "SELECT doc_id, 'Introduction' AS name FROM documents UNION ALL SELECT doc_id, 'Conclusion' FROM documents")
+@query("doc_chap_alone", "SELECT doc_id, 'Introduction' AS name, length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13))) AS chars FROM documents UNION ALL SELECT doc_id, 'Conclusion', length(source) FROM documents")
 def _(t):
-    d = t.documents.select("doc_id", F.concat(F.lit("Top\nIntroduction\nx "), "source", F.lit("\nConclusion\ny")).alias("t"))
-    return S.chapters(d, "doc_id", "t").select("doc_id", "name")
+    d = t.documents.select("doc_id", F.concat(F.lit("Top\nIntroduction\n"), F.coalesce("text", F.lit("")), F.lit("\nConclusion\n"), "source").alias("t"))
+    return S.chapters(d, "doc_id", "t").select("doc_id", "name", F.length("text").cast("bigint").alias("chars"))
 
 
 @query("roman_to_int", "SELECT * FROM (VALUES ('XIV', 14), ('MCMXCIX', 1999), ('iv', 4), ('IIII', NULL)) v(r, n)")
@@ -51,32 +77,32 @@ def _(t):
     return d.select("r", S.roman(F.col("r")).alias("n"))
 
 
-@query("doc_biblio", "SELECT doc_id, '[1] Kral, P. A study of graphs and their many uses. 1999.' || chr(10) || '[2] Novak, J. Another study of quite different things, vol. ' || doc_id || ', 2001.' AS refs FROM documents")
+@query("doc_biblio", f"WITH {ART} SELECT doc_id, md5(string_agg(trim(marker || ' ' || content), chr(10) ORDER BY ord)) AS refs FROM ({MARKS}) GROUP BY doc_id")
 def _(t):
-    return articles(t).select("doc_id", S.bibliography(F.col("t")).alias("refs"))
+    return articles(t).select("doc_id", F.md5(S.bibliography(F.col("t"))).alias("refs"))
 
 
 def refs(t):
     return S.citations(articles(t).select("doc_id", S.bibliography(F.col("t")).alias("refs")), "doc_id", "refs")
 
 
-@query("doc_citations", "SELECT doc_id, 0 AS ord, '[1]' AS marker, 'Kral, P. A study of graphs and their many uses. 1999.' AS content, 80 AS credibility FROM documents UNION ALL SELECT doc_id, 1, '[2]', 'Novak, J. Another study of quite different things, vol. ' || doc_id || ', 2001.', 80 FROM documents")
+@query("doc_citations", f"WITH {ART} SELECT doc_id, ord, marker, content, CASE kind WHEN 2 THEN 70 ELSE 80 END AS credibility FROM ({MARKS})")
 def _(t):
     return refs(t)
 
 
-@query("doc_refs", "SELECT doc_id, '[1]' AS marker, true AS has FROM documents UNION ALL SELECT doc_id, '[2]', true FROM documents")
+@query("doc_refs", f"WITH {ART}, s AS (SELECT doc_id, unnest(list_distinct(string_split(regexp_replace(regexp_replace(split_part(t, chr(10) || 'References' || chr(10), 1), '[ \\t\\n]+', ' ', 'g'), '([.!?]) ([A-Z\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)))) AS s FROM art WHERE kind = 0), m AS (SELECT DISTINCT doc_id, s, unnest(regexp_extract_all(s, '\\[[^\\]]{{1,12}}\\]')) AS marker FROM s) SELECT doc_id, marker, count(*) AS n FROM m WHERE marker IN ('[1]', '[2]') GROUP BY ALL")
 def _(t):
     body = articles(t).select("doc_id", F.split_part("t", F.lit("\nReferences\n"), F.lit(1)).alias("t"))
-    return S.reference_sentences(body, refs(t), "doc_id", "t").groupBy("doc_id", "marker").agg((F.count("*") > 0).alias("has"))
+    return S.reference_sentences(body, refs(t), "doc_id", "t").groupBy("doc_id", "marker").agg(F.count("*").alias("n"))
 
 
-@query("doc_wrap")
+@query("doc_wrap", f"WITH {ART}, {HEADINGS} SELECT doc_id, length({HEAD}) AS head, len(h) AS chapters, 2::BIGINT AS citations FROM h")
 def _(t):
     a = articles(t)
     c = S.chapters(a, "doc_id", "t").groupBy("doc_id").agg(F.count("*").alias("chapters"))
     r = refs(t).groupBy("doc_id").agg(F.count("*").alias("citations"))
-    return a.select("doc_id", F.length(S.head(F.col("t"))).alias("head")).join(c, "doc_id", "left").join(r, "doc_id", "left")
+    return a.select("doc_id", F.length(S.head(F.col("t"))).cast("bigint").alias("head")).join(c, "doc_id", "left").join(r, "doc_id", "left")
 
 
 @query("cita_clear", f"WITH {CITE_SQL} SELECT id, 'Kral' AS c FROM cites")
@@ -84,14 +110,14 @@ def _(t):
     return cites(t).select("id", S.cita_clear(F.lit("[12] Kral, ;")).alias("c"))
 
 
-@query("art_title", f"WITH {ART} SELECT doc_id, trim('Some thoughts about ' || a) AS title FROM art WHERE NOT contains(a, '@')")
+@query("art_title", "SELECT doc_id, 'Some thoughts about ' || lang AS title FROM documents")
 def _(t):
-    return articles(t).filter("not contains(a, '@')").select("doc_id", S.article_title(F.col("t")).alias("title"))
+    return articles(t).select("doc_id", S.article_title(F.col("t")).alias("title"))
 
 
-@query("art_abstract", f"WITH {ART} SELECT doc_id, b AS abstract FROM art WHERE trim(b) <> ''")
+@query("art_abstract", f"WITH {ART} SELECT doc_id, md5({ABSTRACT}) AS abstract FROM art")
 def _(t):
-    return articles(t).filter("trim(b) <> ''").select("doc_id", S.abstract(F.col("t")).alias("abstract"))
+    return articles(t).select("doc_id", F.md5(S.abstract(F.col("t"))).alias("abstract"))
 
 
 @query("art_keywords", f"WITH {ART} SELECT doc_id, 'graph|' || lang || '|paper' AS k FROM art")
@@ -105,10 +131,10 @@ def _(t):
     return S.assign_emails(t.supplier.select("s_suppkey", arr("Petr Kral", "Jan Novak").alias("n"), arr("j.novak@ex.org", "kral@ex.org").alias("m")), "s_suppkey", "n", "m")
 
 
-@query("art_extract")
+@query("art_extract", f"WITH {ART} SELECT doc_id, 'Some thoughts about ' || lang AS title, 'graph|' || lang || '|paper' AS keywords, length({ABSTRACT}) AS abstract, len(list_distinct(regexp_extract_all(t, {quoted(E.EMAIL)}))) AS emails FROM art")
 def _(t):
     c = F.col("t")
-    return articles(t).select("doc_id", S.article_title(c).alias("title"), F.array_join(S.keywords(c), "|").alias("keywords"), F.array_join(E.emails(c), "|").alias("emails"), F.length(S.abstract(c)).alias("abstract"))
+    return articles(t).select("doc_id", S.article_title(c).alias("title"), F.array_join(S.keywords(c), "|").alias("keywords"), F.length(S.abstract(c)).cast("bigint").alias("abstract"), F.size(E.emails(c)).cast("bigint").alias("emails"))
 
 
 @query("cita_extract", f"WITH {CITE_SQL} SELECT id, s AS volume, s::BIGINT AS pages, (1980 + s % 40)::INT AS year, 3 AS month, '80-' || s || '-' || id || '-X' AS isbn, 'inproceedings' AS type FROM cites")
@@ -174,13 +200,13 @@ def _(t):
     return out.select(F.col("_id").alias("id"), "name", F.size("nation").cast("bigint").alias("nations"))
 
 
-@query("xml_resolve", "SELECT l_orderkey AS owner, l_suppkey::VARCHAR AS label, 's' || l_suppkey AS name FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL")
+@query("xml_resolve", "SELECT l_orderkey AS owner, l_suppkey::VARCHAR AS label, 's' || l_suppkey AS name FROM lineitem GROUP BY ALL")
 def _(t):
-    from pyspark.sql import Window
-
-    e = t.lineitem.filter("l_orderkey < 500").select(F.col("l_orderkey").alias("owner"), F.col("l_suppkey").cast("string").alias("s")).distinct()
-    first = F.row_number().over(Window.partitionBy("s").orderBy("owner")) == 1
-    parts = e.select("owner", F.when(first, F.col("s")).alias("label"), F.when(~first, F.col("s")).alias("ref"), F.when(first, F.concat(F.lit("s"), "s")).alias("name"))
+    e = t.lineitem.select(F.col("l_orderkey").alias("owner"), F.col("l_suppkey").cast("string").alias("s")).distinct()
+    # the first owner of a part carries its label
+    labels = e.groupBy("s").agg(F.min("owner").alias("first"))
+    here = F.col("owner") == F.col("first")
+    parts = e.join(labels, "s").select("owner", F.when(here, F.col("s")).alias("label"), F.when(~here, F.col("s")).alias("ref"), F.when(here, F.concat(F.lit("s"), "s")).alias("name"))
     return X.resolve(parts)
 
 
@@ -193,9 +219,18 @@ def _(t):
     return a.join(b, "n_regionkey").filter("a <> b").groupBy("a").agg(F.round(F.max(similarity(F.col("an"), F.col("bn"))), 6).alias("s"))
 
 
-@query("web_abstract", "SELECT source, max(length(text)) AS n FROM documents WHERE length(text) >= 200 GROUP BY source")
+def _abstract_sql() -> str:
+    body = "html"
+    for p in R.NO_TEXT:
+        body = f"regexp_replace({body}, {quoted(p)}, ' ', 'g')"
+    clean = "trim(regexp_replace(x, '[ \\t\\n\\r\\f\\x{A0}]+', ' ', 'g'), ' \"''()')"
+    starts = lambda words: " OR ".join(f"starts_with(x, {quoted(w)})" for w in words)
+    return f"WITH s AS (SELECT page_id, unnest(regexp_extract_all({body}, '>([^<>]+)<', 1)) AS x FROM pages), c AS (SELECT page_id, {clean} AS x FROM s), f AS (SELECT * FROM c WHERE (length(x) > 200 AND NOT ({starts(R.NO_ABSTRACT)})) OR {starts(R.ABSTRACT_STARTS)}), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(x) DESC, x DESC) AS r FROM f) SELECT p.page_id, md5(r.x) AS abstract FROM pages p LEFT JOIN r ON p.page_id = r.page_id AND r.r = 1"
+
+
+@query("web_abstract", _abstract_sql())
 def _(t):
-    return t.documents.filter("length(text) >= 200").groupBy("source").agg(F.max(F.length("text")).cast("bigint").alias("n"))
+    return t.pages.select("page_id", F.md5(R.page_abstract(F.col("html"))).alias("abstract"))
 
 
 @query("multimap", "SELECT p_brand, array_to_string(list_sort(list(p_name)), '|') AS names FROM part GROUP BY p_brand")

@@ -81,9 +81,10 @@ def _(t):
     return H.header_count(nodes(t), "th")
 
 
-@query("frame_links", "SELECT page_id, '' AS src FROM pages WHERE false")
+@query("frame_links", "SELECT page_id, url || '?menu' AS src FROM pages UNION ALL SELECT page_id, 'top.html' FROM pages")
 def _(t):
-    return H.frames(nodes(t))
+    framed = F.concat("html", F.lit('<iframe src="'), "url", F.lit('?menu"></iframe><frame src="top.html"><frame name="none">'))
+    return H.frames(H.node_table(t.pages.withColumn("html", framed)))
 
 
 @query("meta_kw", "SELECT page_id, 'utf-8' AS charset FROM pages")
@@ -243,11 +244,7 @@ def _(t):
 
 @query("seq_wrap_h")
 def _(t):
-    n = nodes(t)
-    counts = [H.regions(n, h).groupBy("page_id").agg(F.count("*").alias("regions"), F.sum(F.size("records")).alias("records")).withColumn("header", F.lit(h)) for h in (6.0, 4.0, 2.5)]
-    every = counts[0].unionByName(counts[1]).unionByName(counts[2])
-    fair = F.abs(F.log((F.col("records") + 1) / (F.col("regions") + 1)) - 1)
-    return every.groupBy("page_id").agg(F.min_by("header", F.struct(F.round(fair, 9), "header")).alias("header"))
+    return H.best_header(nodes(t))
 
 
 @query("seq_menu")

@@ -9,11 +9,14 @@ from ..functions import html as H
 from ..functions import segment as S
 from ..functions import text as T
 from ..operators import dictionary as D
+from ..operators import records as R
 from ..operators import store as P
 from ..sources import files
 from ..sources.scratch import scratch_dir
 from .extract_queries import CITE_SQL, cites
 from .registry import query
+from .store_queries import PROBES, parties
+from .text_queries import CLEAN_SQL
 
 
 @query("src_xml_dir", "SELECT p_partkey, p_name AS title, 'x' || p_size AS link FROM part")
@@ -30,12 +33,12 @@ def _(t):
     return out.select(F.explode(F.split("text", "\n")).alias("l")).filter("l <> ''").agg(F.count("*").alias("n"), F.sum(F.length("l")).alias("chars"))
 
 
-@query("file_clean", "SELECT 1 AS files, true AS clean")
+@query("file_clean", f"SELECT count(*) AS lines, sum(length({CLEAN_SQL}))::BIGINT AS chars FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents)")
 def _(t):
     path = scratch_dir(t.spark)
-    t.documents.filter("doc_id = 3").select("text").coalesce(1).write.text(path)
-    out = files.texts(t.spark, path).select(T.clean_text(F.col("text")).alias("c"))
-    return out.agg(F.count("*").cast("int").alias("files"), F.bool_and(~F.col("c").rlike(r"[^\x09\x0A\x0D\x20-\x7E]")).alias("clean"))
+    t.documents.select("text").write.mode("overwrite").text(path)
+    lines = t.spark.read.option("lineSep", "\n").text(path).select(T.clean_text(F.col("value")).alias("l"))
+    return lines.agg(F.count("*").alias("lines"), F.sum(F.length("l")).alias("chars"))
 
 
 @query("sink_db_insert", "SELECT s_suppkey AS id, s_name AS title FROM supplier UNION ALL SELECT 1000 + n_nationkey, n_name FROM nation")
@@ -54,25 +57,15 @@ def _(t):
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
-#: Extractors by bit, as a mask selects them.
-REGISTRY = {1: ("email", E.emails), 2: ("url", E.urls), 4: ("isbn", E.isbn), 8: ("issn", E.issns), 16: ("pages", E.pages), 32: ("volume", E.volume), 64: ("publisher", E.publisher), 128: ("title", E.title), 256: ("booktitle", E.booktitle), 512: ("event", E.events), 1024: ("organization", E.organizations), 2048: ("person", E.persons), 4096: ("project", E.projects), 8192: ("date", E.dates), 16384: ("time", E.times), 32768: ("telephone", E.phones), 65536: ("to_appear", E.to_appear), 131072: ("submitted", E.submitted), 262144: ("street", E.street), 524288: ("datetime", E.datetimes)}
-
-
-def extract(rows, text: str, mask: int):
-    """rows with a column for each extractor whose bit mask has."""
-    return rows.withColumns({name: f(F.col(text)) for bit, (name, f) in REGISTRY.items() if mask & bit})
-
-
 @query("ee_registry", f"WITH {CITE_SQL} SELECT id, '80-' || s || '-' || id || '-X' AS isbn, s AS volume FROM cites")
 def _(t):
-    return extract(cites(t), "t", 4 | 32).select("id", "isbn", "volume")
+    return E.extract(cites(t), "t", 4 | 32).select("id", "isbn", "volume")
 
 
 @query("ee_fax", "SELECT p_partkey, '+420 541 141 ' || (100 + p_partkey % 900) AS fax FROM part")
 def _(t):
     text = F.concat(F.lit("Tel: +420 111 222 333, Fax: +420 541 141 "), (F.col("p_partkey") % 900 + 100).cast("string"), F.lit("."))
-    after = F.regexp_extract(text, r"(?i)fax:? *([^a-z]*)", 1)
-    return t.part.select("p_partkey", F.try_element_at(E.phones(after), F.lit(1))["number"].alias("fax"))
+    return t.part.select("p_partkey", E.fax(text).alias("fax"))
 
 
 @query("ee_person_shapes", "SELECT 'surname_initials' AS shape, 'Novak' AS last UNION ALL SELECT 'initials_surname', 'Kral' UNION ALL SELECT 'surname_name', 'Maly' UNION ALL SELECT 'name_initial_surname', 'Dvorak' UNION ALL SELECT 'name_surname', 'Bily'")
@@ -95,57 +88,40 @@ def _(t):
 
 @query("seq_tagmatch", "SELECT page_id, 'ul>li>a' AS path FROM pages WHERE html LIKE '%<li><a%'")
 def _(t):
-    """The most frequent chain of three tags above a link."""
-    def chains(ns):
-        from collections import Counter
+    return H.per_page(t.pages, H.link_path, "path string")
 
-        found = Counter(">".join(x.tag for x in (n.parent.parent, n.parent, n)) for n in ns if n.tag == "a" and n.parent and n.parent.parent)
-        return [(min(found, key=lambda c: (-found[c], c)),)] if found else []
 
-    return H.per_page(t.pages, chains, "path string")
-
-
-@query("er_rules_api", "SELECT count(*) AS n FROM part WHERE p_partkey % 3 = 0 AND p_size IN (SELECT p_size FROM part WHERE p_partkey % 3 <> 0)")
+@query("er_rules_api", f"WITH {PROBES} SELECT count(*) AS n FROM pr WHERE nation IN (SELECT nation FROM en) OR band IN (SELECT band FROM en)")
 def _(t):
-    rules = [["p_brand", "p_size"]]
-    rules.append(["p_size"])  # a rule of the user's
-    probes = t.part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("probe_id"), "p_brand", "p_size")
-    entities = t.part.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), "p_brand", "p_size")
-    return P.lookup_exact(probes, entities, rules).agg(F.count("*").alias("n"))
+    rules = [["nation"]]
+    rules.append(["band"])  # a rule of the user's
+    return P.lookup_exact(*parties(t), rules).agg(F.count("*").alias("n"))
 
 
-@query("er_import", "SELECT (SELECT count(*) FROM region) AS parents, (SELECT count(*) FROM nation) AS children, (SELECT count(*) FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)) AS edges")
+@query("er_import", "SELECT 'parent' AS kind, r_regionkey::BIGINT AS id, NULL::BIGINT AS parent FROM region UNION ALL SELECT 'child', n_nationkey, n_regionkey FROM nation")
 def _(t):
-    """Parents first, then children with resolved keys, then their edges."""
-    parents = t.region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("title"))
-    known = parents.filter("id < 3")
-    probes = parents.select(F.col("id").alias("probe_id"), "title")
-    found = P.lookup_exact(probes, known, [["title"]])
-    new = probes.join(found, "probe_id", "left_anti").select(F.col("probe_id").alias("id"), "title")
-    all_parents = known.unionByName(new)
-    children = t.nation.select(F.col("n_nationkey").alias("id"), F.lit(None).cast("int").alias("parent"))
-    linked = P.set_parent(children, t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("parent")), "id", "parent")
-    edges = linked.join(all_parents.select(F.col("id").alias("parent")), "parent", "left_semi")
-    one = lambda df, n: df.agg(F.count("*").alias(n))
-    return one(all_parents, "parents").crossJoin(one(linked, "children")).crossJoin(one(edges, "edges"))
+    region = t.region.select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("title"))
+    known = region.filter("id < 3")
+    # the same regions arrive under other keys
+    arriving = region.select((F.col("id") + F.when(F.col("id") < 3, 100).otherwise(0)).alias("id"), "title")
+    links = t.nation.select(F.col("n_nationkey").cast("bigint").alias("id"), (F.col("n_regionkey") + F.when(F.col("n_regionkey") < 3, 100).otherwise(0)).cast("bigint").alias("parent"))
+    children = links.select("id", F.lit(None).cast("bigint").alias("parent"))
+    parents, children = P.import_graph(arriving, known, children, links, [["title"]])
+    return parents.select(F.lit("parent").alias("kind"), "id", F.lit(None).cast("bigint").alias("parent")).unionByName(children.select(F.lit("child").alias("kind"), "id", "parent"))
 
 
 @query("web_below_header", "SELECT page_id, true AS below FROM pages WHERE html LIKE '%<h1>%'")
 def _(t):
-    """The texts of each page between its first header and the next one."""
-    n = H.regions(H.node_table(t.pages), 4.0).filter("header is not null")
-    return n.groupBy("page_id").agg((F.count("*") > 0).alias("below"))
+    return H.below_headers(H.node_table(t.pages)).groupBy("page_id").agg((F.count("*") > 0).alias("below"))
 
 
 @query("web_topic", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'Graph theory' END AS topic FROM part")
 def _(t):
-    from ..operators.records import publication_type
-
     header = F.when(F.col("p_partkey") % 2 == 0, "Journal papers").otherwise("Graph theory")
-    return t.part.select("p_partkey", F.when(publication_type(header).isNull(), header).alias("topic"))
+    return t.part.select("p_partkey", R.topic(header).alias("topic"))
 
 
 @query("web_unbound", "SELECT p_partkey, '80-1-2-X' AS isbn FROM part")
 def _(t):
     parts = F.array(F.lit("some text"), F.concat(F.lit("on "), "p_name"), F.lit("ISBN 80-1-2-X"))
-    return t.part.select("p_partkey", F.try_element_at(F.filter(F.transform(parts, E.isbn), lambda x: x.isNotNull()), F.lit(1)).alias("isbn"))
+    return t.part.select("p_partkey", R.first_found(parts, E.isbn).alias("isbn"))

@@ -61,9 +61,9 @@ def _(t):
     return S.phrase_match(projects(t), '"Licensed under"').select("id", "score")
 
 
-@query("kw_highlight", f"WITH {PROJECTS} SELECT id, regexp_replace(title, '(?i)\\b(the|license)\\b', '<b>\\1</b>', 'g') AS h FROM projects WHERE programme = 'en'")
+@query("kw_highlight", f"WITH {PROJECTS} SELECT id, regexp_replace(title, '(?i)\\b(the|license)\\b', '<b>\\1</b>', 'g') AS h FROM projects")
 def _(t):
-    return projects(t).filter("programme = 'en'").select("id", S.highlight(F.col("title"), "the License").alias("h"))
+    return projects(t).select("id", S.highlight(F.col("title"), "the License").alias("h"))
 
 
 @query("kw_page", f"{MATCH} SELECT id, score FROM hits WHERE score > 0 ORDER BY score DESC, id LIMIT 20 OFFSET 20")

@@ -93,7 +93,7 @@ def _(t):
 
 
 PUBS = "pub AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE source END AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS note, (doc_id % 90)::INT AS credibility FROM documents)"
-NEW = "new AS (SELECT doc_id AS id, 'n' || source AS title, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'N' || lang END AS note, (doc_id % 70)::INT AS credibility FROM documents WHERE doc_id % 2 = 0)"
+NEW = "new AS (SELECT doc_id AS id, 'q' || quality AS title, CASE WHEN toxic = 0 THEN 'N' || quality END AS note, (doc_id % 70)::INT AS credibility FROM labels)"
 
 
 def pubs(t):
@@ -103,7 +103,8 @@ def pubs(t):
 
 def news(t):
     i = F.col("doc_id")
-    return t.documents.filter(i % 2 == 0).select(i.alias("id"), F.concat(F.lit("n"), "source").alias("title"), F.when(i % 5 != 0, F.concat(F.lit("N"), "lang")).alias("note"), (i % 70).cast("int").alias("credibility"))
+    quality = F.col("quality").cast("string")
+    return t.labels.select(i.alias("id"), F.concat(F.lit("q"), quality).alias("title"), F.when(F.col("toxic") == 0, F.concat(F.lit("N"), quality)).alias("note"), (i % 70).cast("int").alias("credibility"))
 
 
 def update_sql(pick: str) -> str:
@@ -151,10 +152,11 @@ def _(t):
     return P.relate(pairs.filter("l_quantity > 25").distinct(), pairs, ["l_partkey", "l_suppkey"])
 
 
-@query("db_set_parent", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS parent FROM orders")
+@query("db_set_parent", "SELECT o_orderkey AS id, c_custkey AS parent FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
 def _(t):
     kids = t.orders.select(F.col("o_orderkey").alias("id"), F.lit(None).cast("bigint").alias("parent"))
-    return P.set_parent(kids, t.orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent")), "id", "parent")
+    paying = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return P.set_parent(kids, t.orders.join(paying, "o_custkey").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent")), "id", "parent")
 
 
 @query("db_rel_update", "SELECT l_partkey AS a, l_suppkey AS b, round(greatest(max(l_tax) FILTER (l_quantity <= 25), coalesce(max(l_tax) FILTER (l_quantity > 25), 0)), 6) AS w FROM lineitem GROUP BY ALL HAVING count(*) FILTER (l_quantity <= 25) > 0")
@@ -181,29 +183,36 @@ def _(t):
     return P.prearrange(pubs(t), "title", norm_publication).select("id", "title_normalized")
 
 
+BAND = "floor({c}_acctbal / 2000)::BIGINT"
+PROBES = f"pr AS (SELECT c_custkey AS probe_id, c_nationkey AS nation, {BAND.format(c='c')} AS band FROM customer), en AS (SELECT s_suppkey AS id, s_nationkey AS nation, {BAND.format(c='s')} AS band FROM supplier)"
+
+
+def parties(t):
+    """(probes, entities): customers, and suppliers that they may be, by nation and balance."""
+    band = lambda c: F.floor(F.col(f"{c}_acctbal") / 2000).alias("band")
+    return t.customer.select(F.col("c_custkey").alias("probe_id"), F.col("c_nationkey").alias("nation"), band("c")), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), band("s"))
+
+
 @query(
     "er_lookup0",
-    """WITH pr AS (SELECT p_partkey + 100000 AS probe_id, p_brand, p_type, p_size FROM part WHERE p_partkey % 3 = 0), en AS (SELECT * FROM part WHERE p_partkey % 3 <> 0),
-    h AS (SELECT probe_id, 0 AS rule_no, min(e.p_partkey) AS id FROM pr JOIN en e USING (p_brand, p_type, p_size) GROUP BY probe_id UNION ALL SELECT probe_id, 1, min(e.p_partkey) FROM pr JOIN en e USING (p_brand, p_type) GROUP BY probe_id UNION ALL SELECT probe_id, 2, min(e.p_partkey) FROM pr JOIN en e USING (p_brand) GROUP BY probe_id)
+    f"""WITH {PROBES}, h AS (SELECT probe_id, 0 AS rule_no, min(id) AS id FROM pr JOIN en USING (nation, band) GROUP BY probe_id UNION ALL SELECT probe_id, 1, min(id) FROM pr JOIN en USING (nation) GROUP BY probe_id)
     SELECT probe_id, id, rule_no FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY rule_no, id) AS r FROM h) WHERE r = 1""",
 )
 def _(t):
-    probes = t.part.filter("p_partkey % 3 = 0").select((F.col("p_partkey") + 100000).alias("probe_id"), "p_brand", "p_type", "p_size")
-    entities = t.part.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", "p_size")
-    return P.lookup_exact(probes, entities, [["p_brand"], ["p_brand", "p_type", "p_size"], ["p_brand", "p_type"]])
+    return P.lookup_exact(*parties(t), [["nation"], ["nation", "band"]])
 
 
 @query(
     "er_lookup1",
-    """WITH pe AS (SELECT DISTINCT l_suppkey AS probe_id, l_partkey AS item FROM lineitem WHERE l_suppkey % 2 = 0), ee AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS item FROM lineitem WHERE l_suppkey % 2 = 1),
+    """WITH pe AS (SELECT DISTINCT o_custkey AS probe_id, l_partkey AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey), ee AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS item FROM lineitem),
     sh AS (SELECT probe_id, id, count(DISTINCT item) AS shared FROM pe JOIN ee USING (item) GROUP BY ALL HAVING count(DISTINCT item) >= 3),
-    n AS (SELECT sh.*, a.s_name AS pt, b.s_name AS et FROM sh JOIN supplier a ON probe_id = a.s_suppkey JOIN supplier b ON id = b.s_suppkey)
+    n AS (SELECT sh.*, a.c_name AS pt, b.s_name AS et FROM sh JOIN customer a ON probe_id = a.c_custkey JOIN supplier b ON id = b.s_suppkey)
     SELECT probe_id, id, shared FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY shared DESC, round(1 - levenshtein(pt, et) / greatest(length(pt), length(et)), 9) DESC, id) AS r FROM n) WHERE r = 1""",
 )
 def _(t):
-    e = t.lineitem.select("l_suppkey", F.col("l_partkey").alias("item")).distinct()
-    s = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
-    return P.lookup_related(e.filter("l_suppkey % 2 = 0").withColumnRenamed("l_suppkey", "probe_id"), e.filter("l_suppkey % 2 = 1").withColumnRenamed("l_suppkey", "id"), s.withColumnRenamed("id", "probe_id"), s, 3)
+    bought = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("probe_id"), F.col("l_partkey").alias("item")).distinct()
+    sold = t.lineitem.select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("item")).distinct()
+    return P.lookup_related(bought, sold, t.customer.select(F.col("c_custkey").alias("probe_id"), F.col("c_name").alias("title")), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title")), 3)
 
 
 @query("er_bind", "SELECT c_custkey, coalesce(n_nationkey, -1) AS nation_id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")

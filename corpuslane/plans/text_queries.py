@@ -120,8 +120,11 @@ def _(t):
 _CLEAN = reduce(lambda e, p: f"replace({e}, '{p[0]}', '{p[1]}')", T.LIGATURES, "text")
 _FROM, _TO = T.ACCENTED + T.QUOTES + T.DASHES + "’‘", T.PLAIN + '"' * len(T.QUOTES) + "-" * len(T.DASHES) + "''"
 
+#: clean_text() of the column text.
+CLEAN_SQL = f"regexp_replace(translate({_CLEAN}, {lit(_FROM)}, {lit(_TO)}), '[^\\x09\\x0A\\x0D\\x20-\\x7E]', '', 'g')"
 
-@query("clean_text", f"SELECT doc_id, md5(regexp_replace(translate({_CLEAN}, {lit(_FROM)}, {lit(_TO)}), '[^\\x09\\x0A\\x0D\\x20-\\x7E]', '', 'g')) AS clean FROM documents")
+
+@query("clean_text", f"SELECT doc_id, md5({CLEAN_SQL}) AS clean FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("clean"))
 
