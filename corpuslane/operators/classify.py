@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 MODEL_WORDS, TYPE_WINDOW, PAGE_WORDS = 20, 5000, 80
+#: Words of a model up to which they are sought within a text; more of them are found by the join alone.
+MOST_KNOWN = 10_000
 #: Keyword patterns of document types with their weights.
 TYPE_WEIGHTS = {
     "manual": [("user guide", 30), ("manual", 20), ("installation", 15), ("troubleshooting", 20)],
@@ -32,7 +34,13 @@ def scores(rows: DataFrame, key: str, text: str, model: DataFrame) -> DataFrame:
 
     Words are counted by row before the join; a model has a few words a language.
     """
-    counts = rows.select(key, F.explode(tokens(F.col(text))).alias("term")).join(model.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("n"))
+    # a model has some MODEL_WORDS words a language: it is worked out once, other words go before the texts are taken apart
+    few = model.select("lang", "term", "p").limit(MOST_KNOWN + 1).collect()
+    words = tokens(F.col(text))
+    if len(few) <= MOST_KNOWN:
+        model = rows.sparkSession.createDataFrame(few, model.select("lang", "term", "p").schema)
+        words = F.filter(words, lambda w: w.isin(sorted({r["term"] for r in few})))
+    counts = rows.select(key, F.explode(words).alias("term")).join(model.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("n"))
     found = counts.join(model, "term").groupBy(key, "lang").agg(F.sum(F.col("n") * F.col("p")).alias("score"))
     return found.withColumn("share", F.col("score") / F.sum("score").over(Window.partitionBy(key)))
 

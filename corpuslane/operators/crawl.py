@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,12 @@ def same_domain(a: Column, b: Column) -> Column:
     return bare(a) == bare(b)
 
 
+def _first(hay: Column, patterns: tuple[str, ...]) -> Column:
+    """Number of the first pattern that matches; one that ends in an optional s and is plain otherwise is a mere search."""
+    stems = [p.removesuffix("s?") for p in patterns]
+    return F.coalesce(*[F.when(hay.contains(s) if re.fullmatch("[a-z0-9 ]+", s) else hay.rlike(p), i) for i, (p, s) in enumerate(zip(patterns, stems))])
+
+
 def level_rank(links: DataFrame, patterns: tuple[str, ...] = PATTERNS) -> DataFrame:
     """(page, rank, documents): links (page, base, url, text, mime) that match a pattern add to their page.
 
@@ -55,7 +63,7 @@ def level_rank(links: DataFrame, patterns: tuple[str, ...] = PATTERNS) -> DataFr
     url = F.regexp_replace("url", "#.*$", "")
     fit = links.withColumn("url", url).filter(~F.lower("url").rlike("^(javascript|mailto):") & (F.length("url") <= 200) & same_domain(F.col("base"), F.col("url")))
     hay = F.lower(F.concat_ws(" ", "text", "url"))
-    first = F.coalesce(*[F.when(hay.rlike(p), i) for i, p in enumerate(patterns)])
+    first = _first(hay, patterns)
     hit = fit.withColumn("i", first).filter("i is not null")
     document = F.col("mime").isNotNull() & (F.col("mime") != "text/html")
     weight = F.when(document, 10 + F.when(F.lower(file_name(F.col("url"))).rlike(r"^d[0-9]"), 100).otherwise(0)).otherwise(F.when(F.col("i") == 0, 2 * k).otherwise(k - F.col("i")))
@@ -65,7 +73,7 @@ def level_rank(links: DataFrame, patterns: tuple[str, ...] = PATTERNS) -> DataFr
 def title_rank(headers: DataFrame, patterns: tuple[str, ...] = PATTERNS) -> DataFrame:
     """(page, rank): headers (page, text) add four times the number of patterns for the first, else that number less i."""
     k = len(patterns)
-    first = F.coalesce(*[F.when(F.lower("text").rlike(p), i) for i, p in enumerate(patterns)])
+    first = _first(F.lower("text"), patterns)
     return headers.withColumn("i", first).filter("i is not null").groupBy("page").agg(F.sum(F.when(F.col("i") == 0, 4 * k).otherwise(k - F.col("i"))).alias("rank"))
 
 

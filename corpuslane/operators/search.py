@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
+#: What words are made of, in lower case.
+LETTERS = "a-z0-9à-öø-ÿ"
 FIELDS = {"abbr": 6.0, "title": 5.0, "subprogramme": 3.0, "objective": 1.0, "origWeb": 1.0}
 FACETS = ("programme", "subprogramme", "year", "coordinator", "participant", "country")
 
 
 def terms_of(keyword: str) -> list[str]:
     """Distinct lower-case words of a keyword string, in order."""
-    return list(dict.fromkeys(w for w in re.split("[^a-z0-9à-öø-ÿ]+", keyword.lower()) if w))
+    return list(dict.fromkeys(w for w in re.split(f"[^{LETTERS}]+", keyword.lower()) if w))
 
 
 def multi_match(index: DataFrame, keyword: str, boosts: dict[str, float] = FIELDS) -> DataFrame:
@@ -31,10 +33,11 @@ def multi_match(index: DataFrame, keyword: str, boosts: dict[str, float] = FIELD
     if not words:
         return index.withColumn("score", F.lit(0.0))
     fields = [f for f in boosts if f in index.columns]
-    same = lambda w: lambda x: x == w
-    tf = {(f, i): F.size(F.filter(f"__{f}", same(w))) for f in fields for i, w in enumerate(words)}
-    cut = index.withColumns({f"__{f}": F.coalesce(tokens(F.col(f).cast("string")), F.array().cast("array<string>")) for f in fields})
-    counted = cut.withColumns({f"__{f}_{i}": c for (f, i), c in tf.items()}).drop(*[f"__{f}" for f in fields])
+    # a word is counted where no letter or digit stands beside it; texts without it cost one look
+    low = lambda f: F.lower(F.col(f).cast("string"))
+    times = lambda f, w: F.when(low(f).contains(w), F.regexp_count(low(f), F.lit(f"{w}(?<![{LETTERS}]{w})(?![{LETTERS}])"))).otherwise(0)
+    tf = {(f, i): times(f, w) for f in fields for i, w in enumerate(words)}
+    counted = index.withColumns({f"__{f}_{i}": F.coalesce(c, F.lit(0)) for (f, i), c in tf.items()})
     seen = counted.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"__{f}_{i}") > 0).alias(f"{f}_{i}") for f, i in tf]).first()
     idf = lambda df: F.lit(math.log(1 + (seen["n"] - df + 0.5) / (df + 0.5)))
     score = lambda f: reduce(lambda a, b: a + b, [F.col(f"__{f}_{i}") * idf(seen[f"{f}_{i}"]) for i in range(len(words))]) * boosts[f]
@@ -44,7 +47,7 @@ def multi_match(index: DataFrame, keyword: str, boosts: dict[str, float] = FIELD
 
 def phrase_match(index: DataFrame, keyword: str, fields: dict[str, float] = FIELDS) -> DataFrame:
     """Rows one of whose fields has the words of keyword (quotes dropped) next to each other; score: the best such boost."""
-    phrase = " " + " ".join(t for t in re.split("[^a-z0-9à-öø-ÿ]+", keyword.replace('"', "").lower()) if t) + " "
+    phrase = " " + " ".join(t for t in re.split(f"[^{LETTERS}]+", keyword.replace('"', "").lower()) if t) + " "
     hit = lambda f: F.concat(F.lit(" "), F.array_join(tokens(F.col(f).cast("string")), " "), F.lit(" ")).contains(phrase)
     parts = [F.when(hit(f), F.lit(b)).otherwise(F.lit(0.0)) for f, b in fields.items() if f in index.columns]
     return index.withColumn("score", F.greatest(*parts) if len(parts) > 1 else parts[0]).filter("score > 0")
