@@ -8,7 +8,8 @@ cancel; and by the differences of its most toxic words. A logistic model fitted
 models' turns these into a probability.
 
 The language models count every n-gram of every labelled row of their folds, by shuffles; their ratios are written as
-a sorted file that workers map into memory, so no table of n-grams is held by the driver or broadcast. Only the logistic
+a file sorted by 64-bit hashes of the n-grams that workers map into memory, so no table of n-grams is held by the driver
+or broadcast. Only the logistic
 model is fitted on a sample: at most MOST_ROWS labelled rows a class of the last fold (those of least hash). Scoring
 covers every whole text.
 """
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import MEMO_ENTRIES, arrow_map, materialize, slices, worker_cache
 
 ORDER, DISCOUNT, MOST_ROWS = 6, 0.75, 8000
-#: Bytes of a key of the written model: ORDER characters in UTF-8. What ends a context's key, which no word holds.
-KEY, CONTEXT = 4 * ORDER, "\x01"
+#: What ends a context's key, which no word holds.
+CONTEXT = "\x01"
 FOLDS = 5
 _WORDS = re.compile(r"\w+")
 
@@ -82,9 +83,44 @@ def ratio_table(counts: DataFrame) -> DataFrame:
     return grams.unionByName(contexts)
 
 
+def _terms(codes: np.ndarray, distance: int) -> np.ndarray:
+    """What characters add to the hash of an n-gram that ends `distance` after them."""
+    x = codes + np.uint64((distance + 1) << 32)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashes(texts: list[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the n-gram of at most `longest` characters that ends at each character, end of each text) of texts set end to end."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    inside = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+    h = np.zeros(len(codes), np.uint64)
+    for distance in range(longest):
+        on = np.nonzero(inside >= distance)[0]
+        h[on] += _terms(codes[on - distance], distance)
+    return h, ends
+
+
+#: Added to the hash of a context.
+_MARK = np.uint64(0x9E3779B97F4A7C15)
+
+
+def key_hashes(keys: list[str]) -> np.ndarray:
+    """Of n-grams, and contexts with CONTEXT at their end (an empty one is CONTEXT alone)."""
+    marked = np.array([k[-1:] == CONTEXT for k in keys], bool)
+    h, ends = hashes([k.removesuffix(CONTEXT) for k in keys], ORDER)
+    sizes = np.diff(ends, prepend=0)
+    own = np.zeros(len(keys), np.uint64)
+    own[sizes > 0] = h[ends[sizes > 0] - 1]
+    return np.where(marked, own + _MARK, own).view(np.int64)
+
+
 @dataclass
 class Written:
-    """A file that every executor has a copy of (SparkFiles): `rows` keys of KEY bytes in ascending order, then their ratios."""
+    """A file that every executor has a copy of (SparkFiles): `rows` hashes in ascending order, then their ratios."""
 
     name: str
     rows: int
@@ -96,23 +132,28 @@ class Written:
 def write_ratios(table: DataFrame) -> Written:
     """Hand (key, ratio) to the executors as a sorted file; the driver passes on one partition at a time."""
     spark = table.sparkSession
-    table = materialize(table)
-    model = Written(f"toxicity-{uuid.uuid4().hex}", table.count())
+
+    def make_hashed():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key_hashes(batch.column(0).to_pylist())), batch.column(1)], names=["h", "ratio"])
+
+        return step
+
+    hashed = materialize(arrow_map(table.select("key", "ratio"), make_hashed, "h bigint, ratio double"))
+    model = Written(f"toxicity-{uuid.uuid4().hex}", hashed.count())
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = np.array([k.encode() for k in batch.column(0).to_pylist()], f"S{KEY}")
-            ratios = np.array(batch.column(1).to_pylist(), "<f8")
-            return pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([ratios.tobytes()], pa.binary())], names=["n", "keys", "ratios"])
+            return pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), *[pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns]], names=["n", "keys", "ratios"])
 
         return step
 
     path, at = os.path.join(spark.sparkContext._temp_dir, model.name), 0
     with open(path, "wb") as f:
-        for block in arrow_map(table.orderBy("key"), make, "n bigint, keys binary, ratios binary").toLocalIterator():
-            f.seek(at * KEY)
+        for block in arrow_map(hashed.orderBy("h"), make, "n bigint, keys binary, ratios binary").toLocalIterator():
+            f.seek(at * 8)
             f.write(block.keys)
-            f.seek(model.rows * KEY + at * 8)
+            f.seek((model.rows + at) * 8)
             f.write(block.ratios)
             at += block.n
     spark.sparkContext.addFile(path)
@@ -123,28 +164,31 @@ class Lookup:
     """The ratios of a written model, mapped into memory."""
 
     def __init__(self, path: str, rows: int):
-        self.keys = np.memmap(path, f"S{KEY}", "r", 0, (rows,)) if rows else np.zeros(0, f"S{KEY}")
-        self.ratios = np.memmap(path, "<f8", "r", rows * KEY, (rows,)) if rows else np.zeros(0)
-
-    def find(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ratio of each key (0 where there is none), and whether there is one."""
-        sought = np.array([k.encode() for k in keys], f"S{KEY}")
-        if not len(self.keys) or not keys:
-            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        self.keys = np.memmap(path, "<i8", "r", 0, (rows,)) if rows else np.zeros(0, np.int64)
+        self.ratios = np.memmap(path, "<f8", "r", rows * 8, (rows,)) if rows else np.zeros(0)
+
+    def find(self, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratio of each hash (0 where there is none), and whether there is one."""
+        if not len(self.keys) or not len(sought):
+            return np.zeros(len(sought)), np.zeros(len(sought), bool)
         at = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
         found = self.keys[at] == sought
         return np.where(found, self.ratios[at], 0.0), found
 
     def words(self, words: list[str]) -> list[float]:
         """Ratio of each word: of its n-grams that are known, else of their contexts."""
-        grams = [ngrams(w) for w in words]
-        flat = [g for x in grams for g in x]
-        if not flat:
+        if not words:
             return []
-        ratios, found = self.find(flat)
-        missing = np.nonzero(~found)[0].tolist()
-        ratios[missing] = self.find([flat[i][:-1] + CONTEXT for i in missing])[0]
-        return np.add.reduceat(ratios, np.cumsum([0] + [len(x) for x in grams[:-1]])).tolist()
+        bounded = [f"\x02{w}\x03" for w in words]
+        whole, ends = hashes(bounded, ORDER)
+        before, _ = hashes(bounded, ORDER - 1)
+        starts = np.concatenate([[0], ends[:-1]])
+        each = np.ones(len(whole), bool)
+        each[starts] = False  # a word's start follows nothing
+        ratios, found = self.find(whole[each].view(np.int64))
+        missing = np.nonzero(~found)[0]
+        ratios[missing] = self.find((before[np.nonzero(each)[0][missing] - 1] + _MARK).view(np.int64))[0]
+        return np.add.reduceat(ratios, starts - np.arange(len(words))).tolist()
 
 
 class Scorer:
