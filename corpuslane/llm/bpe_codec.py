@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -222,8 +223,20 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return out
 
 
+def _lists(ids: pa.ListArray) -> Iterator[list[int]]:
+    """The lists of a column; null ones, and nulls in them, count as nothing."""
+    flat = ids.flatten()
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    if flat.null_count:
+        yield from ([i for i in x or () if i is not None] for x in ids.to_pylist())
+        return
+    values, ends = flat.to_numpy(), np.cumsum(sizes).tolist()
+    for a, z in zip([0, *ends], ends):
+        yield values[a:z].tolist()
+
+
 def decode_documents(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """rows with `decoded`: the text that ids_col stands for. Null ids count as none and give an empty text."""
+    """rows with `decoded`: the text that ids_col stands for. Null ids count as none; without any the text is empty."""
     at = rows.columns.index(ids_col)
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
 
@@ -233,8 +246,7 @@ def decode_documents(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFr
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [decoder.decode(ids or ()) for ids in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(map(decoder.decode, _lists(part.column(at)))), pa.string())], names=[*batch.schema.names, "decoded"])
 
         return step
 

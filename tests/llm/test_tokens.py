@@ -78,10 +78,12 @@ def test_encode_documents_edges(edge, empty):
 
 def test_decoding_reads_the_ids(spark):
     library = Tokenizer.from_file(WORD)
-    rows = [(1, [5, 300, 49000], "x"), (2, [], "x"), (3, None, "x"), (4, [7, 10**9, 8], "x")]
+    rows = [(1, [5, 300, 49000], "x"), (2, [], "x"), (3, None, "x"), (4, [7, 10**9, 8], "x"), (5, [7, 8], "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, ids array<int>, text string")
     got = {r.doc_id: r.decoded for r in bpe_codec.decode_documents(df, WORD).collect()}
     assert got == {i: library.decode(ids or [], skip_special_tokens=False) for i, ids, _ in rows}
+    holes = spark.createDataFrame([(1, [7, None, 8]), (2, None)], "doc_id bigint, ids array<int>")
+    assert [r.decoded for r in bpe_codec.decode_documents(holes, WORD).collect()] == [library.decode([7, 8]), ""]
 
 
 def test_codec_query_on_edges(spark, edge, tmp_path):
