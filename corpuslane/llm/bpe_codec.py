@@ -191,29 +191,37 @@ class Decoder:
             return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, the columns in keep, n_tokens, ids_sha256, ids array<int> of every row.
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, keep_decoded: bool = False) -> DataFrame:
+    """doc_id, the columns in keep, n_tokens, ids_sha256, decoded_sha256, ids array<int>, and with keep_decoded decoded.
 
-    ids_sha256 is over the ids as little-endian unsigned 32-bit integers. A null text counts as empty and has no ids;
-    repeated rows give repeated results, an empty table none.
+    ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the UTF-8 of what they
+    decode to: the column of ids is decoded in the same pass, so that no second worker is needed beside the encoder's. A
+    null text counts as empty and has no ids; repeated rows give repeated results, an empty table none.
     """
     keep = keep or []
     data = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)])
     kept = "".join(f", __keep{i} {data.schema[f'__keep{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    schema = f"doc_id {data.schema['doc_id'].dataType.simpleString()}{kept}, n_tokens bigint, ids_sha256 string, ids array<int>"
+    schema = f"doc_id {data.schema['doc_id'].dataType.simpleString()}{kept}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>"
+    if keep_decoded:
+        schema += ", decoded string"
 
     def make():
-        codec = worker_cache("codec", path, lambda: WordBpe(path))
+        codec, decoder = worker_cache("codec", path, lambda: (WordBpe(path), Decoder(path)))
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for start, run in slices(batch.column(1)):
                 ids = list(map(codec.encode_bytes, run))
                 n = [len(x) // 4 for x in ids]
                 part = batch.slice(start, len(run))
-                columns = [part.column(0), *[part.column(2 + i) for i in range(len(keep))], pa.array(n, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())]
-                offsets = pa.array(np.cumsum([0, *n]), pa.int32())
-                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4"))))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *[f"__keep{i}" for i in range(len(keep))], "n_tokens", "ids_sha256", "ids"])
+                found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                back = list(map(decoder.decode, _lists(found)))
+                digests = [pa.array([hashlib.sha256(x).hexdigest() for x in each], pa.string()) for each in (ids, map(str.encode, back))]
+                columns = [part.column(0), *[part.column(2 + i) for i in range(len(keep))], pa.array(n, pa.int64()), *digests, found]
+                names = ["doc_id", *[f"__keep{i}" for i in range(len(keep))], "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+                if keep_decoded:
+                    columns.append(pa.array(back, pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
         return step
 

@@ -66,6 +66,16 @@ def worker_cache(slot: str, token: str, make: Callable[[], object]):
     return _WORKER[slot, token]
 
 
+#: Bytes of an Arrow batch in the registered queries and the pipeline: texts, their batch in the JVM and its copy in the
+#: worker then stay small beside the heap.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """For an application to call once: Arrow batches of BATCH_BYTES. Operators leave the session's settings alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow whose state `make()` is built once a task; its step gives one batch or yields several.
 

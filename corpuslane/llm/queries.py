@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import ann, bpe_codec, content_store, jpeg, mixing, near_dedup, pii, quality, token_counts, toxicity
+from .common import bounded_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,9 +43,8 @@ def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("word_bpe_49k.json")
-    found = bpe_codec.decode_documents(bpe_codec.encode_documents(_table(spark, sf_dir, "documents"), path), path)
-    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    found = bpe_codec.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_count_tokens_edges(edge, empty):
 
 def test_encode_documents_edges(edge, empty):
     library = Tokenizer.from_file(WORD)
-    out = bpe_codec.decode_documents(bpe_codec.encode_documents(edge, WORD, keep=["source", "key"]), WORD).collect()
+    out = bpe_codec.encode_documents(edge, WORD, keep=["source", "key"], keep_decoded=True).collect()
     assert len(out) == len(EDGE)
     by_text = {(i, s): t or "" for i, t, s in EDGE}
     for r in out:
@@ -73,6 +73,9 @@ def test_encode_documents_edges(edge, empty):
         assert r.ids == ids and r.n_tokens == len(ids) and r.key == "x"
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded == library.decode(ids, skip_special_tokens=False)
+        assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
+    back = bpe_codec.decode_documents(bpe_codec.encode_documents(edge, WORD, keep=["source"], keep_decoded=True).withColumnRenamed("decoded", "want"), WORD)
+    assert back.filter("decoded <> want").count() == 0 and back.count() == len(EDGE)
     assert bpe_codec.decode_documents(bpe_codec.encode_documents(empty, WORD), WORD).count() == 0
 
 
