@@ -6,12 +6,14 @@ and reads it back for the next. All stages but the last return the columns of do
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpuslane.llm import bpe_codec, mixing, near_dedup, pii, toxicity
-from corpuslane.llm.common import materialize
+from corpuslane.llm.common import bounded_batches, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,17 +49,26 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the digests of ids and decoded text; a null text counts as empty."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    found = bpe_codec.decode_documents(bpe_codec.encode_documents(docs, path, keep=["lang", "source"]), path)
-    digest = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
-    return found.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", digest)
+    return bpe_codec.encode_documents(docs, path, keep=["lang", "source"]).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """work in a session whose Arrow batches are bounded."""
+
+    @wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return work(spark, docs, sf_dir)
+
+    return stage
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near-duplicates", drop_near_duplicates),
-    ("personal data", mask_personal_data),
-    ("mixing", mix_sources),
-    ("encoding", encode),
+    ("toxicity", _stage(drop_toxic)),
+    ("near-duplicates", _stage(drop_near_duplicates)),
+    ("personal data", _stage(mask_personal_data)),
+    ("mixing", _stage(mix_sources)),
+    ("encoding", _stage(encode)),
 ]
 
 #: The stages use models, hashes and chance that SQL cannot express; tests compare them with plain versions.
