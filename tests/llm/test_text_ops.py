@@ -363,5 +363,16 @@ def test_pipeline(spark, make, tmp_path):
     assert len({i for i, *_ in known} - toxic - set(seen[0])) <= 0.05 * len(known)
     assert not {i for i in seen[1] if 1000 <= i < 1030 and i - 1000 in seen[0]}
     assert "who@example.org" not in " ".join(t or "" for t in seen[2].values())
-    out = corpus_pipeline.run(spark, str(tmp_path))
+    out = corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path))
     assert out.count() == d.count() and out.agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_pipeline_edges(spark, edge, empty, labels, tmp_path):
+    import corpus_pipeline
+
+    for name, df in (("edge", edge.unionByName(edge.filter("doc_id = 8"))), ("empty", empty)):
+        df.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/edge").collect()
+    assert {r.doc_id for r in out} <= {i for i, _, _ in EDGE} and all(r.n_tokens == len(r.ids) for r in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
