@@ -18,7 +18,7 @@ PUBLICATION_TYPES = (("journal", "article"), ("conference", "inproceedings"), ("
 #: Parts of a page that aren't text, and tags that don't end one.
 NO_TEXT = (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"(?i)</?p\b[^>]*>")
 #: How an abstract begins that may be short, and how a long text does that is none.
-ABSTRACT_STARTS = ("We present", "This paper", "This publica", "In this p", "The paper", "This book")
+ABSTRACT_STARTS = ("In this p", "The paper", "This book", "This paper", "This publica", "We present")
 NO_ABSTRACT = ("CiteU", "CiteS", "Microso", "Was ", "I ha", "I was", "I pre")
 
 
