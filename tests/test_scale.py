@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslane.functions import bibtex as B
 from corpuslane.functions import extract as E
 from corpuslane.functions import segment as S
+from corpuslane.plans.article_queries import bib
 from corpuslane.plans.extract_queries import cites
-from corpuslane.plans.registry import Tables
+from corpuslane.plans.registry import QUERIES, Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +40,16 @@ def test_odd_texts(spark):
     names = df.select(E.persons(F.lit("Novak, J. A. and P. Kral, Maly, Jan")).alias("p"), E.persons(F.lit(None).cast("string")).alias("n"), E.persons(F.lit("x")).alias("e")).first()
     assert [(p["last"], p["shape"]) for p in names.p] == [("Novak", "surname_initials"), ("Kral", "initials_surname"), ("Maly", "surname_name")]
     assert names.n is None and names.e == []
+
+
+def test_bibtex_is_spread_and_not_grouped(spark):
+    assert bib(Tables(spark, SF)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert not [q for q in ("bib_map", "bib_grammar") if "Aggregate" in plan(QUERIES[q](spark, SF))]
+
+
+def test_bibtex_wide(spark):
+    texts = ["@book{a, title = {X}, title = {Y {Z}}, year = 1999}\n@misc{b, note = {n}}\n@misc{c}", "@book{a, title = {open", None, "@misc(d, url = {u--v}, pages = \"3\")"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    rows = sorted(tuple(r) for r in B.wide(df, "k", "t", ("title", "year", "url")).collect())
+    assert rows == [(0, 0, "a", "book", "Y Z", "1999", None), (0, 1, "b", "misc", None, None, None), (3, 0, "d", "misc", None, None, "u–v")]
+    assert [(r.k, r.title, r.year, r.first_page) for r in B.publications(df, "k", "t").orderBy("k", "entry").collect()] == [(0, "Y Z", 1999, None), (0, None, None, None), (3, None, None, 3)]
