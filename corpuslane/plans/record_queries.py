@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import segment as S
 from ..functions.extract import ORG_KINDS, organization_type
+from ..functions.spread import spread
 from ..operators import records as R
 from ..sources import model as M
 from .registry import query
@@ -79,7 +80,7 @@ def _(t):
 @query("web_publist")
 def _(t):
     cited = F.concat(F.lit("[1] Novak, J. "), "p_name", F.lit(" studies of everything. 1999. [2] Kral, P. Another "), "p_type", F.lit(" paper, vol. 3, 2001."))
-    block = t.part.select("p_partkey", F.replace(cited, F.lit(" [2]"), F.lit("\n[2]")).alias("b"))
+    block = spread(t.part.select("p_partkey", "p_name", "p_type"), "p_partkey").select("p_partkey", F.replace(cited, F.lit(" [2]"), F.lit("\n[2]")).alias("b"))
     return S.parse_citation(S.citations(block, "p_partkey", "b"), "content").select("p_partkey", "ord", "title", "year", "type")
 
 

@@ -53,3 +53,8 @@ def test_bibtex_wide(spark):
     rows = sorted(tuple(r) for r in B.wide(df, "k", "t", ("title", "year", "url")).collect())
     assert rows == [(0, 0, "a", "book", "Y Z", "1999", None), (0, 1, "b", "misc", None, None, None), (3, 0, "d", "misc", None, None, "u–v")]
     assert [(r.k, r.title, r.year, r.first_page) for r in B.publications(df, "k", "t").orderBy("k", "entry").collect()] == [(0, "Y Z", 1999, None), (0, None, None, None), (3, None, None, 3)]
+
+
+@pytest.mark.parametrize("name", ["web_publist", "table_records"])
+def test_rows_made_of_parts_are_spread(spark, name):
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
