@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MISSING, OVERWRITE, CREDIBILITY = "missing", "overwrite", "credibility"
+#: Entities of an item that travel in one row.
+MOST_LISTED = 256
 
 
 def blank_to_null(c: Column) -> Column:
@@ -113,14 +118,60 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def _most_shared(met: DataFrame, least: int) -> DataFrame:
+    """(probe_id, id, shared): the ids that most of a probe's lists (probe_id, ids) hold, all of equals, from `least` lists.
+
+    Lists come sorted by probe, so what is kept from batch to batch are the counts of one probe.
+    """
+    kinds = {"probe_id": met.schema["probe_id"].dataType, "id": met.schema["ids"].dataType.elementType}
+
+    def run(batches):
+        kept = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # pairs as numbers: place of the probe, then of the id
+            probes, ids = b.column(0).dictionary_encode(), b.column(1).flatten().dictionary_encode()
+            n = max(len(ids.dictionary), 1)
+            owners = probes.indices.to_numpy().astype(np.int64)[pc.list_parent_indices(b.column(1)).to_numpy()]
+            pairs, counts = np.unique(owners * n + ids.indices.to_numpy(), return_counts=True)
+            counted = pa.table({"probe_id": probes.dictionary.take(pa.array(pairs // n)), "id": ids.dictionary.take(pa.array(pairs % n)), "n": pa.array(counts, pa.int64())})
+            if kept is not None:
+                same = pc.equal(counted["probe_id"], kept["probe_id"][0])
+                both = pa.concat_tables([kept, counted.filter(same)]).group_by(["probe_id", "id"], use_threads=False).aggregate([("n", "sum")])
+                counted = pa.concat_tables([both.select(["probe_id", "id", "n_sum"]).rename_columns(["probe_id", "id", "n"]), counted.filter(pc.invert(same))])
+            open_ = pc.equal(counted["probe_id"], b.column(0)[-1])
+            yield from best(counted.filter(pc.invert(open_)))
+            kept = counted.filter(open_) if pc.any(open_).as_py() else None
+        if kept is not None:
+            yield from best(kept)
+
+    def best(counted):
+        if not counted.num_rows:
+            return []
+        at = counted["probe_id"].combine_chunks().dictionary_encode()
+        at, n = at.indices.to_numpy(), counted["n"].to_numpy()
+        most = np.full(at.max() + 1, least, np.int64)
+        np.maximum.at(most, at, n)
+        return counted.filter(pa.array(n == most[at])).rename_columns(["probe_id", "id", "shared"]).to_batches()
+
+    schema = ", ".join(f"{c} {kind.simpleString()}" for c, kind in kinds.items()) + ", shared bigint"
+    return met.repartition("probe_id").sortWithinPartitions("probe_id").mapInArrow(run, schema)
+
+
 def lookup_related(probe_edges: DataFrame, entity_edges: DataFrame, probes: DataFrame, entities: DataFrame, least: int, title: str = "title") -> DataFrame:
     """(probe_id, id, shared): the entity that shares at least `least` related items with a probe.
 
     Most shared items first, then the more similar title, then the smaller id.
     """
-    # an item once a row on either side, so counts need no second look at the items
-    pairs = probe_edges.select("probe_id", "item").distinct().join(entity_edges.select("id", "item").distinct(), "item")
-    shared = pairs.groupBy("probe_id", "id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    # an item once a row on either side, so counts need no second look at the items; the entities of an item travel to its
+    # probes as lists, and pairs are made where they are counted
+    edges = entity_edges.select("id", "item").distinct().join(entities.select("id"), "id", "left_semi")
+    listed = edges.groupBy("item").agg(F.collect_list("id").alias("ids"))
+    cut = F.transform(F.sequence(F.lit(0), (F.size("ids") - 1).cast("int"), F.lit(MOST_LISTED)), lambda i: F.slice("ids", i + 1, MOST_LISTED))
+    lists = listed.select("item", F.explode(cut).alias("ids"))
+    met = probe_edges.select("probe_id", "item").distinct().join(lists, "item").filter(F.col("probe_id").isNotNull()).select("probe_id", "ids")
+    shared = _most_shared(met, least)
     named = shared.join(probes.select("probe_id", F.col(title).alias("pt")), "probe_id").join(entities.select("id", F.col(title).alias("et")), "id")
     rank = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("shared"), F.desc(F.round(similarity(F.col("pt"), F.col("et")), 9)), "id"))
     return named.withColumn("r", rank).filter("r = 1").select("probe_id", "id", "shared")
