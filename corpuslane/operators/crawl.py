@@ -60,14 +60,16 @@ def level_rank(links: DataFrame, patterns: tuple[str, ...] = PATTERNS) -> DataFr
     characters and other domains don't count.
     """
     k = len(patterns)
-    url = F.regexp_replace("url", "#.*$", "")
-    fit = links.withColumn("url", url).filter(~F.lower("url").rlike("^(javascript|mailto):") & (F.length("url") <= 200) & same_domain(F.col("base"), F.col("url")))
-    hay = F.lower(F.concat_ws(" ", "text", "url"))
-    first = _first(hay, patterns)
-    hit = fit.withColumn("i", first).filter("i is not null")
+    # columns instead of filters: a filter would be pushed below them and work them out again
+    url = F.when(F.contains("url", F.lit("#")), F.regexp_replace("url", "#.*$", "")).otherwise(F.col("url"))
+    low = F.lower("url")
+    near = links.withColumn("url", url).withColumns({"hay": F.lower(F.concat_ws(" ", "text", "url")), "fit": ~(low.startswith("javascript:") | low.startswith("mailto:")) & (F.length("url") <= 200)})
+    same = near.withColumn("fit", F.col("fit") & same_domain(F.col("base"), F.col("url")))
+    hit = same.withColumn("i", F.when(F.col("fit"), _first(F.col("hay"), patterns)))
     document = F.col("mime").isNotNull() & (F.col("mime") != "text/html")
     weight = F.when(document, 10 + F.when(F.lower(file_name(F.col("url"))).rlike(r"^d[0-9]"), 100).otherwise(0)).otherwise(F.when(F.col("i") == 0, 2 * k).otherwise(k - F.col("i")))
-    return hit.groupBy("page").agg(F.sum(weight).alias("rank"), F.count_if(document).alias("documents"))
+    found = hit.groupBy("page").agg(F.sum(F.when(F.col("i").isNotNull(), weight)).alias("rank"), F.count_if(document & F.col("i").isNotNull()).alias("documents"))
+    return found.filter("rank is not null")
 
 
 def title_rank(headers: DataFrame, patterns: tuple[str, ...] = PATTERNS) -> DataFrame:

@@ -1,14 +1,20 @@
 """Heavy work on small tables is spread over the cores, and an extractor works each step out once."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslane.catalog import QUERIES
 from corpuslane.functions import bibtex as B
 from corpuslane.functions import extract as E
 from corpuslane.functions import segment as S
+from corpuslane.operators import crawl as CR
+from corpuslane.operators import store as P
 from corpuslane.plans.article_queries import bib
 from corpuslane.plans.extract_queries import cites
-from corpuslane.plans.registry import QUERIES, Tables
+from corpuslane.plans.registry import Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +64,38 @@ def test_bibtex_wide(spark):
 @pytest.mark.parametrize("name", ["web_publist", "table_records"])
 def test_rows_made_of_parts_are_spread(spark, name):
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_related_lookup_makes_pairs_where_it_counts(spark):
+    rng = random.Random(5)
+    bought = [(rng.randrange(40), rng.randrange(30)) for _ in range(400)] + [(99, i) for i in range(30)] + [(None, 1)]
+    sold = [(f"e{rng.randrange(700)}", rng.randrange(29)) for _ in range(6000)] + [(f"e{i}", 29) for i in range(700)] + [("gone", i) for i in range(30)]
+    probes = spark.createDataFrame([(p, f"name {p}") for p in [*range(40), 99]], "probe_id bigint, title string")
+    entities = spark.createDataFrame([(f"e{i}", f"nome {i % 60}") for i in range(700)], "id string, title string")
+    similar = {(p, e): round(r.s, 9) for p, e, r in ((r.probe_id, r.id, r) for r in probes.crossJoin(entities.withColumnRenamed("title", "et")).select("probe_id", "id", P.similarity(F.col("title"), F.col("et")).alias("s")).collect())}
+    want = {}
+    for p in {p for p, _ in bought if p is not None}:
+        items = {i for q, i in bought if q == p}
+        shared = Counter(e for e, i in set(sold) if i in items and e != "gone")
+        if fit := [(-n, -similar[p, e], e) for e, n in shared.items() if n >= 3]:
+            want[p] = (min(fit)[2], -min(fit)[0])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("7", before):  # a probe's lists in many batches, and many probes in one
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            df = P.lookup_related(spark.createDataFrame(bought, "probe_id bigint, item int"), spark.createDataFrame(sold, "id string, item int"), probes, entities, 3)
+            assert {r.probe_id: (r.id, r.shared) for r in df.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "collect_list" in plan(df)
+
+
+def test_link_ranks_read_a_link_once(spark):
+    assert plan(QUERIES["crawl_rank"](spark, SF)).count("documents)") + plan(QUERIES["crawl_rank"](spark, SF)).count("work ?packages?") == 1
+
+
+def test_link_ranks_of_odd_links(spark):
+    base = "http://ex.org/"
+    links = [("a", base, "JavaScript:x('results')", "Results", None), ("a", base, "http://www.ex.org/r#results\nx", "About", None), ("b", base, "http://other.org/results", "Results", None), ("c", base, "http://ex.org/D1.pdf#x", "Reports", "application/pdf"), ("c", base, "http://ex.org/x", None, "text/html"), ("c", None, "http://ex.org/results", "Results", None), ("d", base, None, "Results", None), ("e", base, "http://ex.org/" + "x" * 200, "Results", None), ("f", base, "mailto:results@ex.org", "Results", None), ("g", base, "http://ex.org/g", "Deliverable", None)]
+    df = spark.createDataFrame(links, "page string, base string, url string, text string, mime string")
+    assert sorted(tuple(r) for r in CR.level_rank(df).collect()) == [("a", 6, 0), ("c", 110, 1), ("g", 20, 0)]
