@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .dictionary import few_keys
 
 MODEL_WORDS, TYPE_WINDOW, PAGE_WORDS = 20, 5000, 80
 #: Words of a model up to which they are sought within a text; more of them are found by the join alone.
@@ -85,8 +86,12 @@ def conversion_credibility(rows: DataFrame, key: str, text: str, pages: Column,
     """
     words = F.filter(tokens(F.col(text)), lambda w: F.length(w) >= 3)
     cut = rows.select(key, pages.alias("pages"), words.alias("w"))
+    value = F.floor(F.round(F.col("ok") / F.col("total") * F.least(F.lit(1.0), F.col("ok") / F.col("pages") / PAGE_WORDS) * 100, 9)).cast("int")
+    out = lambda joined: joined.select(key, F.when(F.col("total") > 0, value).otherwise(F.lit(0)).alias("credibility"))
+    if (few := few_keys(known)) is not None:
+        ok = F.size(F.filter("w", lambda w: w.isin(few))) if few else F.lit(0)
+        return out(cut.select(key, "pages", F.size("w").alias("total"), ok.cast("bigint").alias("ok")))
     each = cut.select(key, F.explode("w").alias("key_")).groupBy(key, "key_").agg(F.count("*").alias("n"))
     ok = each.join(known.select(F.col("key").alias("key_")), "key_", "left_semi").groupBy(key).agg(F.sum("n").alias("ok"))
     joined = cut.select(key, "pages", F.size("w").alias("total")).join(ok, key, "left").withColumn("ok", F.coalesce("ok", F.lit(0)))
-    value = F.floor(F.round(F.col("ok") / F.col("total") * F.least(F.lit(1.0), F.col("ok") / F.col("pages") / PAGE_WORDS) * 100, 9)).cast("int")
-    return joined.select(key, F.when(F.col("total") > 0, value).otherwise(F.lit(0)).alias("credibility"))
+    return out(joined)

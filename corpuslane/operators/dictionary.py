@@ -8,9 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Keys of a dictionary up to which they are sought within a text; more of them are found by the join.
+MOST_KNOWN = 10_000
 SENSITIVE, INSENSITIVE, FIRST_UPPER = "sensitive", "insensitive", "first_upper"
 
 
+def few_keys(words: DataFrame) -> list[str] | None:
+    """All keys of a dictionary (key) of at most MOST_KNOWN, else None."""
+    found = words.select("key").filter("key is not null").distinct().limit(MOST_KNOWN + 1).collect()
+    return sorted(r["key"] for r in found) if len(found) <= MOST_KNOWN else None
+
+
 def create(rows: DataFrame, key: str, value: str) -> DataFrame:
     """A dictionary of key -> sorted distinct values."""
     return rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.sort_array(F.collect_set(value)).alias("values"))
@@ -51,7 +59,10 @@ def text_search(rows: DataFrame, key: str, text: str, words: DataFrame, most_wor
     split = F.filter(F.split(F.regexp_replace(F.col(text), "[^A-Za-z0-9_À-ÿ-]", " "), " "), lambda w: w != "")
     cut = rows.select(key, split.alias("w"))
     if most_words == 1:
-        return cut.select(key, F.posexplode("w").alias("pos", "hit")).join(words.select(F.col("key").alias("hit")), "hit", "left_semi").select(key, "pos", "hit")
+        each = cut.select(key, F.posexplode("w").alias("pos", "hit"))
+        if (few := few_keys(words)) is not None:
+            return each.filter(F.col("hit").isin(few))
+        return each.join(words.select(F.col("key").alias("hit")), "hit", "left_semi").select(key, "pos", "hit")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - i + 1)), lambda n: F.struct((i - 1).alias("pos"), n.alias("n"), F.array_join(F.slice(F.col("w"), i, n), " ").alias("hit")))))
     found = cut.filter(F.size("w") > 0).select(key, F.explode(spans).alias("s")).select(key, "s.*").join(words.select(F.col("key").alias("hit")), "hit", "left_semi")
     best = found.groupBy(key, "pos").agg(F.max(F.struct("n", "hit")).alias("b"))
