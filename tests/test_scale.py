@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,18 @@ def test_link_ranks_read_a_link_once(spark):
     assert plan(QUERIES["crawl_rank"](spark, SF)).count("work ?packages?") == 1
 
 
+@pytest.mark.parametrize("name", ["html_entities", "html_clean_tree"])
+def test_page_batches_are_bounded(spark, name):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        QUERIES[name](spark, SF)
+        long = spark.range(40, numPartitions=1).select(F.expr("repeat('x', 1000000)").alias("t"))
+        rows = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "int")
+        assert long.select(rows("t").alias("n")).agg(F.max("n")).first()[0] <= 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_few_known_words_are_sought_within_the_text(spark, monkeypatch):
     texts = ["the Graph of the x-ray", "", None, "a b", "Graph graph über", "unknown words only here", "the " * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
