@@ -1,6 +1,7 @@
 """Heavy work on small tables is spread over the cores, and an extractor works each step out once."""
 
 import random
+import re
 from collections import Counter
 
 import pandas as pd
@@ -129,3 +130,35 @@ def test_link_ranks_of_odd_links(spark):
     links = [("a", base, "JavaScript:x('results')", "Results", None), ("a", base, "http://www.ex.org/r#results\nx", "About", None), ("b", base, "http://other.org/results", "Results", None), ("c", base, "http://ex.org/D1.pdf#x", "Reports", "application/pdf"), ("c", base, "http://ex.org/x", None, "text/html"), ("c", None, "http://ex.org/results", "Results", None), ("d", base, None, "Results", None), ("e", base, "http://ex.org/" + "x" * 200, "Results", None), ("f", base, "mailto:results@ex.org", "Results", None), ("g", base, "http://ex.org/g", "Deliverable", None)]
     df = spark.createDataFrame(links, "page string, base string, url string, text string, mime string")
     assert sorted(tuple(r) for r in CR.level_rank(df).collect()) == [("a", 6, 0), ("c", 110, 1), ("g", 20, 0)]
+
+
+def test_articles_are_spread(spark):
+    assert QUERIES["art_extract"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_addresses_are_sought_where_they_may_be(spark):
+    plain = spark.createDataFrame([("no address in here",), (None,), ("",)], "t string").select(E.emails(F.col("t")).alias("e"))
+    assert [r.e for r in plain.collect()] == [[], None, []]
+    # the pattern sees words with an at sign alone, and unmasking is asked for only where a sign of it is
+    assert "array_join(filter(split" in plan(plain) and "CASE WHEN (((" in plan(plain)
+    texts = [
+        "a@b.cz", "x a@b.cz\nc@d.eu\te@f.org, a@b.cz", "j (AT) ex (dOt) org", "j[At]ex[dot]org and k &#64; ex.org", "k<IMG src=at.png>ex.org", "k AT-sign ex.org, k at-SIGN ex.org",
+        "{a, b}@ex.org {c}@x.y d@x.y", "{a}@ {b,c}@ex.org", "a@b", "@b.cz a@@b.cz a@b.cz@d.eu", "xa@b.cz a@b.cz", "é@b.cz aé@b.cz", "(atom) [atlas] a&#64;b.cz t-s (dog)",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.e for r in df.select(E.emails(F.col("t")).alias("e")).collect()]
+    for t, found in zip(texts, got, strict=True):
+        x = re.sub(r"(?i) ?(?:\(at\)|\[at\]|&#64;|<img[^>]*>| at-sign ) ?", "@", t)
+        x = re.sub(r"(?i) ?(?:\(dot\)|\[dot\]) ?", ".", x)
+        group = r"\{[A-Za-z0-9._, -]+\}@[A-Za-z0-9.-]+"
+        want = [n.strip(" ") + "@" + g.split("}@")[1] for g in re.findall(group, x) for n in re.split(" *, *", g[1 : g.index("}")])]
+        want = list(dict.fromkeys(want + re.findall(E.EMAIL, re.sub(group, " ", x))))
+        assert found == [m for m in want if not any(o != m and m in o for o in want)], t
+
+
+def test_title_is_sought_in_the_opening(spark):
+    long = "y " * S.OPENING
+    texts = [None, "", "One two three", "Abstract of it\nOne two three\nx", "a b\n" * 3000 + "\n  One two three \n", "One two three " + long, long + "\nOne two three", "x" * (S.OPENING - 3) + "\nOne two three", "a\n" * (S.OPENING // 2) + "One two three"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(S.article_title(F.col("t")).alias("x"))
+    assert [r.x for r in df.collect()] == [None, None, "One two three", "One two three", "One two three", ("One two three " + long).strip(" "), long.strip(" "), "One two three", "One two three"]
+    assert "substring" in plan(df)
