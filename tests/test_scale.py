@@ -12,6 +12,7 @@ from corpuslane.catalog import QUERIES
 from corpuslane.functions import bibtex as B
 from corpuslane.functions import extract as E
 from corpuslane.functions import segment as S
+from corpuslane.functions.text import tokens
 from corpuslane.operators import classify as CL
 from corpuslane.operators import crawl as CR
 from corpuslane.operators import dictionary as DI
@@ -162,3 +163,12 @@ def test_title_is_sought_in_the_opening(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(S.article_title(F.col("t")).alias("x"))
     assert [r.x for r in df.collect()] == [None, None, "One two three", "One two three", "One two three", ("One two three " + long).strip(" "), long.strip(" "), "One two three", "One two three"]
     assert "substring" in plan(df)
+
+
+def test_tokens_are_matched(spark):
+    texts = [None, "", " ", "The 2nd Ärger, the-end!", "ŽÍŽALA İstanbul 12×3 ÷ KK 𝒳y", "a\nb\tc\x00d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(tokens(F.col("t")).alias("w"))
+    # a negated class of several ranges made threads wait for each other
+    assert "[^" not in plan(df)
+    want = [None if t is None else [w for w in re.split("[^a-z0-9à-öø-ÿ]+", t.lower()) if w] for t in texts]
+    assert [r.w for r in df.collect()] == want
