@@ -90,6 +90,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 yield out
             else:
                 yield from out
+        # a worker waits beside the JVM's next stages: what its batches took goes back
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

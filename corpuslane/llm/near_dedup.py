@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, WORD, arrow_map, join_counted, looked_up, materialize, remove, scratch_dir, worker_cache
+from .common import WORD, arrow_map, join_counted, looked_up, materialize, remove, scratch_dir, worker_cache
 
 HASHES, BANDS, BITS = 128, 32, 4
 ROWS = HASHES // BANDS
@@ -45,25 +45,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 class Shingler:
     """Sorted distinct 64-bit hashes of the shingles of a text: A-Z in lower case, words between ASCII white space."""
 
     def __init__(self, words: int):
-        self.words, self.memo = words, _WordHashes()
+        self.words = words
 
     def shingles(self, text: str | None) -> np.ndarray:
         parts = (text or "").encode().lower().split()
         if not parts:
             return np.zeros(0, _U)
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        w = np.fromiter(map(self.memo.__getitem__, parts), _U, len(parts))
+        # hashing a word costs less than looking it up, and no word stays in the worker
+        w = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), _U, len(parts))
         k = min(self.words, len(w))
         n = len(w) - k + 1
         h = np.full(n, k, _U)
@@ -237,8 +230,7 @@ def _linked(reps: DataFrame, docs: DataFrame, words: int, part: int, whole: int)
     least = least_estimate(part / whole)
     sigs = reps.select("rep", "sig")
     spread = reps.select("rep", F.explode("bands").alias("bucket"))
-    chance = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("r"))
-    buckets = spread.groupBy("bucket").agg(F.min("rep").alias("c1"), F.min(chance)["r"].alias("c2"), F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n"))
+    buckets = spread.groupBy("bucket").agg(F.min("rep").alias("c1"), F.min_by("rep", F.xxhash64("rep")).alias("c2"), F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n"))
     members = materialize(join_counted(spread, buckets, "bucket", BANDS * reps.count(), F.xxhash64("rep")))
     wanted = materialize(members.select("rep").distinct().join(reps.select("rep", "doc_id", "key"), "rep"))
     sets = materialize(full_sets(docs, wanted, words))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -321,6 +322,19 @@ def test_estimate_is_unbiased(spark):
     assert np.abs(np.array(got) - true).max() < 0.15
 
 
+def test_no_word_stays_in_the_worker():
+    shingler = near_dedup.Shingler(2)
+    shingler.shingles("a b c")
+    tracemalloc.start()
+    try:
+        for i in range(20):
+            shingler.shingles(" ".join(f"w{i}x{j}" for j in range(2000)))
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert kept < 500_000
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(200, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
