@@ -25,18 +25,21 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, join_counted, remove, scratch_dir, slices, worker_cache
-from .token_counts import AFTER_SPACE, PRE_TOKEN, SPACE, byte_alphabet, simple
+from .token_counts import PRE_TOKEN, SPACE, byte_alphabet, simple
 
 #: From here on a character's class may differ between Unicode versions.
 RARE = "\u0530"
-#: Pieces and words that a worker remembers.
-STREAM_ENTRIES = 500_000
+#: Units that a worker remembers in each of two generations; the characters of the longest ones.
+STREAM_ENTRIES, LONGEST = 240_000, 64
+#: Characters of text encoded at once: the more, the fewer different units.
+TEXT_CHARS = 4_000_000
 #: Chunks of LEAST + 64 ids on average, well below a passage of 100 words.
 MASK, LEAST, MOST = (1 << 6) - 1, 32, 1024
 #: Bytes of chunks that a task gathers before it sends them off by bucket; those of a bucket of names, about.
@@ -119,8 +122,12 @@ _BESIDE = re.compile(f"\n(?:(?<=[{SPACE}]\n)|(?=[{SPACE}]))")
 _TIED = re.compile(r"[,.](?<![^\W_].)[ \n]")
 #: Punctuation that stands as one pre-token after letters (an apostrophe may open a contraction).
 _PUNCT = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Prefixes of units: a mark or line feed, a word without a space before it.
-MARK, BARE = "\0", "\1"
+#: Prefixes of units: a mark or line feed, a word without a space before it. LONE stands for a space that opens no unit.
+MARK, BARE, LONE = "\0", "\1", "\2"
+_LONE_SPACE = regex.compile(rf" (?![^{SPACE}])")
+#: For Arrow: a text that has it goes to spaced(), all others are cut in the same way by replacements in Arrow.
+_UNUSUAL = "[\\x00-\\x02\u0530-\U0010ffff]| [S]| $|^\\n|\\n$|\\n[S]|[S]\\n|(^|[^\\pL\\pN])[,.][ \\n]".replace("S", SPACE[: SPACE.index("\u1680")])
+_MARKED = [(", ", " \0, "), (". ", " \0. "), (".\n", " \0.\n"), ("\n", " \0\n \1")]
 
 
 def _rare(text: str) -> bool:
@@ -131,100 +138,155 @@ def _rare(text: str) -> bool:
     return False
 
 
-def units(text: str) -> list[str]:
-    """pieces() of a text without MARK and BARE, where that is safe with commas, full stops and line feeds as units of their own."""
+def spaced(text: str) -> str:
+    """The text with its units between spaces: pieces(), where that is safe with commas, full stops and line feeds as units of their own.
+
+    The text has none of MARK, BARE and LONE; its first unit begins with BARE.
+    """
     if not simple(text):
-        return AFTER_SPACE.split(text)
+        return BARE + _LONE_SPACE.sub(LONE, text)
     if _TIED.search(text) or not text.isascii() and _rare(text):
-        return text.split(" ")
+        return BARE + text
     text = text.replace(", ", " \0, ").replace(". ", " \0. ")
     if "\n" in text and text[-1] != "\n" and text[0] != "\n" and not _BESIDE.search(text):
         text = text.replace(".\n", " \0.\n").replace("\n", " \0\n \1")
-    return text.split(" ")
+    return BARE + text
 
 
 class StreamEncoder:
-    """Ids of texts by the tokenizers library, remembered by piece (a space before a non-space always opens a pre-token).
+    """Ids of texts by the tokenizers library, remembered by unit (a space before a non-space always opens a pre-token).
+
+    Ids are kept as little-endian unsigned integers of `width` bytes. Arrow cuts many texts into units and finds the
+    different ones, so that only those are looked up. New words go to the library's BPE model many at a time, other new
+    units are cut into pre-tokens first; units with rare characters or marks of special tokens go to the library whole.
 
-    Ids are kept as little-endian unsigned integers of `width` bytes. A new piece is cut into pre-tokens, and those that
-    are new as well go to the library's BPE model; pieces with rare characters or marks of special tokens go to the
-    library whole.
+    Two generations of at most about `memo_entries` units are remembered: when the younger one is full it becomes the older
+    one, and what is asked for again moves on, so that common words stay.
     """
 
     def __init__(self, path: str, memo_entries: int = STREAM_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.width, self.code = (2, "H") if self.library.get_vocab_size() <= 1 << 16 else (4, "I")
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
-        plain = {MARK + m: array(self.code, self.library.encode(m, add_special_tokens=False).ids).tobytes() for m in ",.\n"}
-        self.plain = plain | {BARE: b""}
+        # the same model over lines that are pre-tokens already
+        self.lines = Tokenizer(self.model)
+        self.lines.pre_tokenizer = CharDelimiterSplit(self.letters[10])
+        vocab = self.library.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t[0] == self.letters[32]]] = True
+        self.plain = {MARK + m: self._whole(m) for m in ",.\n"} | {BARE: b""}
         self.memo: dict[str, bytes] = dict(self.plain)
+        self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.memo_entries = memo_entries
 
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _ids(self, word: str) -> bytes:
         text = word if word.isascii() else word.encode().decode("latin-1")
         return array(self.code, [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
 
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Of words of letters below RARE, each with a space before it; remembers them."""
+        out: list[bytes] = []
+        width, code, space, line = self.width, self.code, self.letters[32], self.letters[10]
+        for start in range(0, len(words), 256):
+            some = words[start : start + 256]
+            text = "\n ".join(["", *some])
+            if text.isascii():
+                text = (line + space).join(["", *some])
+            else:
+                text = text.encode().decode("latin-1").translate(self.letters)
+            ids = array(code, self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+            # a word's first token alone begins with the space
+            firsts = np.flatnonzero(self.opens[np.frombuffer(ids, code)])
+            assert len(firsts) == len(some)
+            raw, ends = ids.tobytes(), (firsts * width).tolist()
+            ends.append(len(raw))
+            out += [raw[a:z] for a, z in zip(ends, ends[1:])]
+        self.memo.update(zip(words, out))
+        return out
+
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            self.words[word] = ids = self._ids(word)
+            ids = self._ids(word)
+            if len(word) <= LONGEST:
+                self.words[word] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        """Of a piece that isn't remembered; only plain words are, a closing mark is a pre-token of its own."""
-        memo = self.memo
-        if piece[:1] == BARE:
-            memo[piece] = ids = self._first(piece[1:])
-            return ids
+        """Of a unit that isn't a plain ASCII word."""
+        if LONE in piece:
+            piece = piece.replace(LONE, " ")
+        # the piece that opens a text or line has no space before it
+        text = piece[1:] if piece[0] == BARE else " " + piece
+        if "<|" in text or not text.isascii() and max(text) >= RARE:
+            return self._whole(text)
+        if text.isalpha():
+            return self._word(text)
         core = piece.rstrip(_PUNCT)
-        if core.isalpha() and (core.isascii() or max(core) < RARE):
-            ids = memo.get(core)
-            if ids is None:
-                memo[core] = ids = self._ids(" " + core)
-            return ids if len(core) == len(piece) else ids + self._word(piece[len(core) :])
-        if not core and "<|" not in piece:
-            memo[piece] = ids = self._word(" " + piece)
-            return ids
-        if "<|" in piece or not piece.isascii() and max(piece) >= RARE:
-            return array(self.code, self.library.encode(" " + piece, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self._word, PRE_TOKEN.findall(" " + piece)))
-
-    def _first(self, piece: str) -> bytes:
-        """Of the piece that opens a text, which has no space before it."""
-        if "<|" in piece or not piece.isascii() and max(piece) >= RARE:
-            return array(self.code, self.library.encode(piece, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self._word, PRE_TOKEN.findall(piece)))
+        if core.isalpha():
+            # a closing mark is a pre-token of its own
+            return self._known(core) + (self._word(piece[len(core) :]) if len(core) < len(piece) else b"")
+        return b"".join(map(self._word, PRE_TOKEN.findall(text)))
+
+    def _known(self, word: str) -> bytes:
+        """Of a word of letters below RARE with a space before it."""
+        ids = self.memo.get(word) or self.old.get(word) or self._ids(" " + word)
+        if len(word) <= LONGEST:
+            self.memo[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        if len(self.memo) > self.memo_entries or len(self.words) > self.memo_entries:
-            self.memo.clear()
-            self.memo.update(self.plain)
+        if len(self.memo) > self.memo_entries:
+            self.old, self.memo = self.memo, dict(self.plain)
+        if len(self.words) > self.memo_entries:
             self.words.clear()
-        memo, get, piece, tokenize, code, out = self.memo, self.memo.get, self._piece, self.model.tokenize, self.code, []
-        space = self.letters[32]
-        for text in texts:
-            if MARK in text or BARE in text:
-                out.append(array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes())
-                continue
-            words = units(text)
-            ids = list(map(get, words))
-            ids[0] = self._first(words[0])
-            i = 0
-            for _ in range(ids.count(None)):
-                i = ids.index(None, i)
-                word = words[i]
-                if i and word.isalpha() and word.isascii():
-                    ids[i] = memo[word] = array(code, [t.id for t in tokenize(space + word)]).tobytes()
-                else:
-                    ids[i] = piece(word)
-            out.append(b"".join(ids))
-        return out
+        column = pa.array(texts, pa.large_string())
+        unusual = pc.match_substring_regex(column, _UNUSUAL)
+        for a, b in _MARKED:
+            column = pc.replace_substring(column, a, b)
+        column = pc.binary_join_element_wise(pa.scalar(BARE, column.type), column, pa.scalar("", column.type))
+        whole = {}
+        if at := np.flatnonzero(unusual.to_numpy(zero_copy_only=False)).tolist():
+            whole = {i: self._whole(texts[i]) for i in at if any(c in texts[i] for c in (MARK, BARE, LONE))}
+            column = pc.replace_with_mask(column, unusual, pa.array([BARE if i in whole else spaced(texts[i]) for i in at], column.type))
+        cut = pc.split_pattern(column, " ")
+        units = cut.flatten().dictionary_encode()
+        names = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        memo, old = self.memo, self.old
+        ids = list(map(memo.get, names))
+        new = [i for i, x in enumerate(ids) if x is None]
+        if old:
+            for i, x in zip(new, list(map(old.get, [names[i] for i in new]))):
+                if x is not None:
+                    ids[i] = memo[names[i]] = x
+            new = [i for i in new if ids[i] is None]
+        plain = [i for i in new if names[i].isalpha() and len(names[i]) <= LONGEST]
+        within = [i for i in plain if names[i].isascii()]
+        for some in (within, [i for i in plain if not names[i].isascii() and max(names[i]) < RARE]):
+            for i, x in zip(some, self._learn([names[i] for i in some])):
+                ids[i] = x
+        new = [i for i in new if ids[i] is None]
+        cores = dict.fromkeys(c for c in [names[i].rstrip(_PUNCT) for i in new] if c.isalpha() and c.isascii() and len(c) <= LONGEST)
+        self._learn([c for c in cores if c not in memo and c not in old])
+        for i in new:
+            ids[i] = x = self._piece(names[i])
+            if len(names[i]) <= LONGEST:
+                memo[names[i]] = x
+        found = pa.array(ids, pa.large_binary()).take(units.indices)
+        _, ends, data = found.buffers()
+        bounds = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()].tolist() if texts else [0]
+        data = memoryview(data or b"")
+        return [whole[i] if i in whole else bytes(data[a:z]) for i, (a, z) in enumerate(zip(bounds, bounds[1:]))]
 
 
 def _buckets(docs: DataFrame) -> int:
@@ -282,7 +344,7 @@ def _encoded(path: str, end_id: int, buckets: int):
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for start, texts in slices(batch.column(1)):
+            for start, texts in slices(batch.column(1), TEXT_CHARS):
                 rows: list[tuple] = []
                 streams = [raw + tail for raw in encoder.encode(texts)]
                 arrays = [np.frombuffer(x, dtype) for x in streams]

@@ -125,6 +125,40 @@ def test_white_space_around_line_feeds():
         assert np.frombuffer(raw, f"<u{own.width}").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_units_in_odd_texts():
+    library, own = Tokenizer.from_file(BYTE), content_store.StreamEncoder(BYTE, memo_entries=300)
+    some = ["", " ", ", a", ". a", "a, ", "a. b.\nc\nd, e", "_, a", "\u00bd, a.\nb", "\u0301, a", "\0, a", "a \1b", "a \2b", "a \0\n \1b", "x" * 99 + " y" + "\u00e9" * 99 + " " + "x" * 99, "\u0530, a. b", "a\n"]
+    rng = random.Random(10)
+    some += ["".join(rng.choice(["a", "\u00e9", "\u0416", "1", "_", ".", ", ", ". ", ".\n", "\n", " ", "  ", "\0", "\1", "\2", "\x1c", "\xa0", " b", "'s", "!", "<|endoftext|>", "\u5b57", "\u02bc"]) for _ in range(rng.randint(1, 9))) for _ in range(20000)]
+    for part in (some[:16], some[16:10000], some[10000:], some[:500], []):
+        for t, raw in zip(part, own.encode(part), strict=True):
+            assert np.frombuffer(raw, f"<u{own.width}").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_new_words_go_to_the_library_together():
+    library, own, calls = Tokenizer.from_file(BYTE), content_store.StreamEncoder(BYTE, memo_entries=3000), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return lambda *a, **k: (calls.append(name), getattr(self.inner, name)(*a, **k))[1]
+
+    for name in ("library", "model", "lines"):
+        if hasattr(own, name):
+            setattr(own, name, Counted(getattr(own, name)))
+    rng = random.Random(11)
+    words = lambda: " ".join("".join(rng.choice("abdeiknorst\u00e9\u017e") for _ in range(rng.randint(5, 9))) for _ in range(100))
+    for _ in range(4):
+        many = [words() for _ in range(40)]
+        for t, raw in zip(many, own.encode(many), strict=True):
+            assert np.frombuffer(raw, f"<u{own.width}").tolist() == library.encode(t, add_special_tokens=False).ids
+    # the word that opens a text has no space before it and goes alone
+    assert len(calls) < 400, len(calls)
+    assert len(own.memo) + len(own.old) < 2 * (3000 + 4100)
+
+
 def stored(spark, make, store):
     """Three documents of which two are equal and one shares their passage, written to store; their rows by id."""
     body = " ".join(f"w{i * i % 7919}" for i in range(6000))
